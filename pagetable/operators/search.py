@@ -23,6 +23,10 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(words))
 
 
+def _count_of(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == term))
+
+
 def _hit(docs: DataFrame, score_column: str) -> DataFrame:
     """Search-hit columns; missing values become ``''``."""
     return docs.select(
@@ -58,10 +62,7 @@ def search_bm25(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
         "url",
         "text",
         F.size("_words").alias("_len"),
-        *[
-            F.size(F.filter("_words", lambda w, t=t: w == t)).alias(f"_tf{i}")
-            for i, t in enumerate(terms)
-        ],
+        *[_count_of("_words", t).alias(f"_tf{i}") for i, t in enumerate(terms)],
     )
     collection = counted.select(
         F.struct(
