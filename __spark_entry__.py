@@ -24,7 +24,7 @@ from pagetable.plans.site_report import site_report
 from pagetable.session import Stage, tune
 from pagetable.sources import fetch, sinks
 from pagetable.sources.nodes import with_nodes
-from pagetable.sources.pages import read_pages
+from pagetable.sources.pages import read_pages, spread
 from pagetable.streaming.pages import run_available, stream_pages
 
 SCHEMA = "article: title=h1, first=p"
@@ -49,9 +49,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return read_pages(spark, f"{sf_dir}/pages.parquet").select("page_id", "url")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return spread(read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 def _with_status(pages: DataFrame) -> DataFrame:
@@ -63,12 +68,12 @@ def _with_status(pages: DataFrame) -> DataFrame:
 
 def url_parts(spark, sf_dir):
     parts = U.split_url(F.col("url"))
-    return _pages(spark, sf_dir).select("page_id", parts.alias("p")).select("page_id", "p.*")
+    return _page_urls(spark, sf_dir).select("page_id", parts.alias("p")).select("page_id", "p.*")
 
 
 def same_site(spark, sf_dir):
     """Each page against the next one, and against variants of its own URL."""
-    pages = _pages(spark, sf_dir).select("page_id", "url")
+    pages = _page_urls(spark, sf_dir).select("page_id", "url")
     following = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
     url = F.col("url")
     return pages.join(following, "page_id").select(
@@ -94,7 +99,7 @@ def normalized_urls(spark, sf_dir):
         U.resolve_targets(F.col("url"), cases),
         lambda h, t: F.struct(h.alias("href"), t["url"].alias("resolved")),
     )
-    rows = _pages(spark, sf_dir).select("page_id", F.explode(resolved).alias("r"))
+    rows = _page_urls(spark, sf_dir).select("page_id", F.explode(resolved).alias("r"))
     return rows.select("page_id", "r.*")
 
 
@@ -106,7 +111,7 @@ SUFFIX_CASES = (
 
 def binary_urls(spark, sf_dir):
     variants = F.explode(F.array(*[F.lit(s) for s in SUFFIX_CASES])).alias("suffix")
-    rows = _pages(spark, sf_dir).select("page_id", "url", variants)
+    rows = _page_urls(spark, sf_dir).select("page_id", "url", variants)
     url = F.concat(F.regexp_extract("url", r"^https?://[^/?#]+", 0), "suffix")
     return rows.select("page_id", "suffix", U.is_binary(url).alias("is_binary"))
 
@@ -123,7 +128,7 @@ def page_lookup(spark, sf_dir):
 
 
 def status_labels(spark, sf_dir):
-    pages = _with_status(_pages(spark, sf_dir).select("page_id"))
+    pages = _with_status(_page_urls(spark, sf_dir).select("page_id"))
     return pages.withColumn("error", fetch.status_error(F.col("status_code")))
 
 
@@ -207,7 +212,7 @@ def _site_graph(spark, sf_dir):
     """Pages, seeds and adjacency lists; every page also links to one URL that is not stored."""
     pages = _pages(spark, sf_dir)
     stage = Stage(spark, "site-graph")
-    positions = stage.save(site_positions(pages), "positions")
+    positions = stage.save(site_positions(_page_urls(spark, sf_dir)), "positions")
     gone = F.array(F.concat(F.lit("http://"), U.netloc(F.col("url")), F.lit("/gone")))
     links = site_links(positions).select(
         "url", F.array_sort(F.array_union("links", gone)).alias("links")
@@ -299,7 +304,7 @@ def _page_documents(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(
+    return spread(_table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("url"),
         "text",
     )

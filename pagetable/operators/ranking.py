@@ -17,18 +17,28 @@ def ranked(
     minor: list[str],
     limits: DataFrame | None = None,
     name: str = "rank",
+    highest: int | None = None,
     range_bits: int = RANGE_BITS,
 ) -> DataFrame:
     """Adds ``row_number() OVER (PARTITION BY keys ORDER BY major, minor)``, from 1.
 
-    ``major`` is an integer column. A plain window would sort each group in one task.
-    Here a group is cut into ranges of major values: the ranges are counted (combined
-    map-side), a window over those few counts gives each range its offset, and rows are numbered
-    within their range only.
+    ``major`` is an integer column. A plain window would sort each group in one task. Here a group
+    is cut into ranges of major values: the ranges are counted (combined map-side), a window over
+    those few counts gives each range its offset, and rows are numbered within their range only.
+    When ``highest``, the largest major value, is known to leave a single range, that window is
+    all there is.
 
     ``limits`` (keys, ``n``) keeps the first ``n`` rows of each group; ranges wholly beyond the
     limit are dropped before anything is sorted.
     """
+    if highest is not None and highest >> range_bits == 0:
+        plain = Window.partitionBy(*keys).orderBy(major, *minor)
+        numbered = df.withColumn(name, F.row_number().over(plain).cast("long"))
+        if limits is None:
+            return numbered
+        kept = numbered.join(limits.select(*keys, "n"), keys)
+        return kept.filter(F.col(name) <= F.col("n")).drop("n")
+
     ranges = df.withColumn("_range", F.shiftright(F.col(major), range_bits))
     counts = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_count"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(

@@ -12,21 +12,31 @@ DESCRIPTION_CAP = 160
 POST_FIELDS = ("id", "date", "user", "fullname", "content", "likes", "retweets", "replies", "url")
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+_WORD = r"[\p{L}\p{N}]+"
+
+
+def n_words(text: Column) -> Column:
+    """How many runs of letters and digits the text has."""
+    return F.regexp_count(text, F.lit(_WORD))
+
+
+def count_terms(text: Column, terms: list[str]) -> Column:
+    """How often any of the (lower-case) terms occurs as a whole word, letter case aside.
+
+    One regular expression pass; the text is never cut into an array of words.
+    """
+    pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
+    return F.regexp_count(F.lower(text), F.lit(pattern))
 
 
 def query_terms(query: str) -> list[str]:
-    """Distinct terms of a query, cut like the texts are."""
+    """Distinct terms of a query, cut like the texts are. Raises ``ValueError`` for none."""
     words = "".join(c if c.isalnum() else " " for c in query.lower()).split()
+    if not words:
+        raise ValueError(f"no search terms in {query!r}")
     return list(dict.fromkeys(words))
 
 
-def _count_of(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
-
-
 def _hit(docs: DataFrame, score_column: str) -> DataFrame:
     """Search-hit columns; missing values become ``''``."""
     return docs.select(
@@ -42,10 +52,10 @@ def search(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
 
     Scores are computed row by row, so the plan is one scan and a bounded top-k: no shuffle.
     """
-    terms = F.array(*[F.lit(t) for t in query_terms(query)])
-    score = F.size(F.filter(tokens(F.col("text")), lambda t: F.array_contains(terms, t)))
-    hits = docs.withColumn("score", score.cast("long")).filter(F.col("score") > 0)
-    return _hit(hits.orderBy(F.desc("score"), "id").limit(limit), "score")
+    score = count_terms(F.col("text"), query_terms(query))
+    best = docs.withColumn("score", score.cast("long")).orderBy(F.desc("score"), "id").limit(limit)
+    # Tested after the limit: earlier, the filter would score every text a second time.
+    return _hit(best.filter(F.col("score") > 0), "score")
 
 
 def search_bm25(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
@@ -55,14 +65,13 @@ def search_bm25(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
     which come back as a scalar subquery.
     """
     terms = query_terms(query)
-    words = tokens(F.col("text"))
-    counted = docs.withColumn("_words", words).select(
+    counted = docs.select(
         "id",
         "title",
         "url",
         "text",
-        F.size("_words").alias("_len"),
-        *[_count_of("_words", t).alias(f"_tf{i}") for i, t in enumerate(terms)],
+        n_words(F.col("text")).alias("_len"),
+        *[count_terms(F.col("text"), [t]).alias(f"_tf{i}") for i, t in enumerate(terms)],
     )
     collection = counted.select(
         F.struct(
@@ -78,9 +87,10 @@ def search_bm25(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
         idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
         norm = tf + K1 * (1 - B + B * F.col("_len") / F.col("_all.mean"))
         score = score + idf * tf * (K1 + 1) / norm
-    any_term = F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    hits = with_stats.filter(any_term).withColumn("score", F.round(score, 6))
-    return _hit(hits.orderBy(F.desc("score"), "id").limit(limit), "score")
+    # Every term found adds a positive amount, so documents without any are the ones at zero.
+    scored = with_stats.withColumn("_score", score).withColumn("score", F.round("_score", 6))
+    best = scored.orderBy(F.desc("score"), F.desc(F.col("_score") > 0), "id").limit(limit)
+    return _hit(best.filter(F.col("_score") > 0), "score")
 
 
 def posts(raw: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ the lineage and gives the next level exact sizes to plan with.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,19 +28,17 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-class _Walk:
-    """The tables of a finished walk: ``visited`` and ``hits`` (visited and stored)."""
+class _Walk(NamedTuple):
+    """The tables of a finished walk."""
 
-    def __init__(self, visited: DataFrame, hits: DataFrame) -> None:
-        self.visited, self.hits = visited, hits
+    visited: DataFrame
+    hits: DataFrame  # visited and stored, with their links
 
 
 def _room(done: list[DataFrame], seeds: DataFrame, limit: int) -> DataFrame:
     """``seed, n``: how many more URLs each seed may take."""
-    if not done:
-        return seeds.select("seed", F.lit(limit).cast("long").alias("n"))
-    used = _union([d.select("seed") for d in done]).groupBy("seed").agg(
-        F.count("*").alias("used")
+    used = (
+        _union([d.select("seed") for d in done]).groupBy("seed").agg(F.count("*").alias("used"))
     )
     left = seeds.join(used, "seed", "left").select(
         "seed", (F.lit(limit) - F.coalesce("used", F.lit(0))).alias("n")
@@ -77,26 +76,34 @@ def _walk(
     A level keeps the first URLs that fit in the room left and drops the rest for good. With
     ``failures_count`` every visited URL takes up room, else only the stored ones do.
     """
-    seeds = stage.save(seeds.select("seed").distinct(), "seeds")
-    found = seeds.select("seed", F.col("seed").alias("url"), F.lit(0).cast("long").alias("place"))
-    found = found.filter(~is_binary(F.col("url")))
+    start = seeds.select("seed").distinct().filter(~is_binary(F.col("seed")))
     if limit is not None and limit <= 0:
-        found = found.limit(0)
+        start = start.limit(0)
+    batch = start.select(
+        "seed",
+        F.col("seed").alias("url"),
+        F.lit(1).cast("long").alias("rank"),
+        F.lit(0).alias("depth"),
+    )
     visited: list[DataFrame] = []
     hits: list[DataFrame] = []
     for level in range(depth + 1):
-        room = None
-        if limit is not None:
-            room = _room(visited if failures_count else hits, seeds, limit)
-        major = found.withColumn("_major", F.shiftright("place", _PLACE_BITS))
-        batch = ranked(major, ["seed"], "_major", ["place"], room)
-        batch = batch.select("seed", "url", "rank", F.lit(level).alias("depth"))
         visited.append(stage.save(batch, f"visited-{level}"))
         # An inner join, so that whichever side is small may be broadcast by its actual size.
         hits.append(stage.save(visited[-1].join(link_lists, "url"), f"hits-{level}"))
-        if level == depth or visited[-1].isEmpty():
+        # One number says whether to go on and how wide the next level's ranks can spread.
+        widest = hits[-1].agg(F.max("rank")).first()[0]
+        if level == depth or widest is None:
             break
-        found = _first_visits(hits[-1], visited)
+        found = _first_visits(hits[-1], visited).withColumn(
+            "_parent", F.shiftright("place", _PLACE_BITS)
+        )
+        room = None
+        if limit is not None:
+            room = _room(visited if failures_count else hits, visited[0], limit)
+        batch = ranked(found, ["seed"], "_parent", ["place"], room, highest=widest).select(
+            "seed", "url", "rank", F.lit(level + 1).alias("depth")
+        )
     return _Walk(_union(visited), _union(hits))
 
 
