@@ -95,13 +95,18 @@ def _parse_one(text: str) -> list[tuple[str, list[Test]]]:
         combinator, at = gap[1] or " ", gap.end()
 
 
+_LIST_PIECE = re.compile(r"""\[(?:[^\]"']|"[^"]*"|'[^']*')*\]|,|\[|[^,\[]+""")
+
+
 def _split_list(selector: str) -> list[str]:
-    """Split at commas outside brackets and quotes."""
-    parts = re.findall(r"""(?:[^,\[\]"']|\[(?:[^\]"']|"[^"]*"|'[^']*')*\]|["'\]\[])+""", selector)
-    parts = [p.strip() for p in parts]
-    if not parts or not all(parts) or selector.strip().startswith(",") or selector.strip().endswith(","):
-        raise SelectorError(f"unsupported selector: {selector!r}")
-    return parts
+    """Split at commas outside brackets."""
+    parts = [""]
+    for piece in _LIST_PIECE.findall(selector):
+        if piece == ",":
+            parts.append("")
+        else:
+            parts[-1] += piece
+    return [p.strip() for p in parts]
 
 
 def _all(tests: list[Test], node: Column) -> Column:
