@@ -16,6 +16,7 @@ def ranked(
     major: str,
     minor: list[str],
     limits: DataFrame | None = None,
+    most: int | None = None,
     name: str = "rank",
     highest: int | None = None,
     range_bits: int = RANGE_BITS,
@@ -29,13 +30,16 @@ def ranked(
     all there is.
 
     ``limits`` (keys, ``n``) keeps the first ``n`` rows of each group; ranges wholly beyond the
-    limit are dropped before anything is sorted.
+    limit are dropped before anything is sorted. ``most`` is a bound on every ``n``: being a
+    constant, it lets Spark cut groups before the shuffle.
     """
     if highest is not None and highest >> range_bits == 0:
         plain = Window.partitionBy(*keys).orderBy(major, *minor)
-        numbered = df.withColumn(name, F.row_number().over(plain).cast("long"))
+        numbered = df.withColumn(name, F.row_number().over(plain))
         if limits is None:
             return numbered
+        if most is not None:
+            numbered = numbered.filter(F.col(name) <= most)
         kept = numbered.join(limits.select(*keys, "n"), keys)
         return kept.filter(F.col(name) <= F.col("n")).drop("n")
 

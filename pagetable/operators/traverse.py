@@ -22,6 +22,7 @@ from pagetable.sources.fetch import stored
 # (order of the parent, place of the link) packed into one long, so that the earliest of several
 # ways to a URL is a plain hash aggregate. ANSI arithmetic fails on overflow instead of wrapping.
 _PLACE_BITS = 31
+_SEEN = -1
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -49,8 +50,10 @@ def _room(done: list[DataFrame], seeds: DataFrame, limit: int) -> DataFrame:
 def _first_visits(hits: DataFrame, visited: list[DataFrame]) -> DataFrame:
     """URLs linked from ``hits`` and not visited, each at its earliest place.
 
-    The minimum is combined map-side, so a hub that every page links to costs one row per task.
-    Aggregate and anti-join share one partitioning on ``(seed, url)``.
+    Visited URLs join the aggregation with a place before all others, so one aggregate both finds
+    the earliest place and tells the new URLs. It is combined map-side: a hub that every page
+    links to costs one row per task, which an anti-join, pushed below the aggregate by the
+    optimizer, would not give.
     """
     linked = hits.select(
         "seed",
@@ -58,9 +61,10 @@ def _first_visits(hits: DataFrame, visited: list[DataFrame]) -> DataFrame:
         F.posexplode("links").alias("_pos", "url"),
     ).filter(~is_binary(F.col("url")))
     place = F.col("_parent") * F.lit(1 << _PLACE_BITS) + F.col("_pos")
-    first = linked.groupBy("seed", "url").agg(F.min(place).alias("place"))
-    seen = _union([v.select("seed", "url") for v in visited])
-    return first.join(seen, ["seed", "url"], "left_anti")
+    places = [linked.select("seed", "url", place.alias("place"))]
+    places += [v.select("seed", "url", F.lit(_SEEN).cast("long").alias("place")) for v in visited]
+    first = _union(places).groupBy("seed", "url").agg(F.min("place").alias("place"))
+    return first.filter(F.col("place") > _SEEN)
 
 
 def _walk(
@@ -101,8 +105,8 @@ def _walk(
         room = None
         if limit is not None:
             room = _room(visited if failures_count else hits, visited[0], limit)
-        batch = ranked(found, ["seed"], "_parent", ["place"], room, highest=widest).select(
-            "seed", "url", "rank", F.lit(level + 1).alias("depth")
+        batch = ranked(found, ["seed"], "_parent", ["place"], room, limit, highest=widest).select(
+            "seed", "url", F.col("rank").cast("long"), F.lit(level + 1).alias("depth")
         )
     return _Walk(_union(visited), _union(hits))
 
