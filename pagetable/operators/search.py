@@ -20,13 +20,17 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_WORD))
 
 
-def count_terms(text: Column, terms: list[str]) -> Column:
-    """How often any of the (lower-case) terms occurs as a whole word, letter case aside.
+def found_terms(text: Column, terms: list[str]) -> Column:
+    """Every whole-word occurrence of the (lower-case) terms, letter case aside.
 
-    One regular expression pass; the text is never cut into an array of words.
+    One regular expression pass; the text is never cut into an array of all its words.
     """
     pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
-    return F.regexp_count(F.lower(text), F.lit(pattern))
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+
+
+def _count_of(term: str) -> Column:
+    return F.size(F.filter("_found", lambda t: t == term))
 
 
 def query_terms(query: str) -> list[str]:
@@ -52,7 +56,7 @@ def search(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
 
     Scores are computed row by row, so the plan is one scan and a bounded top-k: no shuffle.
     """
-    score = count_terms(F.col("text"), query_terms(query))
+    score = F.size(found_terms(F.col("text"), query_terms(query)))
     best = docs.withColumn("score", score.cast("long")).orderBy(F.desc("score"), "id").limit(limit)
     # Tested after the limit: earlier, the filter would score every text a second time.
     return _hit(best.filter(F.col("score") > 0), "score")
@@ -66,13 +70,10 @@ def search_bm25(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """
     terms = query_terms(query)
     counted = docs.select(
-        "id",
-        "title",
-        "url",
-        "text",
+        "*",
         n_words(F.col("text")).alias("_len"),
-        *[count_terms(F.col("text"), [t]).alias(f"_tf{i}") for i, t in enumerate(terms)],
-    )
+        found_terms(F.col("text"), terms).alias("_found"),
+    ).withColumns({f"_tf{i}": _count_of(t) for i, t in enumerate(terms)})
     collection = counted.select(
         F.struct(
             F.count("*").alias("n"),

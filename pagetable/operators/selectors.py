@@ -65,7 +65,9 @@ def _simple_test(m: re.Match) -> Test:
         return lambda n: n["attrs"]["id"] == m["id"]
     if m["attr"] is not None:
         wanted = next((v for v in (m["dq"], m["sq"], m["bare"]) if v is not None), None)
-        return _attribute_test(m["attr"], m["op"], wanted, m["fold"] is not None)
+        # HTML compares values of ``type`` without regard to letter case.
+        fold = m["fold"] is not None or m["attr"].lower() == "type"
+        return _attribute_test(m["attr"], m["op"], wanted, fold)
     if m["first"] is not None:
         return lambda n: n["nth"] == 1
     if m["nth"] in ("odd", "even"):

@@ -17,7 +17,7 @@ from pagetable.operators.content import scrape
 from pagetable.operators.links import link_sets
 from pagetable.operators.ranking import ranked
 from pagetable.session import Stage
-from pagetable.sources.fetch import stored
+from pagetable.sources.fetch import fetched, stored
 
 # (order of the parent, place of the link) packed into one long, so that the earliest of several
 # ways to a URL is a plain hash aggregate. ANSI arithmetic fails on overflow instead of wrapping.
@@ -115,7 +115,7 @@ def _links_of(pages: DataFrame, link_lists: DataFrame | None, stage: Stage) -> D
     """Adjacency lists; computed once and written when not given, since each level joins them."""
     if link_lists is not None:
         return link_lists.select("url", "links")
-    return stage.save(link_sets(pages), "links")
+    return stage.save(link_sets(fetched(pages)), "links")
 
 
 def crawl_order(
@@ -149,7 +149,7 @@ def crawl(
     Only pages that some crawl returns are parsed, each of them once however many seeds share it.
     """
     order = crawl_order(pages, seeds, depth, limit, link_lists)
-    return order.join(scrape(stored(pages, order.select("url")), fmt), "url")
+    return order.join(scrape(stored(fetched(pages), order.select("url")), fmt), "url")
 
 
 def site_tree(

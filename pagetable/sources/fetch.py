@@ -7,6 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 TIMEOUT_SECONDS = 30
 
 
+def fetched(pages: DataFrame) -> DataFrame:
+    """Pages whose fetch gave something: not those without HTML, nor errors with an empty body."""
+    usable = F.col("html").isNotNull()
+    if "status_code" in pages.columns:
+        failed = F.coalesce(F.col("status_code") >= 400, F.lit(False))
+        usable = usable & ~(failed & (F.col("html") == ""))
+    return pages.filter(usable)
+
+
 def stored(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """The stored page of each URL in ``urls``; of several copies the smallest ``page_id``.
 

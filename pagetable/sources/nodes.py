@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_right
 from html import unescape
 from html.entities import html5
 
@@ -76,26 +77,37 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WALLS = frozenset("html body table caption td th button object template select".split())
 # New tag -> (open tags it ends, tags the search does not look beyond).
 _ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "option": ({"option"}, {"select", "datalist", "optgroup"}),
-    "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption"}, {"table", "thead", "tbody", "tfoot"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "caption"}, {"table"}),
-    "rt": ({"rt", "rp"}, {"ruby"}),
-    "rp": ({"rt", "rp"}, {"ruby"}),
-    "a": ({"a"}, set()),
+    "li": ("li", "ul ol menu dir"),
+    "dt": ("dt dd", "dl"),
+    "dd": ("dt dd", "dl"),
+    "option": ("option", "datalist optgroup"),
+    "optgroup": ("option optgroup", ""),
+    "tr": ("tr td th caption", "thead tbody tfoot"),
+    "td": ("td th", "tr"),
+    "th": ("td th", "tr"),
+    "tbody": ("thead tbody tfoot caption", ""),
+    "thead": ("thead tbody tfoot caption", ""),
+    "tfoot": ("thead tbody tfoot caption", ""),
+    "rt": ("rt rp", "ruby"),
+    "rp": ("rt rp", "ruby"),
+    "a": ("a", ""),
 }
 # An end tag does not reach across an open element of a higher rank.
 _RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180,
          "table": 190, "head": 200, "body": 200, "html": 220}
 
 
+def _rule(targets: str, walls: str) -> tuple[frozenset, frozenset]:
+    ended = frozenset(targets.split())
+    return ended, (_WALLS | frozenset(walls.split())) - ended
+
+
+_END_RULES = {tag: _rule(*rule) for tag, rule in _ENDS.items()}
+_P_RULE = _rule("p", "")
+# Rank -> tags of a higher one.
+_HIGHER = {r: tuple(t for t in _RANK if _RANK[t] > r) for r in {100, *_RANK.values()}}
+
+
 def _attr_text(value: str) -> str:
     if "&" not in value:
         return value
@@ -132,8 +144,9 @@ class _Nodes:
     def _parse(self, html: str) -> None:
         # Open elements, innermost last: [id, tag, zone, element children, emitted row].
         stack: list[list] = []
+        # Tag -> depths at which it is open; spares walks up the stack, however deep it is.
+        opened: dict[str, list[int]] = {}
         rows = self.rows
-        seen: set[str] = set()
         pending: list[str] = []
         last_id = 0
 
@@ -141,14 +154,16 @@ class _Nodes:
             if pending:
                 flush()
             while len(stack) > depth:
-                stack.pop()[4][_LAST] = last_id
+                top = stack.pop()
+                opened[top[1]].pop()
+                top[4][_LAST] = last_id
 
         def flush() -> None:
             nonlocal last_id
             text = "".join(pending)
             pending.clear()
             blank = not text.strip()
-            if "body" not in seen and stack[-1:] and stack[-1][1] in ("html", "head") or not stack:
+            if "body" not in opened and stack[-1:] and stack[-1][1] in ("html", "head") or not stack:
                 if blank:
                     return
                 start_body()
@@ -177,54 +192,54 @@ class _Nodes:
                    list(attrs.items()), None]
             if self.want_elements:
                 rows.append(row)
+            opened.setdefault(tag, []).append(len(stack))
             stack.append([last_id, tag, zone, 0, row])
-            seen.add(tag)
 
         def start_body() -> None:
             held, pending[:] = pending[:], []
-            if "html" not in seen:
+            if "html" not in opened:
                 push("html", {})
             pop_to(1)
             push("body", {})
             pending[:] = held
 
+        def close(rule) -> None:
+            targets, walls = rule
+            if not any(opened.get(t) for t in targets):
+                return
+            wall = max((opened[w][-1] for w in walls if opened.get(w)), default=-1)
+            cuts = [
+                d[bisect_right(d, wall)] for t in targets if (d := opened.get(t)) and d[-1] > wall
+            ]
+            if cuts:
+                pop_to(min(cuts))
+
         def end_implied(tag: str) -> None:
-            def close(targets, walls) -> None:
-                cut = None
-                for i in range(len(stack) - 1, 0, -1):
-                    name = stack[i][1]
-                    if name in targets:
-                        cut = i
-                    elif name in walls or name in _WALLS:
-                        break
-                if cut is not None:
-                    pop_to(cut)
-
-            if tag in _ENDS:
-                close(*_ENDS[tag])
+            if tag in _END_RULES:
+                close(_END_RULES[tag])
             if tag in _CLOSES_P:
-                close({"p"}, ())
+                close(_P_RULE)
                 if tag in _HEADINGS and stack[-1][1] in _HEADINGS:
                     pop_to(len(stack) - 1)
 
         def start_tag(tag: str, source: str, content: str | None) -> None:
             attrs = _attributes(source) if source else {}
             if tag in ("html", "head", "body"):
-                if tag in seen or (tag == "head" and "body" in seen):
+                if tag in opened or (tag == "head" and "body" in opened):
                     return
                 if tag != "html":
-                    if "html" not in seen:
+                    if "html" not in opened:
                         push("html", {})
                     pop_to(1)
                 push(tag, attrs)
                 return
             if pending:
                 flush()
-            if "body" not in seen:
+            if "body" not in opened:
                 if tag not in _HEAD:
                     start_body()
-                elif "head" not in seen:
-                    if "html" not in seen:
+                elif "head" not in opened:
+                    if "html" not in opened:
                         push("html", {})
                     push("head", {})
             end_implied(tag)
@@ -240,13 +255,12 @@ class _Nodes:
         def end_tag(tag: str) -> None:
             if tag in ("html", "body"):
                 return
-            rank = _RANK.get(tag, 100)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == tag:
-                    pop_to(i)
+            depths = opened.get(tag)
+            if depths:
+                higher = _HIGHER[_RANK.get(tag, 100)]
+                if not any(opened.get(t) and opened[t][-1] > depths[-1] for t in higher):
+                    pop_to(depths[-1])
                     return
-                if _RANK.get(stack[i][1], 100) > rank:
-                    break
             if tag in ("p", "br"):
                 start_tag(tag, "", None)
                 if tag == "p":

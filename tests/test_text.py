@@ -11,7 +11,7 @@ from pagetable.functions.strings import strip
 from pagetable.operators import content as C
 from pagetable.operators import links as L
 from pagetable.operators.markdown import to_markdown
-from pagetable.sources.nodes import _attr_text, dom_nodes, node_table, with_nodes
+from pagetable.sources.nodes import _attr_text, _Nodes, dom_nodes, node_table, with_nodes
 
 REFS = (
     "a &amp; b", "&#65;&#x42;&#128;&#0;&#xD800;&#x110000;&#99999999999;&#X1f600;", "&notit; &not",
@@ -78,6 +78,13 @@ def test_head_and_body_are_implied_once(spark, page_frame):
     ]
 
 
+def test_deep_nesting_is_not_quadratic():
+    for unit in ("<div>", "<p><button><div>", "<b><p>", "<td>", "<li><ul>"):
+        nodes = _Nodes(True, False)
+        nodes.add_page(unit * 20000 + "x" + "</i></p>" * 20000)
+        assert len(nodes.rows) > 20000
+
+
 def test_attributes(spark, page_frame):
     html = """<P ID=one Class='a  b' data-x="1 &gt; 0" hidden id=two title=a&copy=b>t"""
     nodes = page_frame(html).select(dom_nodes(F.col("html"))).first()[0]

@@ -112,6 +112,16 @@ def test_crawl_parses_links_from_pages_and_survives_copies(spark):
     ]
 
 
+def test_error_pages_are_followed_and_empty_ones_are_not(spark):
+    rows = [(0, "http://h/a", "<a href=/b></a><a href=/c></a><a href=/d></a>", 500),
+            (1, "http://h/b", "", 404), (2, "http://h/c", None, None), (3, "http://h/d", "", 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, status_code int")
+    seeds = spark.createDataFrame([("http://h/a",)], "seed string")
+    got = G.crawl(pages, seeds, depth=1).orderBy("depth", "rank").collect()
+    assert [(r.url, r.error) for r in got] == [("http://h/a", "HTTP 500"), ("http://h/d", None)]
+    assert G.site_map(pages, seeds, 1).first().total_urls == 4
+
+
 @pytest.mark.parametrize("highest", [None, 99])
 def test_ranked_equals_row_number(spark, highest):
     """With ranges of two values, of one group holding most rows, and with limits."""
