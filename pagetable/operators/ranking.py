@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 RANGE_BITS = 12  # a range holds 4096 values of the major key
 # Up to this k Spark itself cuts each group before the shuffle (window group limit).
@@ -69,7 +70,8 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int)
     ``k`` rows before shuffling. For a larger one each group is first cut within salted parts.
     """
     if k > _BUILT_IN_CUT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
+        plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(_SALTS)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             salted.withColumn("_part_rank", F.row_number().over(part))

@@ -16,6 +16,7 @@ A node is ``struct(id, parent, last, depth, nth, zone, tag, attrs, text)``:
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from bisect import bisect_right
@@ -146,7 +147,7 @@ class _Nodes:
         stack: list[list] = []
         # Tag -> depths at which it is open; spares walks up the stack, however deep it is.
         opened: dict[str, list[int]] = {}
-        rows = self.rows
+        rows, want_elements, unwanted = self.rows, self.want_elements, [0] * len(_ARROW_NODE)
         pending: list[str] = []
         last_id = 0
 
@@ -188,9 +189,10 @@ class _Nodes:
             if "class" in attrs and parent[2] & ZONE_BODY:
                 if not BOILER_CLASSES.isdisjoint(attrs["class"].split()):
                     zone |= ZONE_BOILER
-            row = [last_id, parent[0], last_id, len(stack), parent[3], zone, tag,
-                   list(attrs.items()), None]
-            if self.want_elements:
+            row = unwanted
+            if want_elements:
+                row = [last_id, parent[0], last_id, len(stack), parent[3], zone, tag,
+                       list(attrs.items()), None]
                 rows.append(row)
             opened.setdefault(tag, []).append(len(stack))
             stack.append([last_id, tag, zone, 0, row])
@@ -300,12 +302,17 @@ def _node_udf(want_elements: bool, want_spaces: bool):
         # Python objects are turned into Arrow every so many nodes, so a batch of large pages
         # never holds more than that many of them.
         done, nodes = [], _Nodes(want_elements, want_spaces)
-        for html in pages:
-            nodes.add_page(html.as_py())
-            if len(nodes.rows) > _NODES_PER_CHUNK:
-                done.append(nodes.to_arrow())
-                nodes = _Nodes(want_elements, want_spaces)
-        done.append(nodes.to_arrow())
+        # The many small lists of a chunk live until its end, so looking for garbage is in vain.
+        gc.disable()
+        try:
+            for html in pages:
+                nodes.add_page(html.as_py())
+                if len(nodes.rows) > _NODES_PER_CHUNK:
+                    done.append(nodes.to_arrow())
+                    nodes = _Nodes(want_elements, want_spaces)
+            done.append(nodes.to_arrow())
+        finally:
+            gc.enable()
         return pa.concat_arrays(done)
 
     return dom_nodes

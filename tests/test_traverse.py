@@ -10,6 +10,7 @@ from pagetable.operators import traverse as G
 from pagetable.operators.ranking import first_per_group, ranked
 from pagetable.plans.site_graph import site_links, site_positions, site_seeds
 from pagetable.plans.site_report import site_report
+from pagetable.sources.tables import save_link_table
 
 HOST = "http://h/"
 GRAPH = {"s": "abc", "a": "ds", "c": "e", "d": "f", "e": "", "f": ""}  # b is not stored
@@ -163,3 +164,27 @@ def test_site_graph(spark):
             r = i + 1
             want = [f"http://{h}/{t - 1}" for t in (2 * r, 2 * r + 1, r - 1) if 1 <= t <= n]
             assert links[f"http://{h}/{i}"] == sorted(want)
+
+
+def test_bucketed_links_are_not_shuffled(spark):
+    pages, seeds, links = frames(spark, GRAPH, "s")
+    table = save_link_table(links, "link_table", 4)
+    assert G.crawl_order(pages, seeds, 2, 10, table).count() == 5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = seeds.withColumnRenamed("seed", "url").join(table, "url")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE link_table")
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_new_urls_are_combined_before_the_shuffle(spark):
+    """The level step aggregates once on (seed, url) and joins nothing."""
+    pages, seeds, links = frames(spark, GRAPH, "s")
+    hits = seeds.select("seed", F.col("seed").alias("url"), F.lit(1).alias("rank")).join(links, "url")
+    found = G._first_visits(hits, [hits])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min" in plan and "LeftAnti" not in plan
+    assert sorted(r.url for r in found.collect()) == [HOST + u for u in "abc"]
