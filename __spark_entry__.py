@@ -215,7 +215,7 @@ def _site_graph(spark, sf_dir):
     positions = stage.save(site_positions(_page_urls(spark, sf_dir)), "positions")
     gone = F.array(F.concat(F.lit("http://"), U.netloc(F.col("url")), F.lit("/gone")))
     links = site_links(positions).select(
-        "url", F.array_sort(F.array_union("links", gone)).alias("links")
+        "url", F.sort_array(F.array_union("links", gone)).alias("links")
     )
     return pages, site_seeds(positions), stage.save(links, "links")
 
@@ -259,7 +259,7 @@ def site_map(spark, sf_dir):
         "root",
         "total_urls",
         F.array_join("urls", "\n").alias("urls"),
-        F.array_join(F.array_sort(entries), "\n").alias("tree"),
+        F.array_join(F.sort_array(entries), "\n").alias("tree"),
     )
 
 

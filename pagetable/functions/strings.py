@@ -22,3 +22,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def first_or_null(items: Column) -> Column:
     return F.get(items, F.lit(0))
+
+
+def positions(items: Column | str) -> Column:
+    """``posexplode`` for arrays that are costly to compute; filter on ``pos`` being set.
+
+    For a plain ``posexplode`` the optimizer adds a test that the array is not empty and pushes it
+    below the projection, where the array is computed once more per test.
+    """
+    return F.posexplode_outer(items)

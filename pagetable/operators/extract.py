@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagetable.functions import markup as M
-from pagetable.functions.strings import let, strip
+from pagetable.functions.strings import let, positions, strip
 from pagetable.operators.content import title
 from pagetable.operators.selectors import check, select
 from pagetable.sources.fetch import status_error
@@ -137,8 +137,8 @@ def extract(pages: DataFrame, spec: str | dict | Schema, order: str | None = Non
 
 def extract_rows(pages: DataFrame, spec, order: str | None = None) -> DataFrame:
     """Long form: ``page_id, pos`` and one column per field."""
-    found = extract(pages, spec, order).select("page_id", F.posexplode("data").alias("pos", "item"))
-    return found.select("page_id", "pos", "item.*")
+    found = extract(pages, spec, order).select("page_id", positions("data").alias("pos", "item"))
+    return found.filter(F.col("pos").isNotNull()).select("page_id", "pos", "item.*")
 
 
 def scrape_with_schema(pages: DataFrame, spec, order: str | None = None) -> DataFrame:

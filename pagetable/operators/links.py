@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagetable.functions import markup as M
 from pagetable.functions.entities import decode_attribute
-from pagetable.functions.strings import let, strip
+from pagetable.functions.strings import let, positions, strip
 from pagetable.functions.urls import absolute_links, is_binary_path, netloc, resolve_targets
 from pagetable.sources.nodes import dom_nodes, is_text, subtree
 
@@ -40,7 +40,7 @@ def follow(url: Column, references: Column) -> Column:
             lambda t: (t["netloc"] == host) & ~is_binary_path(t["path"]),
         ),
     )
-    return F.array_sort(F.array_distinct(F.transform(kept, lambda t: t["url"])))
+    return F.sort_array(F.array_distinct(F.transform(kept, lambda t: t["url"])))
 
 
 def internal_links(pages: DataFrame, from_nodes: bool = False) -> DataFrame:
@@ -61,9 +61,8 @@ def link_sets(pages: DataFrame) -> DataFrame:
 
 def link_edges(links: DataFrame) -> DataFrame:
     """``src, pos, dst``: link sets as edges, ``pos`` counting from 0."""
-    return links.select(
-        F.col("url").alias("src"), F.posexplode("links").alias("pos", "dst")
-    )
+    exploded = links.select(F.col("url").alias("src"), positions("links").alias("pos", "dst"))
+    return exploded.filter(F.col("pos").isNotNull())
 
 
 def link_degrees(edges: DataFrame) -> DataFrame:
@@ -108,6 +107,7 @@ def page_links(pages: DataFrame) -> DataFrame:
         "page_id", "url", dom_nodes(F.col("html"), spaces=True).alias("nodes")
     )
     links = parsed.select("page_id", links_with_text(F.col("url"), F.col("nodes")).alias("links"))
-    return links.select("page_id", F.posexplode("links").alias("pos", "link")).select(
+    exploded = links.select("page_id", positions("links").alias("pos", "link"))
+    return exploded.filter(F.col("pos").isNotNull()).select(
         "page_id", "pos", "link.href", "link.text"
     )

@@ -164,7 +164,7 @@ def to_markdown(nodes: Column) -> Column:
             F.filter(x["kept"], lambda n: ~is_text(n)),
             lambda n: piece(n["last"], 1, n["depth"], _close(n, nodes, x["lists"])),
         )
-        pieces = F.array_sort(F.concat(opening, closing))
+        pieces = F.sort_array(F.concat(opening, closing))
         return F.array_join(F.transform(pieces, lambda p: p["text"]), "")
 
     # Bound once: each of the three arrays is used for many nodes.

@@ -134,7 +134,7 @@ def select(nodes: Column, selector: str) -> Column:
     if len(found) == 1:
         return found[0]
     ids = F.array_distinct(F.concat(*[F.transform(f, lambda n: n["id"]) for f in found]))
-    return F.transform(F.array_sort(ids), lambda i: F.element_at(nodes, i))
+    return F.transform(F.sort_array(ids), lambda i: F.element_at(nodes, i))
 
 
 def _select_steps(nodes: Column, steps: list[tuple[str, list[Test]]]) -> Column:

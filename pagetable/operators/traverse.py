@@ -196,7 +196,7 @@ def site_map(
     rows = site_tree(pages, seeds, depth, limit, link_lists)
     maps = rows.groupBy("root").agg(
         F.count("*").alias("total_urls"),
-        F.array_sort(F.collect_list("url")).alias("urls"),
+        F.sort_array(F.collect_list("url")).alias("urls"),
         F.map_from_entries(F.collect_list(F.struct("url", "links"))).alias("tree"),
     )
     no_links = F.array().cast("array<string>")

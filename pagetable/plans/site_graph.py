@@ -26,7 +26,7 @@ def site_links(positions: DataFrame) -> DataFrame:
     return (
         positions.join(targets, ["host", "r"], "left")
         .groupBy("url")
-        .agg(F.array_sort(F.collect_set("dst")).alias("links"))
+        .agg(F.sort_array(F.collect_set("dst")).alias("links"))
     )
 
 

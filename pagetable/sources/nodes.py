@@ -343,8 +343,8 @@ def is_text(node: Column) -> Column:
 def node_table(pages: DataFrame) -> DataFrame:
     """Long form: one row per node, keyed by ``page_id``."""
     exploded = with_nodes(pages.select("page_id", "html")).select(
-        "page_id", F.explode("nodes").alias("n")
-    )
+        "page_id", F.explode_outer("nodes").alias("n")
+    ).filter(F.col("n.id").isNotNull())
     kind = F.when(F.col("n.tag").isNull(), "text").otherwise("element").alias("kind")
     return exploded.select(
         "page_id",

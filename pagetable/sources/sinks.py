@@ -30,7 +30,7 @@ def json_array(df: DataFrame, order: list[str], pretty: bool = False) -> DataFra
     """
     item = F.struct(*[F.col(c) for c in df.columns])
     keyed = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], item.alias("item"))
-    rows = F.transform(F.array_sort(F.collect_list(keyed)), lambda k: k["item"])
+    rows = F.transform(F.sort_array(F.collect_list(keyed)), lambda k: k["item"])
     return df.agg(_json(rows, pretty).alias("value"))
 
 
