@@ -95,9 +95,11 @@ def _walk(
         visited.append(stage.save(batch, f"visited-{level}"))
         # An inner join, so that whichever side is small may be broadcast by its actual size.
         hits.append(stage.save(visited[-1].join(link_lists, "url"), f"hits-{level}"))
+        if level == depth:
+            break
         # One number says whether to go on and how wide the next level's ranks can spread.
-        widest = hits[-1].agg(F.max("rank")).first()[0]
-        if level == depth or widest is None:
+        widest = hits[-1].select("rank").orderBy(F.desc("rank")).first()
+        if widest is None:
             break
         found = _first_visits(hits[-1], visited).withColumn(
             "_parent", F.shiftright("place", _PLACE_BITS)
@@ -105,7 +107,7 @@ def _walk(
         room = None
         if limit is not None:
             room = _room(visited if failures_count else hits, visited[0], limit)
-        batch = ranked(found, ["seed"], "_parent", ["place"], room, limit, highest=widest).select(
+        batch = ranked(found, ["seed"], "_parent", ["place"], room, limit, highest=widest[0]).select(
             "seed", "url", F.col("rank").cast("long"), F.lit(level + 1).alias("depth")
         )
     return _Walk(_union(visited), _union(hits))
