@@ -478,6 +478,28 @@ def entry(spark: SparkSession) -> DataFrame:
     return flagship(spark, "/root/testdata/sf0.001")
 
 
+def _training_data():
+    """Queries and SQL of the ``llm`` subpackage and the pipeline over it, as far as both exist."""
+    found, sql = {}, {}
+    try:
+        from pagetable.llm.queries import ORACLES, QUERIES
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith("pagetable.llm"):
+            raise
+        return found, sql
+    found, sql = dict(QUERIES), dict(ORACLES)
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name != "corpus_pipeline":
+            raise
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "url_parts": url_parts,
@@ -524,10 +546,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "json_array": json_array,
         "content_only": content_only,
         "stream_titles": stream_titles,
+        **_training_data()[0],
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return dict(ORACLES)
+    return {**ORACLES, **_training_data()[1]}
