@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagetable.llm import bpe, langid, licenses
+from pagetable.llm import bpe, langid, licenses, token_files, toxicity
 from pagetable.llm.common import table
 
 
@@ -27,9 +27,20 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.grade_documents(docs, labels)
+
+
+def token_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.store_and_read(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 QUERIES = {
+    "op2_toxicity_grades": toxicity_grades,
     "op4_license_scan": license_scan,
     "op5_bpe_round_trip": bpe_round_trip,
+    "op8_token_files": token_file_round_trip,
     "op10_language_id": language_id,
 }
 
