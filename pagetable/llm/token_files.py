@@ -165,7 +165,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, sequenc
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .withColumn("part", F.spark_partition_id())
+        .withColumn("part", F.spark_partition_id().cast("long"))
     )
 
     def store(batches):
@@ -181,7 +181,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, sequenc
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [writer.name], "n_tokens": [writer.tokens]})
 
-    written = ordered.mapInArrow(store, "part int, file string, n_tokens long")
+    written = ordered.mapInArrow(store, "part long, file string, n_tokens long")
     written.write.parquet(f"{folder}/files")
     files = spark.read.schema(written.schema).parquet(f"{folder}/files")
     # One row per file: the only window without a key, over file names and sizes.
