@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagetable.llm import bpe, langid, licenses, token_files, toxicity
+from pagetable.llm import bpe, decontaminate, langid, licenses, token_files, toxicity
 from pagetable.llm.common import table
 
 
@@ -36,7 +36,13 @@ def token_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.store_and_read(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.matches(docs, benchmark)
+
+
 QUERIES = {
+    "op1_template_leaks": template_leaks,
     "op2_toxicity_grades": toxicity_grades,
     "op4_license_scan": license_scan,
     "op5_bpe_round_trip": bpe_round_trip,
