@@ -271,3 +271,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"),
         F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"),
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates, with all its columns.
+
+    The row is one of the class's least doc_id; of several such rows, which only differ in other
+    columns or are near duplicates themselves, one stays. Rows without a doc_id stay for classes
+    that have none, one per text.
+    """
+    found = near_duplicates(docs).filter("keep").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
