@@ -246,15 +246,8 @@ def link_texts(docs: DataFrame, signed: DataFrame, stage: Stage) -> DataFrame:
     return links.found.distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links, keep`` for every row of ``docs`` (``doc_id, text``).
-
-    ``class_id`` is the least doc_id of the documents that are connected by a similarity of at least 0.8
-    in weighted five-word shingles; equal texts, empty and null ones among them, are always in one
-    class. ``n_links`` counts the links found from its text to different texts. ``keep`` marks the
-    document that stands for its class. Words are runs of letters and digits in lower case. A row with
-    a null doc_id gets its class and is kept only if no row of the class has a doc_id.
-    """
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node`` per row, and ``node, label, class_id, n_links`` per different text."""
     stage = Stage(docs.sparkSession, "near-duplicates")
     docs = docs.select("doc_id", "text")
     signed = stage.save(signatures(docs), "signed")
@@ -266,20 +259,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = texts.join(labels, "node", "left").join(degree, "node", "left")
     grouped = stage.save(grouped.withColumn("label", F.coalesce("label", "node")), "grouped")
     classes = grouped.groupBy("label").agg(F.min("_first").alias("class_id"))
-    known = grouped.join(classes, "label").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "node").join(known, "node").select(
-        "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"),
-        F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"),
-    )
+    known = grouped.join(classes, "label").select(
+        "node", "label", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+    return signed.select("doc_id", "node"), known
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, class_id, n_links, keep`` for every row of ``docs`` (``doc_id, text``).
+
+    ``class_id`` is the least doc_id of the documents that are connected by a similarity of at least 0.8
+    in weighted five-word shingles; equal texts, empty and null ones among them, are always in one
+    class. ``n_links`` counts the links found from its text to different texts. ``keep`` marks the
+    document that stands for its class. Words are runs of letters and digits in lower case. A row with
+    a null doc_id gets its class and is kept only if no row of the class has a doc_id.
+    """
+    rows, known = _classified(docs)
+    return rows.join(known, "node").select(
+        "doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep")
+    )
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class of near duplicates, with all its columns.
 
-    The row is one of the class's least doc_id; of several such rows, which only differ in other
-    columns or are near duplicates themselves, one stays. Rows without a doc_id stay for classes
-    that have none, one per text.
+    It is a row of the class's least doc_id (of any, where none has one) and then of the text of least digest;
+    of several rows alike in both, one stays.
     """
-    found = near_duplicates(docs).filter("keep").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    rows, known = _classified(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    counted = rows.groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    chosen = counted.join(known.select("node", "label"), "node").groupBy("label").agg(
+        F.min_by(F.struct("doc_id", "node", "n"), order).alias("_c")
+    )
+    chosen = chosen.select(F.col("_c.doc_id").alias("_id"), F.col("_c.node").alias("_node"), F.col("_c.n").alias("_n"))
+    text = F.struct("*").alias("_row")
+    keyed = docs.select(text, F.col("doc_id").cast("long").alias("_doc"), _node(whole_text()).alias("_text"))
+    same = (F.col("_text") == F.col("_node")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    kept = keyed.join(chosen, same, "left_semi")
+    if chosen.filter("_n > 1").isEmpty():
+        return kept.select("_row.*")
+    return kept.dropDuplicates(["_doc", "_text"]).select("_row.*")
