@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagetable.llm import (
-    bpe, dart_minhash, decontaminate, langid, licenses, pii, token_files, toxicity,
+    bpe, dart_minhash, decontaminate, langid, licenses, pii, recompress, token_files, toxicity,
 )
 from pagetable.llm.common import table
 
@@ -51,11 +51,16 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_template_leaks": template_leaks,
     "op2_toxicity_grades": toxicity_grades,
     "op4_license_scan": license_scan,
     "op5_bpe_round_trip": bpe_round_trip,
+    "op6_repeated_passages": repeated_passages,
     "op7_personal_data": personal_data,
     "op8_token_files": token_file_round_trip,
     "op9_near_duplicates": near_duplicates,
