@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagetable.llm import (
-    bpe, dart_minhash, decontaminate, langid, licenses, pii, recompress, token_files, toxicity,
+    bpe, dart_minhash, decontaminate, hnsw, langid, licenses, pii, recompress, token_files, toxicity,
 )
 from pagetable.llm.common import table
 
@@ -55,9 +55,14 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digests(table(spark, sf_dir, "documents"))
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_template_leaks": template_leaks,
     "op2_toxicity_grades": toxicity_grades,
+    "op3_nearest_vectors": nearest_vectors,
     "op4_license_scan": license_scan,
     "op5_bpe_round_trip": bpe_round_trip,
     "op6_repeated_passages": repeated_passages,
