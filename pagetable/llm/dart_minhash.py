@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,7 +24,9 @@ from pagetable.session import Stage
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4  # a pair at 0.8 is missed with a chance of 3 in 100,000
-PAIRED = 64  # members of a bucket up to which those not linked yet are compared one by one
+FIRST_BANDS = 2  # bands in which all members are compared with their bucket's hub
+PAIRED = 16  # members of a bucket up to which those not linked yet are compared as pairs
+BLOCK = 1024  # members of a larger bucket that meet another block at once
 GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -114,7 +117,10 @@ def _hashed(text: Column) -> Column:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, bands`` per row; ``node`` is one for equal texts. Map-only."""
+    """``doc_id, node, size, bands`` per row; ``node`` is one for equal texts. Map-only.
+
+    ``size`` is the number of shingles, ``bands`` the band keys in order.
+    """
 
     def sketched(batches):
         for batch in batches:
@@ -125,11 +131,15 @@ def signatures(docs: DataFrame) -> DataFrame:
             some = np.diff(offsets) > 0
             ends = np.append(0, np.cumsum(some * BANDS)).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[some].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], bands], ["doc_id", "node", "bands"])
+            size = np.where(some, np.maximum(np.diff(offsets) - WORDS + 1, 1), 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["node"], pa.array(size.astype(np.int32)), bands],
+                ["doc_id", "node", "size", "bands"],
+            )
 
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node(text).alias("node"), _hashed(text).alias("words"))
-    return rows.mapInArrow(sketched, "doc_id long, node binary, bands array<long>")
+    return rows.mapInArrow(sketched, "doc_id long, node binary, size int, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -175,74 +185,149 @@ class _Links:
         one = wanted.select("node", F.col("doc_id").alias("_id"))
         texts = text.join(one, (text["node"] == one["node"]) & text["doc_id"].eqNullSafe(one["_id"]), "left_semi")
         # Rows alike in doc_id and text would give a set twice.
-        self._sets = self._stage.save(shingle_sets(texts).dropDuplicates(["node"]), "sets")
+        self.sets = self._stage.save(shingle_sets(texts).dropDuplicates(["node"]), "sets")
 
     def add(self, pairs: DataFrame) -> None:
         """Verifies candidate pairs ``a, b`` and keeps those similar enough."""
-        left = self._sets.select(F.col("node").alias("a"), F.col("items").alias("_x"))
-        right = self._sets.select(F.col("node").alias("b"), F.col("items").alias("_y"))
+        left = self.sets.select(F.col("node").alias("a"), F.col("items").alias("_x"))
+        right = self.sets.select(F.col("node").alias("b"), F.col("items").alias("_y"))
         both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
         shared = F.size(F.array_intersect("_x", "_y"))
         n = F.size(F.array_distinct("_x")) + F.size(F.array_distinct("_y"))
-        good = both.filter(shared >= SIMILARITY * (n - shared)).select("a", "b")
-        good = self._stage.save(good, self._name("links"))
-        self.found = good if self.found is None else self.found.union(good)
+        self.add_verified(both.filter(shared >= SIMILARITY * (n - shared)).select("a", "b"))
 
-    def labels(self) -> DataFrame:
-        return components(self.found.distinct(), self._stage, self._name("labels"))
-
-    def stars(self, members: DataFrame) -> DataFrame:
-        """Each member of a bucket with the bucket's least one: a pair per row, not per two rows."""
-        least = members.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("_max"))
-        least = least.filter(F.col("b") != F.col("_max")).select("key", "b")
-        return members.join(least, "key").filter("node != b").select(F.col("node").alias("a"), "b")
+    def add_verified(self, links: DataFrame) -> None:
+        good = self._stage.save(links, self._name("links"))
+        self.found = good if self.found is None else self.found.union(good)
 
-    def split(self, members: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component yet, with label and bucket size."""
-        labels = self.labels().select("node", F.col("label").alias("_label"))
-        known = members.join(labels, "node", "left").withColumn("label", F.coalesce("_label", "node")).drop("_label")
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """Members of buckets that hold more than one component, with ``label`` and the bucket's ``met``."""
+        labels = components(self.found.distinct(), self._stage, self._name("labels"))
+        known = members.join(labels.select("node", F.col("label").alias("_label")), "node", "left")
+        known = known.withColumn("label", F.coalesce("_label", "node")).drop("_label")
         mixed = known.groupBy("key").agg(
-            F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("size")
-        ).filter("_a != _b").select("key", "size")
+            F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("met")
+        ).filter("_a != _b").select("key", "met")
         return self._stage.save(known.join(mixed, "key"), self._name("mixed"))
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's hub, if they are not in one component yet.
+
+    The hub is the member that meets most others in all its buckets: the text that copies are nearest to.
+    """
+    hub = members.groupBy("key").agg(F.min(F.struct(-F.col("fame"), F.col("node"), F.col("label"))).alias("_h"))
+    hub = hub.select(F.col("key").alias("_key"), F.col("_h.node").alias("b"), F.col("_h.label").alias("_other"))
+    met = members.join(hub, (F.col("key") == F.col("_key")) & (F.col("label") != F.col("_other")))
+    return met.select(F.col("node").alias("a"), "b")
+
+
 def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that are in different components."""
-    other = members.select("key", F.col("node").alias("b"), F.col("label").alias("_other"))
-    met = members.join(other, "key").filter("node < b AND label != _other")
+    """Pairs of members of one bucket in different components whose sizes allow the similarity."""
+    other = members.select("key", F.col("node").alias("b"), F.col("label").alias("_other"), F.col("size").alias("_size"))
+    met = members.join(other, "key").filter(
+        "node < b AND label != _other"
+        f" AND least(size, _size) >= {SIMILARITY} * greatest(size, _size)"
+    )
     return met.select(F.col("node").alias("a"), "b")
 
 
+def _by_size(members: DataFrame) -> DataFrame:
+    """Buckets cut by size. A member stands in its own class and the next, each a factor of ``1 / SIMILARITY`` wide,
+    so two that may be similar meet."""
+    own = F.floor(F.log("size") / math.log(1 / SIMILARITY) + 1e-9)
+    classed = members.withColumn("_class", F.explode(F.array(own, own + 1)))
+    return classed.withColumn("key", F.xxhash64("key", "_class")).drop("_class")
+
+
+def links_within(labels: list, sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Similar pairs that connect the labels of a bucket: no more than there are labels.
+
+    Shared items of all pairs come from products of the members' incidence matrix, some columns at a
+    time; items that one member alone has add nothing and are left out.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.float32)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes.astype(np.int64))
+    common = times[column] > 1
+    row, column = row[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    width = 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        there = np.zeros((n, width), np.float32)
+        there[row[part], column[part] - low] = 1
+        shared += there @ there.T
+    near = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared) - 1e-4
+    root = {x: x for x in labels}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        x, y = find(labels[i]), find(labels[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(i), int(j)))
+    return out
+
+
+def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components in large buckets: every two members are compared, no pairs are written.
+
+    A bucket of more than ``BLOCK`` members is cut into blocks by hash, and every two blocks meet in a
+    task, so a task holds at most about two blocks of sets.
+    """
+    n = F.ceil(F.col("met") / BLOCK).cast("int")
+    mine = members.withColumn("_n", n).withColumn("_block", F.pmod(F.xxhash64("node", "key"), F.col("_n")).cast("int"))
+    faced = mine.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    dealt = faced.select(
+        "key", F.least("_block", "_other").alias("_i"), F.greatest("_block", "_other").alias("_j"), "node", "label"
+    ).join(sets, "node")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = [bytes(x) for x in pdf["node"]]
+        found = links_within([bytes(x) for x in pdf["label"]], [np.unique(x) for x in pdf["items"]])
+        return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, columns=["a", "b"])
+
+    return dealt.groupBy("key", "_i", "_j").applyInPandas(link, "a binary, b binary")
+
+
 def link_texts(docs: DataFrame, signed: DataFrame, stage: Stage) -> DataFrame:
     """Links ``a, b`` between different texts, enough that every similar pair is connected.
 
-    All members of a bucket are first compared with its least one. Near copies are thereby all in
-    one component, whatever their number. Only where a bucket still holds several components are its
-    members compared with each other: directly in a bucket of at most ``PAIRED``, so no member has
-    more partners than that; in a larger one after it is split by the members' other bands, in which
-    a similar pair meets again. What even then stays large and mixed is compared in full.
+    The members of a bucket are first compared with its hub, in two bands and then, where a bucket still
+    holds several components, in all. Near copies are thereby in one component after few comparisons
+    each, whatever their number. In buckets that are mixed even then, members of different components
+    whose sizes allow it are compared with each other: as pairs where at most ``PAIRED`` meet, so no
+    member has more partners than that, and block by block, without writing pairs, in larger ones.
     """
     nodes = stage.save(
-        signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")), "nodes"
+        signed.groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.min("bands").alias("bands")
+        ),
+        "nodes",
     )
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    met = members.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"))
-    met = met.filter("_a != _b").select("key")
-    members = stage.save(members.join(met, "key"), "members")
+    members = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    met = members.groupBy("key").agg(F.count("*").alias("_met")).filter("_met > 1")
+    members = stage.save(members.join(met, "key"), "met")
+    fame = members.groupBy("node").agg(F.sum("_met").alias("fame"))
+    members = stage.save(members.drop("_met").join(fame, "node"), "members")
     links = _Links(docs, nodes, stage)
     links.load_sets(members)
-    links.add(links.stars(members))
-    mixed = links.split(members)
-    small, large = F.col("size") <= PAIRED, F.col("size") > PAIRED
-    links.add(_pairs(mixed.filter(small)))
-    if not mixed.filter(large).isEmpty():
-        bands = nodes.select("node", F.explode("bands").alias("_other"))
-        finer = mixed.filter(large).select("key", "node").join(bands, "node").filter("_other != key")
-        finer = finer.select("node", F.xxhash64("key", "_other").alias("key"))
-        links.add(links.stars(finer))
-        mixed = links.split(finer)
-        links.add(_pairs(mixed))
+    links.add(_stars(members.filter(F.col("band") < FIRST_BANDS).withColumn("label", F.col("node"))))
+    members = members.drop("band")
+    links.add(_stars(links.labelled(members)))
+    mixed = links.labelled(_by_size(members))
+    links.add(_pairs(mixed.filter(F.col("met") <= PAIRED)))
+    links.add_verified(_in_blocks(mixed.filter(F.col("met") > PAIRED), links.sets))
     return links.found.distinct()
 
 
