@@ -24,7 +24,7 @@ from pagetable.plans.site_report import site_report
 from pagetable.session import Stage, tune
 from pagetable.sources import fetch, sinks
 from pagetable.sources.nodes import with_nodes
-from pagetable.sources.pages import read_pages, spread
+from pagetable.sources.pages import read_pages
 from pagetable.streaming.pages import run_available, stream_pages
 
 SCHEMA = "article: title=h1, first=p"
@@ -56,7 +56,7 @@ def _page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return spread(read_pages(spark, f"{sf_dir}/pages.parquet"))
+    return read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def _with_status(pages: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _site_graph(spark, sf_dir):
 
 def crawl_limited(spark, sf_dir):
     pages, seeds, links = _site_graph(spark, sf_dir)
-    return G.crawl_order(pages, seeds, CRAWL_DEPTH, CRAWL_LIMIT, links)
+    return G.crawl_order(pages, seeds, CRAWL_DEPTH, CRAWL_LIMIT, links).drop("page_id")
 
 
 def crawl_records(spark, sf_dir):
@@ -234,18 +234,18 @@ def crawl_records(spark, sf_dir):
 def site_tree(spark, sf_dir):
     pages, seeds, links = _site_graph(spark, sf_dir)
     tree = G.site_tree(pages, seeds, FULL_DEPTH, None, links)
-    return tree.withColumn("links", F.array_join("links", "\n"))
+    return tree.drop("page_id").withColumn("links", F.array_join("links", "\n"))
 
 
 def site_tree_limited(spark, sf_dir):
     pages, seeds, links = _site_graph(spark, sf_dir)
     tree = G.site_tree(pages, seeds, CRAWL_DEPTH, MAP_LIMIT, links)
-    return tree.withColumn("links", F.array_join("links", "\n"))
+    return tree.drop("page_id").withColumn("links", F.array_join("links", "\n"))
 
 
 def site_totals(spark, sf_dir):
     pages, seeds, links = _site_graph(spark, sf_dir)
-    return G.site_totals(G.site_tree(pages, seeds, FULL_DEPTH, None, links))
+    return G.site_totals(G.site_visits(pages, seeds, FULL_DEPTH, None, links))
 
 
 def site_map(spark, sf_dir):
@@ -304,7 +304,7 @@ def _page_documents(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    return spread(_table(spark, sf_dir, "documents")).select(
+    return _table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("lang").alias("title"), F.col("source").alias("url"),
         "text",
     )
@@ -372,7 +372,8 @@ def user_timeline(spark, sf_dir):
 
 def user_timelines(spark, sf_dir):
     users, activity = _users_and_activity(spark, sf_dir)
-    handles = users.select(F.concat(F.lit("@"), "handle").alias("handle"))
+    known = users.select(F.concat(F.lit("@"), "handle").alias("handle"))
+    handles = known.union(users.filter("id % 10 = 0").select(F.concat("handle", F.lit("x"))))
     return _shown_date(search.timelines(users, activity, handles))
 
 
@@ -452,18 +453,15 @@ def json_array(spark, sf_dir):
 
 
 def content_only(spark, sf_dir):
-    """Rows as JSON where there are any, else the page's text."""
-    pages = _with_status(_pages(spark, sf_dir))
-    rows = X.extract(pages, SCHEMA).select("page_id", "data")
-    records = C.scrape(pages).join(rows, "page_id")
-    return sinks.content_only(records)
+    """Rows as JSON where there are any, else the page's text; both from one parse."""
+    return sinks.content_only(X.extract_or_text(_with_status(_pages(spark, sf_dir)), SCHEMA))
 
 
 def stream_titles(spark, sf_dir):
-    """Titles and links computed by a stream over the page file."""
-    tune(spark)
+    """Titles and links computed by a stream over the pages, in several micro-batches."""
     stage = Stage(spark, "stream")
-    pages = stream_pages(spark, f"{sf_dir}/pages.parquet*")
+    stage.save(_pages(spark, sf_dir).repartition(5, "page_id"), "pages")
+    pages = stream_pages(spark, stage.path("pages"), files_per_trigger=2)
     shaped = pages.select(
         "page_id",
         C.title(F.col("html")).alias("title"),

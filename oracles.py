@@ -6,10 +6,9 @@ quotes, properly closed furniture); the Spark operators do not.
 
 from __future__ import annotations
 
-BINARY = (
-    "pdf|zip|rar|7z|gz|tar|exe|dmg|jpg|jpeg|png|gif|webp|svg|ico|mp3|mp4|avi|mov|wav|"
-    "doc|docx|xls|xlsx|ppt|pptx|css|js|woff|woff2|ttf|eot"
-)
+from pagetable.functions.urls import BINARY_SUFFIXES
+
+BINARY = "|".join(BINARY_SUFFIXES)
 URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 BLANKS = r"' ' || chr(9) || chr(10) || chr(13) || chr(160)"
 
@@ -56,10 +55,10 @@ def lines(html: str) -> str:
 
 FURNITURE = ("script", "style", "nav", "footer", "header", "aside", "noscript")
 BODY = "regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1)"
-CLEAN = f"left({lines(without('html', *FURNITURE))}, 10000)"
+CLEAN = lines(without("html", *FURNITURE))
 AD = "'(?s)<div class=\"ad\">.*?</div>'"
 BODY_TEXT = lines(f"regexp_replace({without(BODY, *FURNITURE)}, {AD}, '<x>', 'g')")
-RENDERED = f"left({lines(without(BODY, 'script', 'style', 'noscript'))}, 15000)"
+RENDERED = lines(without(BODY, "script", "style", "noscript"))
 CONTENT = f"coalesce(nullif({strip(CLEAN)}, ''), '[No content]')"
 STATUS = "[200, 200, 404, 200, 503][page_id % 5 + 1]"
 STATUS_ERROR = f"CASE WHEN {STATUS} >= 400 THEN 'HTTP ' || {STATUS} END"
@@ -167,7 +166,7 @@ def hits(docs: str, terms: list[str], limit: int) -> str:
     listed = ", ".join(f"'{t}'" for t in terms)
     return f"""
 SELECT id, coalesce(title, '') AS title, coalesce(url, '') AS url,
-       left(coalesce(text, ''), 160) AS description, score
+       coalesce(text, '') AS description, score
 FROM (SELECT *, CAST(len(list_filter({words('text')}, lambda w: w IN ({listed}))) AS BIGINT)
         AS score FROM ({docs}))
 WHERE score > 0 ORDER BY score DESC, id LIMIT {limit}"""
@@ -192,7 +191,7 @@ WITH w AS (SELECT *, {words('text')} AS ws FROM ({DOCUMENTS})),
 c AS (SELECT id, title, url, text, len(ws) AS dl, {_TF} FROM w),
 s AS (SELECT count(*) AS n, avg(dl) AS mean, {_DF} FROM c)
 SELECT id, coalesce(title, '') AS title, coalesce(url, '') AS url,
-       left(coalesce(text, ''), 160) AS description, round({_SCORE}, 6) AS score
+       coalesce(text, '') AS description, round({_SCORE}, 6) AS score
 FROM c, s WHERE tf0 + tf1 + tf2 > 0 ORDER BY score DESC, id LIMIT 20"""
 
 _DATE = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -284,7 +283,7 @@ SELECT *, CAST(length(content) AS INTEGER) AS content_length FROM (
   FROM pages)""",
     "snapshot": f"""
 SELECT page_id, url, 'URL:  ' || url || chr(10) || 'Title: ' || {title('html')} || chr(10)
-       || repeat('─', 50) || chr(10) || left({RENDERED}, 8000) AS snapshot FROM pages""",
+       || repeat('─', 50) || chr(10) || {RENDERED} AS snapshot FROM pages""",
     "internal_links": f"SELECT page_id, url, array_to_string({LINKS}, chr(10)) AS links FROM pages",
     "link_edges": EDGES,
     "link_degrees": f"""
@@ -293,7 +292,7 @@ SELECT url, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (
   SELECT dst, 0, 1 FROM ({EDGES})) GROUP BY url""",
     "page_links": f"""
 SELECT page_id, CAST(pos AS INTEGER) AS pos, {_ROOT} || {decode('h')} AS href,
-       left({strip(decode('t'))}, 80) AS text
+       {strip(decode('t'))} AS text
 FROM (SELECT page_id, url, generate_subscripts({_HREFS}, 1) - 1 AS pos, unnest({_HREFS}) AS h,
              unnest(regexp_extract_all(html, '(?s)<a href="[^"]*">(.*?)</a>', 1)) AS t
       FROM pages)""",
@@ -330,8 +329,7 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, {strip(decode('t'))} AS label,
        CASE WHEN pos % 2 = 0 THEN {strip(decode('t'))} ELSE '' END AS odd, '' AS absent
 FROM (SELECT page_id, generate_subscripts({_HREFS}, 1) - 1 AS pos,
              unnest(regexp_extract_all(html, '(?s)<li><a href="[^"]*">(.*?)</a>', 1)) AS t
-      FROM pages)
-WHERE pos < 50""",
+      FROM pages)""",
     "extract_pages": f"""
 SELECT page_id, url, CASE WHEN {STATUS} < 400 THEN {ITEM_JSON} END AS data,
        {STATUS_ERROR} AS error FROM pages""",
@@ -356,12 +354,17 @@ ORDER BY {_POST_TS} DESC, id LIMIT 10""",
 SELECT {_ACTIVITY} FROM events JOIN customer ON c_custkey = user_id
 WHERE c_name = 'Customer#000000007' ORDER BY ts DESC, event_id LIMIT 20""",
     "user_timelines": f"""
-SELECT * FROM (
+WITH posts AS (
   SELECT c_name AS handle,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS INTEGER)
            AS rank, {_ACTIVITY}
   FROM events JOIN customer ON c_custkey = user_id)
-WHERE rank <= 20""",
+SELECT c.c_name AS handle, p.* EXCLUDE (handle),
+       CASE WHEN p.rank IS NULL THEN 'No tweets found' END AS error
+FROM customer c LEFT JOIN posts p ON p.handle = c.c_name AND p.rank <= 20
+UNION ALL BY NAME
+SELECT c_name || 'x' AS handle, 'User not found: ' || c_name || 'x' AS error
+FROM customer WHERE c_custkey % 10 = 0""",
     "profiles": """
 SELECT 'https://profiles.example/' || o_orderkey AS url, 'Person ' || o_custkey AS name,
        CAST(NULL AS VARCHAR) AS about, o_orderpriority AS headline, '' AS location,

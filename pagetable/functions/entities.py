@@ -57,7 +57,7 @@ def _numeric(digits: Column, base: int) -> Column:
 
 
 def _decode_one(ref: Column, bare_prefix: bool) -> Column:
-    body = F.substring(ref, 2, 64)
+    body = F.substr(ref, F.lit(2))
     number = F.regexp_replace(ref, "[&#xX;]", "")
     # Bare names mean the same as the name with its semicolon.
     named = _named(F.concat(F.rtrim(body, F.lit(";")), F.lit(";")))

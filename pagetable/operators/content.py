@@ -11,11 +11,14 @@ from pagetable.operators.markdown import to_markdown
 from pagetable.sources.fetch import status_error
 from pagetable.sources.nodes import dom_nodes, is_text
 
-CLEAN_TEXT_CAP = 10_000
-RENDERED_TEXT_CAP = 15_000
 NO_CONTENT = "[No content]"
 
 
+def first_chars(text: Column, most: int | None) -> Column:
+    """The first ``most`` characters of a text, all of it for ``None``."""
+    return text if most is None else F.substring(text, 1, most)
+
+
 def title(html: Column) -> Column:
     """Text of the first title element, trimmed and decoded; ``''`` when there is none.
 
@@ -37,10 +40,10 @@ def _lines(nodes: Column, mask: int, wanted: int = 0) -> Column:
     return F.filter(F.transform(texts, lambda n: strip(n["text"])), lambda t: t != "")
 
 
-def clean_text(nodes: Column) -> Column:
-    """All text outside page furniture, one line per text node, first 10,000 characters."""
+def clean_text(nodes: Column, most: int | None = None) -> Column:
+    """All text outside page furniture, one line per text node; ``most`` keeps that many characters."""
     lines = _lines(nodes, M.ZONE_DROP | M.ZONE_RAW)
-    return F.substring(F.array_join(lines, "\n"), 1, CLEAN_TEXT_CAP)
+    return first_chars(F.array_join(lines, "\n"), most)
 
 
 def body_text(nodes: Column) -> Column:
@@ -52,15 +55,15 @@ def body_text(nodes: Column) -> Column:
     return F.array_join(F.filter(split_again, lambda line: strip(line) != ""), "\n")
 
 
-def rendered_text(nodes: Column) -> Column:
-    """Body text as a reader sees it (furniture included), first 15,000 characters."""
+def rendered_text(nodes: Column, most: int | None = None) -> Column:
+    """Body text as a reader sees it (furniture included); ``most`` keeps that many characters."""
     lines = _lines(nodes, M.ZONE_UNSEEN | M.ZONE_BODY, wanted=M.ZONE_BODY)
-    return F.substring(F.array_join(lines, "\n"), 1, RENDERED_TEXT_CAP)
+    return first_chars(F.array_join(lines, "\n"), most)
 
 
-def _text_content(nodes: Column) -> Column:
+def text_content(nodes: Column, most: int | None = None) -> Column:
     return let(
-        clean_text(nodes), lambda t: F.when(t == "", NO_CONTENT).otherwise(strip(t))
+        clean_text(nodes, most), lambda t: F.when(t == "", NO_CONTENT).otherwise(strip(t))
     )
 
 
@@ -68,10 +71,10 @@ def _column_or(pages: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in pages.columns else default
 
 
-def scrape(pages: DataFrame, fmt: str = "text") -> DataFrame:
+def scrape(pages: DataFrame, fmt: str = "text", most: int | None = None) -> DataFrame:
     """Page record for every page: ``text``, ``json`` (same content) or ``markdown`` content.
 
-    Map-only. Rows without HTML keep their ``url`` and get an ``error``.
+    ``most`` keeps that many characters of the first two. Map-only. Rows without HTML keep their ``url`` and get an ``error``.
     """
     if fmt not in ("text", "json", "markdown"):
         raise ValueError(f"unknown format: {fmt}")
@@ -88,7 +91,7 @@ def scrape(pages: DataFrame, fmt: str = "text") -> DataFrame:
         html.isNull().alias("_missing"),
         dom_nodes(html, elements=markdown, spaces=markdown).alias("_nodes"),
     )
-    content = to_markdown(F.col("_nodes")) if markdown else _text_content(F.col("_nodes"))
+    content = to_markdown(F.col("_nodes")) if markdown else text_content(F.col("_nodes"), most)
     shaped = parsed.withColumn("content", content)
     return shaped.select(
         *keys,
@@ -105,8 +108,18 @@ def scrape(pages: DataFrame, fmt: str = "text") -> DataFrame:
     )
 
 
-def snapshot(pages: DataFrame) -> DataFrame:
-    """``page_id, url, snapshot``: a plain text card of each page."""
+def snapshot(
+    pages: DataFrame,
+    most_text: int | None = None,
+    most_links: int | None = None,
+    most_label: int | None = None,
+    most_href: int | None = None,
+) -> DataFrame:
+    """``page_id, url, snapshot``: a plain text card of each page.
+
+    The limits are characters of text, links of a page without text, and characters of a link's
+    label and target; all of everything by default.
+    """
     from pagetable.operators.links import links_with_text
 
     parsed = pages.select(
@@ -115,22 +128,24 @@ def snapshot(pages: DataFrame) -> DataFrame:
         title(F.col("html")).alias("title"),
         dom_nodes(F.col("html"), spaces=True).alias("nodes"),
     )
-    links = F.slice(links_with_text(F.col("url"), F.col("nodes")), 1, 30)
+    links = links_with_text(F.col("url"), F.col("nodes"))
+    if most_links is not None:
+        links = F.slice(links, 1, most_links)
     link_lines = F.transform(
         links,
         lambda a: F.concat(
             F.lit("  "),
-            F.substring(F.when(a["text"] == "", "[no text]").otherwise(a["text"]), 1, 60),
+            first_chars(F.when(a["text"] == "", "[no text]").otherwise(a["text"]), most_label),
             F.lit(" → "),
-            F.substring(a["href"], 1, 80),
+            first_chars(a["href"], most_href),
         ),
     )
     no_text = F.when(
         F.size(links) > 0, F.concat_ws("\n", F.lit("Links found:"), link_lines)
     ).otherwise("[Empty page]")
     body = let(
-        rendered_text(F.col("nodes")),
-        lambda t: F.when(t == "", no_text).otherwise(F.substring(t, 1, 8000)),
+        rendered_text(F.col("nodes"), most_text),
+        lambda t: F.when(t == "", no_text).otherwise(t),
     )
     card = F.concat_ws(
         "\n",

@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagetable.functions import markup as M
 from pagetable.functions.strings import let, positions, strip
-from pagetable.operators.content import title
+from pagetable.operators.content import text_content, title
 from pagetable.operators.selectors import check, select
 from pagetable.sources.fetch import status_error
 from pagetable.sources.nodes import dom_nodes, is_text, subtree
 
-BASE_CAP = 50  # fixed value: base elements read per page
-
 
 @dataclass(frozen=True)
 class Schema:
@@ -88,12 +86,14 @@ def _field_text(nodes: Column, element: Column) -> Column:
     return F.when(element.isNull(), "").otherwise(joined)
 
 
-def extract_items(nodes: Column, schema: Schema) -> Column:
-    """``array<struct<field…>>``: one struct of texts per base element, first 50 of the page.
+def extract_items(nodes: Column, schema: Schema, most: int | None = None) -> Column:
+    """``array<struct<field…>>``: one struct of texts per base element; ``most`` keeps the page's first.
 
     The matches of each field are found once per page; a base element takes the first one inside.
     """
-    bases = F.slice(select(nodes, schema.base), 1, BASE_CAP)
+    bases = select(nodes, schema.base)
+    if most is not None:
+        bases = F.slice(bases, 1, most)
     matches = F.struct(
         *[select(nodes, s).alias(f"f{i}") for i, (_, s) in enumerate(schema.fields)]
     )
@@ -110,7 +110,12 @@ def extract_items(nodes: Column, schema: Schema) -> Column:
     return let(matches, lambda found: F.transform(bases, lambda b: row(b, found)))
 
 
-def extract(pages: DataFrame, spec: str | dict | Schema, order: str | None = None) -> DataFrame:
+def extract(
+    pages: DataFrame,
+    spec: str | dict | Schema,
+    order: str | None = None,
+    most: int | None = None,
+) -> DataFrame:
     """``page_id, url, data, error``: extracted rows per page, or why there are none.
 
     Pages with an error status are filtered out of the node job by nulling their HTML.
@@ -124,7 +129,7 @@ def extract(pages: DataFrame, spec: str | dict | Schema, order: str | None = Non
         failed.alias("_failed"),
         dom_nodes(F.when(failed.isNull(), F.col("html"))).alias("_nodes"),
     )
-    data = parsed.withColumn("_data", extract_items(F.col("_nodes"), schema))
+    data = parsed.withColumn("_data", extract_items(F.col("_nodes"), schema, most))
     error = F.coalesce(
         F.col("_failed"),
         F.when(F.col("_nodes").isNull(), F.lit("not stored")),
@@ -135,19 +140,36 @@ def extract(pages: DataFrame, spec: str | dict | Schema, order: str | None = Non
     )
 
 
-def extract_rows(pages: DataFrame, spec, order: str | None = None) -> DataFrame:
+def extract_or_text(
+    pages: DataFrame, spec: str | dict | Schema, order: str | None = None
+) -> DataFrame:
+    """``page_id, url, data, content``: extracted rows and the page's text, from one parse."""
+    schema = spec if isinstance(spec, Schema) else parse_schema(spec, order)
+    status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
+    parsed = pages.select(
+        "page_id", "url", status_error(status).alias("_failed"), dom_nodes(F.col("html")).alias("_nodes")
+    )
+    found = F.when(F.col("_failed").isNull(), extract_items(F.col("_nodes"), schema))
+    return parsed.select("page_id", "url", found.alias("data"), text_content(F.col("_nodes")).alias("content"))
+
+
+def extract_rows(
+    pages: DataFrame, spec, order: str | None = None, most: int | None = None
+) -> DataFrame:
     """Long form: ``page_id, pos`` and one column per field."""
-    found = extract(pages, spec, order).select("page_id", positions("data").alias("pos", "item"))
+    found = extract(pages, spec, order, most).select("page_id", positions("data").alias("pos", "item"))
     return found.filter(F.col("pos").isNotNull()).select("page_id", "pos", "item.*")
 
 
-def scrape_with_schema(pages: DataFrame, spec, order: str | None = None) -> DataFrame:
+def scrape_with_schema(
+    pages: DataFrame, spec, order: str | None = None, most: int | None = None
+) -> DataFrame:
     """Page record whose content is the JSON text of the extracted rows."""
     schema = spec if isinstance(spec, Schema) else parse_schema(spec, order)
     parsed = pages.select(
         "page_id", "url", title(F.col("html")).alias("title"), dom_nodes(F.col("html")).alias("nodes")
     )
-    with_data = parsed.withColumn("data", extract_items(F.col("nodes"), schema))
+    with_data = parsed.withColumn("data", extract_items(F.col("nodes"), schema, most))
     content = F.to_json("data")
     return with_data.select(
         "page_id",

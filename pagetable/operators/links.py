@@ -10,8 +10,6 @@ from pagetable.functions.strings import let, positions, strip
 from pagetable.functions.urls import absolute_links, is_binary_path, netloc, resolve_targets
 from pagetable.sources.nodes import dom_nodes, is_text, subtree
 
-ANCHOR_TEXT_CAP = 80
-
 
 def hrefs(html: Column) -> Column:
     """Decoded ``href`` of every ``<a>`` start tag, in order, found without leaving the JVM."""
@@ -53,10 +51,12 @@ def internal_links(pages: DataFrame, from_nodes: bool = False) -> DataFrame:
 
 
 def link_sets(pages: DataFrame) -> DataFrame:
-    """``url, links`` with one row per URL, the adjacency lists that traversal walks."""
-    return (
-        internal_links(pages).groupBy("url").agg(F.min_by("links", "page_id").alias("links"))
-    )
+    """``url, page_id, links`` with one row per URL, the adjacency lists that traversal walks.
+
+    Of several copies of a page the one of least ``page_id`` counts.
+    """
+    first = F.min_by(F.struct("page_id", "links"), "page_id").alias("_first")
+    return internal_links(pages).groupBy("url").agg(first).select("url", "_first.*")
 
 
 def link_edges(links: DataFrame) -> DataFrame:
@@ -83,8 +83,18 @@ def link_degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def links_with_text(url: Column, nodes: Column) -> Column:
-    """``array<struct<href, text>>``: every link in document order with its anchor text."""
+def links_with_text(url: Column, nodes: Column, most: int | None = None) -> Column:
+    """``array<struct<href, text>>``: every link in document order with its anchor text.
+
+    The page's first ``<base href>`` is what references are relative to, as in a loaded page.
+    ``most`` keeps that many characters of the text.
+    """
+    bases = F.filter(
+        nodes, lambda n: (n["tag"] == "base") & F.map_contains_key(n["attrs"], F.lit("href"))
+    )
+    stated = F.get(F.filter(absolute_links(url, F.transform(bases, lambda n: n["attrs"]["href"])),
+                            lambda u: u.isNotNull()), F.lit(0))
+    url = F.when(F.size(bases) > 0, F.coalesce(stated, url)).otherwise(url)
     anchors = F.filter(
         nodes, lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], F.lit("href"))
     )
@@ -94,19 +104,23 @@ def links_with_text(url: Column, nodes: Column) -> Column:
         below = F.transform(
             F.filter(subtree(nodes, anchor), is_text), lambda n: n["text"]
         )
-        return F.substring(strip(F.array_join(below, "")), 1, ANCHOR_TEXT_CAP)
+        whole = strip(F.array_join(below, ""))
+        return whole if most is None else F.substring(whole, 1, most)
 
     return F.zip_with(
         targets, anchors, lambda href, a: F.struct(href.alias("href"), text(a).alias("text"))
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """``page_id, pos, href, text``: all links of each page, duplicates and other sites kept."""
+def page_links(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """``page_id, pos, href, text``: all links of each page, duplicates and other sites kept.
+
+    ``most`` keeps that many characters of the text.
+    """
     parsed = pages.select(
         "page_id", "url", dom_nodes(F.col("html"), spaces=True).alias("nodes")
     )
-    links = parsed.select("page_id", links_with_text(F.col("url"), F.col("nodes")).alias("links"))
+    links = parsed.select("page_id", links_with_text(F.col("url"), F.col("nodes"), most).alias("links"))
     exploded = links.select("page_id", positions("links").alias("pos", "link"))
     return exploded.filter(F.col("pos").isNotNull()).select(
         "page_id", "pos", "link.href", "link.text"

@@ -32,7 +32,6 @@ SKIP_TEXTS = (
     "apple", "facebook", "microsoft",
 )
 ERROR_SELECTORS = ("[class*=error i]", "[id*=error i]", "[role=alert]")
-ERROR_CAP = 200
 
 
 def _visible(node: Column) -> Column:
@@ -82,8 +81,11 @@ def _submits(button: Column, nodes: Column) -> Column:
     return submit_type | named | ((label != "") & ~skipped)
 
 
-def login_forms(pages: DataFrame) -> DataFrame:
-    """``page_id, user_selector, has_password, has_submit, error_text`` for every page."""
+def login_forms(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """``page_id, user_selector, has_password, has_submit, error_text`` for every page.
+
+    ``most`` keeps that many characters of the error text.
+    """
     parsed = pages.select("page_id", dom_nodes(F.col("html"), spaces=True).alias("nodes"))
     nodes = F.col("nodes")
     user = F.coalesce(*[F.when(_any_visible(nodes, s), F.lit(s)) for s in USER_SELECTORS])
@@ -100,5 +102,5 @@ def login_forms(pages: DataFrame) -> DataFrame:
         user.alias("user_selector"),
         _any_visible(nodes, "input[type=password]").alias("has_password"),
         F.exists(buttons, lambda b: _visible(b) & _submits(b, nodes)).alias("has_submit"),
-        F.substring(error, 1, ERROR_CAP).alias("error_text"),
+        (error if most is None else F.substring(error, 1, most)).alias("error_text"),
     )

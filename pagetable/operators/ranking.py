@@ -5,57 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import AtomicType
 
-RANGE_BITS = 12  # a range holds 4096 values of the major key
-# Up to this k Spark itself cuts each group before the shuffle (window group limit).
-_BUILT_IN_CUT = 1000
+from pagetable.session import Stage
+
 _SALTS = 64
 
 
 def ranked(
     df: DataFrame,
     keys: list[str],
-    major: str,
-    minor: list[str],
+    order: list[str],
     limits: DataFrame | None = None,
-    most: int | None = None,
     name: str = "rank",
-    highest: int | None = None,
-    range_bits: int = RANGE_BITS,
 ) -> DataFrame:
-    """Adds ``row_number() OVER (PARTITION BY keys ORDER BY major, minor)``, from 1.
+    """Adds ``row_number() OVER (PARTITION BY keys ORDER BY order)``, from 1.
 
-    ``major`` is an integer column. A plain window would sort each group in one task. Here a group
-    is cut into ranges of major values: the ranges are counted (combined map-side), a window over
-    those few counts gives each range its offset, and rows are numbered within their range only.
-    When ``highest``, the largest major value, is known to leave a single range, that window is
-    all there is.
+    A plain window would sort each group in one task. Here all rows are dealt by ranges of
+    ``(keys, order)``, whose bounds Spark samples so that every range has about as many rows, and
+    written. A group that spans ranges gets its offsets from their counts, and rows are numbered within
+    their range only.
 
     ``limits`` (keys, ``n``) keeps the first ``n`` rows of each group; ranges wholly beyond the
-    limit are dropped before anything is sorted. ``most`` is a bound on every ``n``: being a
-    constant, it lets Spark cut groups before the shuffle.
+    limit are dropped before anything is sorted.
     """
-    if highest is not None and highest >> range_bits == 0:
-        plain = Window.partitionBy(*keys).orderBy(major, *minor)
-        numbered = df.withColumn(name, F.row_number().over(plain))
-        if limits is None:
-            return numbered
-        if most is not None:
-            numbered = numbered.filter(F.col(name) <= most)
-        kept = numbered.join(limits.select(*keys, "n"), keys)
-        return kept.filter(F.col(name) <= F.col("n")).drop("n")
-
-    ranges = df.withColumn("_range", F.shiftright(F.col(major), range_bits))
-    counts = ranges.groupBy(*keys, "_range").agg(F.count("*").alias("_count"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    rows = Stage(df.sparkSession, "ranked").save(dealt, "rows")
+    counts = rows.groupBy(*keys, "_range").agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *keys, "_range", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_offset")
     )
     if limits is not None:
         offsets = offsets.join(limits.select(*keys, "n"), keys).filter(F.col("_offset") < F.col("n"))
-    within = Window.partitionBy(*keys, "_range").orderBy(major, *minor)
-    numbered = ranges.join(offsets, [*keys, "_range"]).withColumn(
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    numbered = rows.join(offsets, [*keys, "_range"]).withColumn(
         name, F.col("_offset") + F.row_number().over(within)
     )
     if limits is not None:
@@ -66,17 +48,16 @@ def ranked(
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group, with their ``rank``.
 
-    ``order`` must be total. For a small ``k`` Spark prunes every map task's share of a group to
-    ``k`` rows before shuffling. For a larger one each group is first cut within salted parts.
+    ``order`` must be total. Each group is first cut within salted parts, so no task sorts more of a
+    group than its part and what the parts leave.
     """
-    if k > _BUILT_IN_CUT:
-        plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(_SALTS)))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            salted.withColumn("_part_rank", F.row_number().over(part))
-            .filter(F.col("_part_rank") <= k)
-            .drop("_salt", "_part_rank")
-        )
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(_SALTS)))
+    part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    cut = (
+        salted.withColumn("_part_rank", F.row_number().over(part))
+        .filter(F.col("_part_rank") <= k)
+        .drop("_salt", "_part_rank")
+    )
     whole = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
+    return cut.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)

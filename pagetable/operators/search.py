@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagetable.operators.ranking import first_per_group
+from pagetable.session import Stage
 
 K1, B = 1.2, 0.75  # fixed values: the usual BM25 parameters
-DESCRIPTION_CAP = 160
 
 POST_FIELDS = ("id", "date", "user", "fullname", "content", "likes", "retweets", "replies", "url")
 
@@ -20,17 +20,10 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(_WORD))
 
 
-def found_terms(text: Column, terms: list[str]) -> Column:
-    """Every whole-word occurrence of the (lower-case) terms, letter case aside.
-
-    One regular expression pass; the text is never cut into an array of all its words.
-    """
+def count_terms(text: Column, terms: list[str]) -> Column:
+    """Whole-word occurrences of the (lower-case) terms, letter case aside; null for a null text."""
     pattern = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?![\p{{L}}\p{{N}}])"
-    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-
-
-def _count_of(term: str) -> Column:
-    return F.size(F.filter("_found", lambda t: t == term))
+    return F.regexp_count(F.lower(text), F.lit(pattern))
 
 
 def query_terms(query: str) -> list[str]:
@@ -41,39 +34,48 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def _hit(docs: DataFrame, score_column: str) -> DataFrame:
-    """Search-hit columns; missing values become ``''``."""
+def _hit(docs: DataFrame, score_column: str, description: int | None) -> DataFrame:
+    """Search-hit columns; missing values become ``''``. The description is the text, or so many
+    characters of it."""
+    text = F.col("text") if description is None else F.substring("text", 1, description)
     return docs.select(
         "id",
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "url")],
-        F.coalesce(F.substring("text", 1, DESCRIPTION_CAP), F.lit("")).alias("description"),
+        F.coalesce(text, F.lit("")).alias("description"),
         score_column,
     )
 
 
-def search(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
+def search(
+    docs: DataFrame, query: str, limit: int = 5, description: int | None = None
+) -> DataFrame:
     """Best ``limit`` of ``id, title, url, text`` by how often the query's terms occur.
 
     Scores are computed row by row, so the plan is one scan and a bounded top-k: no shuffle.
     """
-    score = F.size(found_terms(F.col("text"), query_terms(query)))
+    score = count_terms(F.col("text"), query_terms(query))
     best = docs.withColumn("score", score.cast("long")).orderBy(F.desc("score"), "id").limit(limit)
     # Tested after the limit: earlier, the filter would score every text a second time.
-    return _hit(best.filter(F.col("score") > 0), "score")
+    return _hit(best.filter(F.col("score") > 0), "score", description)
 
 
-def search_bm25(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
+def search_bm25(
+    docs: DataFrame, query: str, limit: int = 20, description: int | None = None
+) -> DataFrame:
     """Best ``limit`` documents by BM25 (Robertson and Zaragoza, 2009), scores to 6 digits.
 
-    One pass counts terms per document and one small aggregate gives the collection's figures,
-    which come back as a scalar subquery.
+    One pass over the texts counts words and terms; only these numbers are written. The collection's
+    figures and the best rows come from them, and texts are fetched for the best rows alone.
+    ``id`` must be unique.
     """
     terms = query_terms(query)
-    counted = docs.select(
-        "*",
+    stage = Stage(docs.sparkSession, "bm25")
+    counts = docs.select(
+        "id",
         n_words(F.col("text")).alias("_len"),
-        found_terms(F.col("text"), terms).alias("_found"),
-    ).withColumns({f"_tf{i}": _count_of(t) for i, t in enumerate(terms)})
+        *[count_terms(F.col("text"), [t]).alias(f"_tf{i}") for i, t in enumerate(terms)],
+    )
+    counted = stage.save(counts, "counts")
     collection = counted.select(
         F.struct(
             F.count("*").alias("n"),
@@ -91,7 +93,9 @@ def search_bm25(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
     # Every term found adds a positive amount, so documents without any are the ones at zero.
     scored = with_stats.withColumn("_score", score).withColumn("score", F.round("_score", 6))
     best = scored.orderBy(F.desc("score"), F.desc(F.col("_score") > 0), "id").limit(limit)
-    return _hit(best.filter(F.col("_score") > 0), "score")
+    best = best.filter(F.col("_score") > 0).select("id", "score")
+    # At most ``limit`` rows of two numbers.
+    return _hit(docs.join(F.broadcast(best), "id"), "score", description)
 
 
 def posts(raw: DataFrame) -> DataFrame:
@@ -134,17 +138,23 @@ def timeline(users: DataFrame, raw: DataFrame, handle: str, limit: int = 20) ->
 def timelines(users: DataFrame, raw: DataFrame, handles: DataFrame, limit: int = 20) -> DataFrame:
     """Newest ``limit`` posts of every handle in ``handles``, as ``handle, rank`` and the post.
 
-    Posts are cut to ``limit`` per user before any join.
+    A handle that no user has, or whose user has no posts, gives one row with ``error`` and nulls.
+    Handles are resolved first, so only the posts of asked users are ranked.
     """
-    cut = first_per_group(raw, ["user_id"], [F.desc("ts"), F.col("id")], limit)
     asked = handles.select(_handle(F.col("handle")).alias("handle")).distinct()
     known = (
-        users.join(asked, "handle", "left_semi")
+        asked.join(users.select("handle", "id"), "handle", "left")
         .groupBy("handle")
         .agg(F.min("id").alias("user_id"))
     )
-    rows = cut.join(known, "user_id")
+    wanted = raw.join(known.select("user_id"), "user_id", "left_semi")
+    cut = first_per_group(wanted, ["user_id"], [F.desc("ts"), F.col("id")], limit)
+    rows = known.join(cut, "user_id", "left")
+    # The two messages.
+    error = F.when(
+        F.col("user_id").isNull(), F.concat(F.lit("User not found: "), "handle")
+    ).when(F.col("rank").isNull(), "No tweets found")
     return rows.select(
         "handle", "rank", "id", F.col("ts").alias("date"), "content", "likes", "retweets",
-        "replies", "url",
+        "replies", "url", error.alias("error"),
     )

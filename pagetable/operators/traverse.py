@@ -8,7 +8,6 @@ the lineage and gives the next level exact sizes to plan with.
 from __future__ import annotations
 
 from functools import reduce
-from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,10 +16,10 @@ from pagetable.operators.content import scrape
 from pagetable.operators.links import link_sets
 from pagetable.operators.ranking import ranked
 from pagetable.session import Stage
-from pagetable.sources.fetch import fetched, stored
+from pagetable.sources.fetch import fetched
 
 # (order of the parent, place of the link) packed into one long, so that the earliest of several
-# ways to a URL is a plain hash aggregate. ANSI arithmetic fails on overflow instead of wrapping.
+# ways to a URL is a plain hash aggregate.
 _PLACE_BITS = 31
 _SEEN = -1
 
@@ -29,11 +28,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-class _Walk(NamedTuple):
-    """The tables of a finished walk."""
-
-    visited: DataFrame
-    hits: DataFrame  # visited and stored, with their links
+def _stored(visited: DataFrame) -> DataFrame:
+    return visited.filter(F.col("page_id").isNotNull())
 
 
 def _room(done: list[DataFrame], seeds: DataFrame, limit: int) -> DataFrame:
@@ -48,7 +44,7 @@ def _room(done: list[DataFrame], seeds: DataFrame, limit: int) -> DataFrame:
 
 
 def _first_visits(hits: DataFrame, visited: list[DataFrame]) -> DataFrame:
-    """URLs linked from ``hits`` and not visited, each at its earliest place.
+    """URLs linked from ``hits`` (with their ``links``) and not visited, each at its earliest place.
 
     Visited URLs join the aggregation with a place before all others, so one aggregate both finds
     the earliest place and tells the new URLs. It is combined map-side: a hub that every page
@@ -56,11 +52,12 @@ def _first_visits(hits: DataFrame, visited: list[DataFrame]) -> DataFrame:
     optimizer, would not give.
     """
     linked = hits.select(
-        "seed",
-        F.col("rank").alias("_parent"),
-        F.posexplode("links").alias("_pos", "url"),
-    ).filter(~is_binary(F.col("url")))
-    place = F.col("_parent") * F.lit(1 << _PLACE_BITS) + F.col("_pos")
+        "seed", F.col("rank").alias("_parent"), F.posexplode("links").alias("_pos", "url")
+    )
+    parent = F.col("_parent").cast("long")
+    place = F.when(
+        parent < 1 << 63 - _PLACE_BITS, F.shiftleft(parent, _PLACE_BITS) + F.col("_pos")
+    ).otherwise(F.raise_error(F.lit("too many URLs in one level of a walk")).cast("long"))
     places = [linked.select("seed", "url", place.alias("place"))]
     places += [v.select("seed", "url", F.lit(_SEEN).cast("long").alias("place")) for v in visited]
     first = _union(places).groupBy("seed", "url").agg(F.min("place").alias("place"))
@@ -74,11 +71,13 @@ def _walk(
     limit: int | None,
     failures_count: bool,
     stage: Stage,
-) -> _Walk:
-    """Visits at most ``limit`` URLs per seed down to ``depth``.
+) -> DataFrame:
+    """``seed, url, rank, depth, page_id`` of at most ``limit`` URLs per seed down to ``depth``.
 
-    A level keeps the first URLs that fit in the room left and drops the rest for good. With
-    ``failures_count`` every visited URL takes up room, else only the stored ones do.
+    ``page_id`` is null for a URL that is not stored. A level keeps the first URLs that fit in the room
+    left and drops the rest for good. With ``failures_count`` every visited URL takes up room, else
+    only the stored ones do. One table is written per level; links are looked up where they are needed and never copied
+    for each seed.
     """
     start = seeds.select("seed").distinct().filter(~is_binary(F.col("seed")))
     if limit is not None and limit <= 0:
@@ -89,35 +88,37 @@ def _walk(
         F.lit(1).cast("long").alias("rank"),
         F.lit(0).alias("depth"),
     )
+    ids = link_lists.select("url", "page_id")
     visited: list[DataFrame] = []
-    hits: list[DataFrame] = []
     for level in range(depth + 1):
-        visited.append(stage.save(batch, f"visited-{level}"))
-        # An inner join, so that whichever side is small may be broadcast by its actual size.
-        hits.append(stage.save(visited[-1].join(link_lists, "url"), f"hits-{level}"))
-        if level == depth:
-            break
-        # One number says whether to go on and how wide the next level's ranks can spread.
-        widest = hits[-1].select("rank").orderBy(F.desc("rank")).first()
-        if widest is None:
+        visited.append(stage.save(batch.join(ids, "url", "left"), f"visited-{level}"))
+        hits = _stored(visited[-1])
+        if level == depth or hits.isEmpty():
             break
-        found = _first_visits(hits[-1], visited).withColumn(
-            "_parent", F.shiftright("place", _PLACE_BITS)
-        )
+        # An inner join, so that whichever side is small may be broadcast by its actual size.
+        found = _first_visits(hits.join(link_lists.select("url", "links"), "url"), visited)
         room = None
         if limit is not None:
-            room = _room(visited if failures_count else hits, visited[0], limit)
-        batch = ranked(found, ["seed"], "_parent", ["place"], room, limit, highest=widest[0]).select(
+            done = visited if failures_count else [_stored(v) for v in visited]
+            room = _room(done, visited[0].select("seed"), limit)
+        batch = ranked(found, ["seed"], ["place"], room).select(
             "seed", "url", F.col("rank").cast("long"), F.lit(level + 1).alias("depth")
         )
-    return _Walk(_union(visited), _union(hits))
+    return _union(visited)
 
 
 def _links_of(pages: DataFrame, link_lists: DataFrame | None, stage: Stage) -> DataFrame:
-    """Adjacency lists; computed once and written when not given, since each level joins them."""
-    if link_lists is not None:
-        return link_lists.select("url", "links")
-    return stage.save(link_sets(fetched(pages)), "links")
+    """Adjacency lists ``url, page_id, links``, written once, since each level joins them.
+
+    They settle what is stored: URLs that have both a page and a list. Of lists given for one URL
+    several times the least counts, and links with a binary suffix are not followed.
+    """
+    if link_lists is None:
+        return stage.save(link_sets(fetched(pages)), "links")
+    ids = fetched(pages).groupBy("url").agg(F.min("page_id").alias("page_id"))
+    lists = link_lists.groupBy("url").agg(F.min("links").alias("links"))
+    followed = F.filter("links", lambda u: ~is_binary(u)).alias("links")
+    return stage.save(lists.join(ids, "url").select("url", "page_id", followed), "links")
 
 
 def crawl_order(
@@ -127,7 +128,7 @@ def crawl_order(
     limit: int | None = 10,
     link_lists: DataFrame | None = None,
 ) -> DataFrame:
-    """``seed, depth, rank, url`` of the pages a crawl from each seed returns.
+    """``seed, depth, rank, url, page_id`` of the pages a crawl from each seed returns.
 
     Results come in the order of ``(depth, rank)``. ``limit`` counts stored pages only, a URL
     without one is visited but yields nothing; ``None`` is no limit.
@@ -135,7 +136,7 @@ def crawl_order(
     stage = Stage(pages.sparkSession, "crawl")
     links = _links_of(pages, link_lists, stage)
     walk = _walk(links, seeds, depth, limit, False, stage)
-    return walk.hits.select("seed", "depth", "rank", "url")
+    return _stored(walk).select("seed", "depth", "rank", "url", "page_id")
 
 
 def crawl(
@@ -148,10 +149,29 @@ def crawl(
 ) -> DataFrame:
     """Page records of a crawl, with ``seed, depth, rank``.
 
-    Only pages that some crawl returns are parsed, each of them once however many seeds share it.
+    The walk carries the ids of the pages it returns. Pages are parsed where they lie, so HTML is never
+    shuffled; only their records move, each once however many seeds share it.
     """
     order = crawl_order(pages, seeds, depth, limit, link_lists)
-    return order.join(scrape(stored(fetched(pages), order.select("url")), fmt), "url")
+    return order.join(scrape(fetched(pages), fmt).drop("url"), "page_id")
+
+
+def site_visits(
+    pages: DataFrame,
+    seeds: DataFrame,
+    depth: int = 2,
+    limit: int | None = 50,
+    link_lists: DataFrame | None = None,
+) -> DataFrame:
+    """``root, url, depth, rank, page_id``: one row per visited URL; ``page_id`` is null where none is stored."""
+    return _site(pages, seeds, depth, limit, link_lists)[0]
+
+
+def _site(pages, seeds, depth, limit, link_lists) -> tuple[DataFrame, DataFrame]:
+    stage = Stage(pages.sparkSession, "site-map")
+    links = _links_of(pages, link_lists, stage)
+    walk = _walk(links, seeds, depth, limit, True, stage)
+    return walk.select(F.col("seed").alias("root"), "url", "depth", "rank", "page_id"), links
 
 
 def site_tree(
@@ -161,27 +181,20 @@ def site_tree(
     limit: int | None = 50,
     link_lists: DataFrame | None = None,
 ) -> DataFrame:
-    """``root, url, depth, rank, links``: one row per visited URL with all its internal links.
+    """``root, url, depth, rank, page_id, links``: one row per visited URL with all its internal links.
 
     ``limit`` counts visited URLs, stored or not; ``None`` is no limit. This is the form for sites
     of any size.
     """
-    stage = Stage(pages.sparkSession, "site-map")
-    links = _links_of(pages, link_lists, stage)
-    walk = _walk(links, seeds, depth, limit, True, stage)
-    tree = walk.visited.join(walk.hits.select("seed", "url", "links"), ["seed", "url"], "left")
-    return tree.select(
-        F.col("seed").alias("root"),
-        "url",
-        "depth",
-        "rank",
-        F.coalesce("links", F.array().cast("array<string>")).alias("links"),
-    )
+    visits, links = _site(pages, seeds, depth, limit, link_lists)
+    tree = visits.join(links.select("url", "links"), "url", "left")
+    none = F.array().cast("array<string>")
+    return tree.select("root", "url", "depth", "rank", "page_id", F.coalesce("links", none).alias("links"))
 
 
-def site_totals(tree: DataFrame) -> DataFrame:
-    """``root, total_urls`` of a site tree."""
-    return tree.groupBy("root").agg(F.count("*").alias("total_urls"))
+def site_totals(visits: DataFrame) -> DataFrame:
+    """``root, total_urls`` of a site tree or its visits."""
+    return visits.groupBy("root").agg(F.count("*").alias("total_urls"))
 
 
 def site_map(

@@ -11,7 +11,7 @@ from pagetable.operators.ranking import ranked
 def site_positions(pages: DataFrame) -> DataFrame:
     """``host, url, r``: each page's number within its host, by ``page_id``."""
     hosts = pages.select("page_id", "url", netloc(F.col("url")).alias("host"))
-    return ranked(hosts, ["host"], "page_id", [], name="r").select("host", "url", "r")
+    return ranked(hosts, ["host"], ["page_id"], name="r").select("host", "url", "r")
 
 
 def site_links(positions: DataFrame) -> DataFrame:

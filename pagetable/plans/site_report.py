@@ -13,18 +13,14 @@ def site_report(
 ) -> DataFrame:
     """``root, url, depth, rank, n_links, title, text_length`` for every URL of every site."""
     tree = site_tree(pages, seeds, depth, limit, link_lists)
-    # Copies of a URL are settled after parsing, on narrow rows.
-    records = (
-        scrape(pages)
-        .groupBy("url")
-        .agg(F.min_by(F.struct("title", "content_length"), "page_id").alias("record"))
-    )
-    return tree.join(records, "url", "left").select(
+    # Pages are parsed where they lie; the ids that the walk carries find their records.
+    records = scrape(pages).select("page_id", "title", "content_length")
+    return tree.join(records, "page_id", "left").select(
         "root",
         "url",
         "depth",
         "rank",
         F.size("links").alias("n_links"),
-        "record.title",
-        F.col("record.content_length").alias("text_length"),
+        "title",
+        F.col("content_length").alias("text_length"),
     )

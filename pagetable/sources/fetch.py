@@ -16,24 +16,15 @@ def fetched(pages: DataFrame) -> DataFrame:
     return pages.filter(usable)
 
 
-def stored(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """The stored page of each URL in ``urls``; of several copies the smallest ``page_id``.
+def lookup(frontier: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fetch: every frontier row with the stored page of its ``url``, nulls where none is.
 
-    Which rows are wanted is settled on ``(url, page_id)`` alone, copies being combined map-side.
-    HTML then moves only if the wanted ids are too many to broadcast.
+    Of several copies of a page the one of least ``page_id`` is taken. Which that is, and whether it is asked
+    for, is settled on ``(url, page_id)`` alone; HTML moves once, to the frontier rows that want it.
     """
-    chosen = (
-        pages.select("url", "page_id")
-        .join(urls.select("url").distinct(), "url", "left_semi")
-        .groupBy("url")
-        .agg(F.min("page_id").alias("page_id"))
-    )
-    return pages.join(chosen.select("page_id"), "page_id", "left_semi")
-
-
-def lookup(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Fetch: every frontier row with the stored page of its ``url``, nulls where none is."""
-    return frontier.join(stored(pages, frontier), "url", "left")
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    asked = frontier.join(first, "url", "left")
+    return asked.join(pages.drop("url"), "page_id", "left")
 
 
 def status_error(status: Column) -> Column:

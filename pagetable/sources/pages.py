@@ -20,15 +20,6 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input with fewer splits than there are cores, for work that costs CPU per row.
-
-    Anything larger is returned as it is, so at most one split per core is ever moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def html_pages(pages: DataFrame) -> DataFrame:
     """Pages whose URL does not end in a binary suffix; filter before any parsing."""
     return pages.filter(~is_binary(F.col("url")))

@@ -89,11 +89,13 @@ def test_extract(spark, page_frame):
     ).withColumn("status_code", F.when(F.col("page_id") == 3, 404).otherwise(200))
     rows = X.extract(pages, "li: t=b, far=h2 b, s=b > i").orderBy("page_id").collect()
     assert [tuple(d) for d in rows[0].data] == [("ax", "ax", "x"), ("", "", "")]
-    assert len(rows[1].data) == 50 and tuple(rows[1].data[49]) == ("49x", "", "x")
+    assert len(rows[1].data) == 51 and tuple(rows[1].data[50]) == ("50x", "", "x")
+    cut = X.extract(pages, "li: t=b, far=h2 b, s=b > i", most=50).filter("page_id = 1").first()
+    assert cut.data == rows[1].data[:50]
     assert [(r.data, r.error) for r in rows[2:]] == [
         (None, "No data extracted"), (None, "HTTP 404"), (None, "not stored")
     ]
-    assert X.extract_rows(pages, "li: t=b, u=b").count() == 52
+    assert X.extract_rows(pages, "li: t=b, u=b").count() == 53
 
 
 def test_extract_skips_script_text_unless_asked(spark, page_frame):

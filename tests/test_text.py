@@ -143,7 +143,16 @@ def test_the_three_texts(spark, page_frame, elements):
 
 def test_caps_count_characters(spark, page_frame):
     clean, body, rendered = texts_of(page_frame, "<p>" + "\U0001f600" * 16000)
-    assert (len(clean), len(body), len(rendered)) == (10000, 16000, 15000)
+    assert (len(clean), len(body), len(rendered)) == (16000, 16000, 16000)
+    nodes = with_nodes(page_frame("<p>" + "\U0001f600" * 16000))
+    cut = nodes.select(C.clean_text(F.col("nodes"), 10000), C.rendered_text(F.col("nodes"), 15000))
+    assert [len(t) for t in cut.first()] == [10000, 15000]
+
+
+def test_a_long_run_after_a_reference_is_kept(spark):
+    text = "x &amp" + "a1" * 60 + " y &ampersand &" + "b" * 90 + "; &notin; &notit"
+    got = spark.createDataFrame([(text,)], "t string").select(decode_text(F.col("t"))).first()[0]
+    assert got == stdlib_html.unescape(text)
 
 
 def test_scrape_record(spark, page_frame):
@@ -208,8 +217,12 @@ def test_page_links_keep_order_and_text(spark, page_frame):
     html = "<a href=/a> <b>x</b> y </a><a href='http://o.com'>z</a><a href=/a>" + "w" * 90 + "</a>"
     rows = L.page_links(page_frame(html)).orderBy("pos").collect()
     assert [(r.href, r.text) for r in rows] == [
-        ("http://a.com/a", "x y"), ("http://o.com", "z"), ("http://a.com/a", "w" * 80)
+        ("http://a.com/a", "x y"), ("http://o.com", "z"), ("http://a.com/a", "w" * 90)
     ]
+    assert L.page_links(page_frame(html), 80).filter("pos = 2").first().text == "w" * 80
+    based = page_frame("<base href='http://b.com/d/'><base href=/e/><a href=f>g</a>")
+    assert L.page_links(based).first().href == "http://b.com/d/f"
+    assert L.internal_links(based).first().links == ["http://a.com/x/f"]
 
 
 def test_both_paths_agree_on_random_markup(spark, page_frame):
