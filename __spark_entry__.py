@@ -449,7 +449,7 @@ def json_lines(spark, sf_dir):
 
 def json_array(spark, sf_dir):
     hits = search_documents(spark, sf_dir).select("score", "id", "title", "url")
-    return sinks.json_array(hits.orderBy(F.desc("score"), "id"), ["id"])
+    return sinks.json_array(hits, ["id"], 20)
 
 
 def content_only(spark, sf_dir):

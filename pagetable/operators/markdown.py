@@ -48,14 +48,30 @@ def _is_link(node: Column) -> Column:
     return (node["tag"] == "a") & href.isNotNull() & ~href.startswith("#")
 
 
-def _text(node: Column) -> Column:
+# What would make a list of a line: the mark, and the mark escaped.
+_LIST_STARTS = (
+    (r"(?m)^(\s*\d+)\.(?=\s)", r"$1\\."),
+    (r"(?m)^(\s*)\+(?=\s)", r"$1\\+"),
+    (r"(?m)^(\s*)-(?=[\s-])", r"$1\\-"),
+)
+
+
+def _escaped(text: Column) -> Column:
+    for pattern, replacement in _LIST_STARTS:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
+
+
+def _text(node: Column, nodes: Column) -> Column:
     plain = F.regexp_replace(node["text"], r"[\x01-\x06]", "")
     kept = F.regexp_replace(
         F.translate(F.regexp_replace(plain, r"^\n|\s+\z", ""), " ", _BLANK),
         "\n", _LINE + _BLANK * 4,
     )
     in_pre = node["zone"].bitwiseAND(M.ZONE_PRE) != 0
-    return F.when(in_pre, kept).otherwise(F.regexp_replace(plain, r"[ \t\n\x0B\f\r]+", " "))
+    in_code = F.element_at(nodes, node["parent"])["tag"].isin("code", "tt", "kbd")
+    shown = F.when(in_code, plain).otherwise(_escaped(plain))
+    return F.when(in_pre, kept).otherwise(F.regexp_replace(shown, r"[ \t\n\x0B\f\r]+", " "))
 
 
 def _open(node: Column, nodes: Column, lists: Column, quotes: Column) -> Column:
@@ -69,7 +85,7 @@ def _open(node: Column, nodes: Column, lists: Column, quotes: Column) -> Column:
         parent["tag"] == "ol", F.concat((number + node["nth"] - 1).cast("string"), F.lit("."))
     ).otherwise("*")
     return (
-        F.when(is_text(node), _text(node))
+        F.when(is_text(node), _text(node, nodes))
         .when(tag.isin(*_BLOCKS), block)
         .when(
             tag.isin(*_HEADINGS),

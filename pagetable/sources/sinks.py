@@ -22,16 +22,15 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
-def json_array(df: DataFrame, order: list[str], pretty: bool = False) -> DataFrame:
-    """``value``: the whole frame as one JSON array, rows sorted by ``order``.
+def json_array(df: DataFrame, order: list[str], limit: int, pretty: bool = False) -> DataFrame:
+    """``value``: the first ``limit`` rows by ``order`` as one JSON array.
 
-    One document is one row, so this is for results already bounded by a limit; write JSON lines
-    for anything else.
+    One document is one row, so it takes a limit; write JSON lines for anything unbounded.
     """
     item = F.struct(*[F.col(c) for c in df.columns])
     keyed = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], item.alias("item"))
     rows = F.transform(F.sort_array(F.collect_list(keyed)), lambda k: k["item"])
-    return df.agg(_json(rows, pretty).alias("value"))
+    return df.orderBy(*order).limit(limit).agg(_json(rows, pretty).alias("value"))
 
 
 def content_only(records: DataFrame) -> DataFrame:

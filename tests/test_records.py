@@ -174,11 +174,11 @@ def test_sinks(spark, tmp_path):
     lines = [r.value for r in spark.read.text(str(tmp_path / "lines")).collect()]
     assert sorted(lines) == ['{"id":1,"t":null}', '{"id":2,"t":"é/"}']
     assert sorted(r.value for r in sinks.json_lines(df).collect()) == sorted(lines)
-    array = sinks.json_array(df, ["id"]).first().value
+    array = sinks.json_array(df, ["id"], 100).first().value
     assert array == '[{"id":1,"t":null},{"id":2,"t":"é/"}]'
-    pretty = sinks.json_array(df, ["id"], pretty=True).first().value
+    pretty = sinks.json_array(df, ["id"], 100, pretty=True).first().value
     assert json.loads(pretty) == json.loads(array) and "\n" in pretty
-    assert sinks.json_array(df.limit(0), ["id"]).first().value == "[]"
+    assert sinks.json_array(df.limit(0), ["id"], 5).first().value == "[]"
 
     records = spark.sql(
         "SELECT array(named_struct('a', 'x')) AS data, 'c' AS content UNION ALL "

@@ -250,3 +250,11 @@ def test_both_paths_agree_on_random_markup(spark, page_frame):
     rows = with_nodes(pages).select("html", C.title(F.col("html")).alias("t"), "nodes").collect()
     wrong = [(r.html, r.t) for r in rows if first_title(r.nodes) not in (None, r.t)]
     assert wrong == []
+
+
+def test_text_that_looks_like_a_list_is_escaped(page_frame):
+    page = page_frame("<p>1. one<p>- dash<p>+ plus<p>a - b<p>1.5 x<p><code>- c</code><pre>- d</pre>")
+    nodes = with_nodes(page)
+    shown = nodes.select(to_markdown(F.col("nodes"))).first()[0]
+    lines = [line for line in shown.split("\n") if line.strip()]
+    assert lines == ["1\\. one", "\\- dash", "\\+ plus", "a - b", "1.5 x", "`- c`", "    - d"]
