@@ -43,8 +43,9 @@ class Stage:
     """Tables written while an iterative operator runs.
 
     Writing cuts the lineage, survives lost executors and gives the next step exact sizes. The
-    folder is left to the cluster's clean-up of its checkpoint folder, since the frames an
-    operator returns read from it.
+    folder stays, since the frames an operator returns read from it; once they are done with, the
+    caller may ``clear`` a stage of its own or leave all to the cluster's clean-up of its checkpoint
+    folder.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -57,3 +58,8 @@ class Stage:
     def save(self, df: DataFrame, table: str) -> DataFrame:
         df.write.parquet(self.path(table))
         return self._spark.read.schema(df.schema).parquet(self.path(table))
+
+    def clear(self) -> None:
+        """Deletes what the stage has written; frames that read from it no longer work."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self._root)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
