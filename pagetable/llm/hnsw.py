@@ -154,8 +154,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-def build(rows: DataFrame, stage: Stage, k: int = K) -> DataFrame:
-    """One row per shard, from ``vec_id, embedding``.
+def build(rows: DataFrame, stage: Stage, k: int = K) -> tuple[DataFrame, int]:
+    """One row per shard, from ``vec_id, embedding``, and the number of shards per vector length.
 
     A vector that many rows share is indexed once, with its ``k + 1`` smallest ids: more of them cannot be
     among a query's ``k`` nearest. Tasks cut the rest of a shared vector's ids before the shuffle.
@@ -181,10 +181,12 @@ def build(rows: DataFrame, stage: Stage, k: int = K) -> DataFrame:
             "ids": [[list(map(int, x)) for x in pdf["ids"]]],
         })
 
-    return stage.save(dealt.groupBy("shard").applyInPandas(graph, _INDEX), "index")
+    return stage.save(dealt.groupBy("shard").applyInPandas(graph, _INDEX), "index"), n_shards
 
 
-def search(index: DataFrame, queries: DataFrame, n_queries: int, k: int = K) -> DataFrame:
+def search(
+    index: DataFrame, n_shards: int, queries: DataFrame, n_queries: int, k: int = K
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query, nearest first.
 
     A query's own id is no candidate. Ties go to the smaller vec_id. A block of queries meets a shard in one
@@ -192,10 +194,12 @@ def search(index: DataFrame, queries: DataFrame, n_queries: int, k: int = K) ->
     """
     n_blocks = max(1, -(-n_queries // BLOCK))
     blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
+    first = F.size("embedding").cast("long") * n_shards
     asked = queries.select(
-        F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("dim"),
+        F.col("vec_id").alias("query_id"), "embedding",
         F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("to_block"),
-    ).join(F.broadcast(index.select(F.col("shard").alias("to_shard"), "dim")), "dim")  # two numbers per shard
+        F.explode(F.sequence(first, first + (n_shards - 1))).alias("to_shard"),
+    )
     shards = index.select("*", blocks)
 
     def find(key: tuple, shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
@@ -234,4 +238,4 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     stage = Stage(vectors.sparkSession, "hnsw")
     rows = stage.save(usable(vectors), "rows")
     queries = rows.filter(is_query).distinct()
-    return search(build(rows, stage, k), queries, queries.count(), k)
+    return search(*build(rows, stage, k), queries, queries.count(), k)
