@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ from pagetable.session import Stage
 SEQUENCE = 2048
 BATCH_ROWS = 256
 END_ID = 0
-CACHED = 600_000
+CACHED = 1_000_000
 INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -58,7 +59,8 @@ class _Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self._tool.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in got]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts; words not met before are encoded in one call."""
