@@ -28,7 +28,7 @@ WIDTH = 20
 ROUNDS = 2
 GAP = r"[\x20\x09-\x0D]+"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_NO_ID = -(2**63)  # stands for a null doc_id, which comes before all others
+_NO_ID = -(2**63)  # stands for a null doc_id, which comes before all others; no doc_id may be it
 
 
 class _Spans:
@@ -160,10 +160,12 @@ def group_rows(keyed: DataFrame) -> DataFrame:
             ids = batch["id"].to_numpy(zero_copy_only=False)
             parts = batch["part"].to_numpy(zero_copy_only=False)
             order = np.lexsort((start, ids[row], content, anchor))
-            anchor, content, row, start, count = (x[order] for x in (anchor, content, row, start, count))
-            new = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])) if len(order) else order
-            head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
-            later = (ids[row] != ids[row[head]]) | (start != start[head])
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)
+            head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            # Rows stay in the order of their texts: places next to each other compress well.
+            later = np.zeros(len(order), bool)
+            later[order] = (ids[row[order]] != ids[row[head]]) | (start[order] != start[head])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchor, mask=later), pa.array(content, mask=later), pa.array(ids[row]),
@@ -252,11 +254,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     stage = Stage(docs.sparkSession, "recompression")
     docs = docs.select("doc_id", "text")
     marks = repeats(docs, stage)
-    text = whole_text()
-    rows = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.hash(text).alias("part"), text.alias("text"),
-    ).join(marks, ["id", "part"], "left")
+    # The same columns as where windows are compared, so that one exchange of texts serves both.
+    rows = _keyed(docs).join(marks, ["id", "part"], "left")
+    rows = rows.withColumn("doc_id", F.nullif("id", F.lit(_NO_ID)))
 
     @F.pandas_udf("string")
     def cleared(texts: pd.Series, starts: pd.Series, counts: pd.Series) -> pd.Series:
