@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates: copied questions are found with other numbers and names.
 
 Words are put in canonical form: numbers, names and units become typed placeholders, all else its
-lower-case form. Windows of the resulting template are hash-joined between documents and benchmark.
+lower-case form. Whether a capitalised word is a name cannot be seen, so windows are also read with such
+words as plain ones, and once as they stand. Windows of the resulting template are hash-joined between documents and benchmark.
 Matches on one diagonal (the same distance between both positions) are put together, and count only
 if their slots agree: each value of the benchmark always stands against the same value of the
 document, and the other way round. So a question with its numbers changed throughout is found, and
@@ -11,6 +12,7 @@ texts that share nothing but a frame of placeholders are not.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagetable.llm.common import mix, window_hashes, windows
+from pagetable.llm.common import mix, windows
 
 WINDOW = 8  # words of a window; a shorter item is one window
 SHORTEST = 4  # items of fewer words are too common to look for
@@ -78,15 +80,16 @@ def _tokens() -> _Tokens:
     return _Tokens()
 
 
+_ODD = np.uint64(11 * 2 + 0x9E3779B97F4A7C15)
 _PLACEHOLDER_HASH = mix(np.arange(8, dtype=np.uint64) + np.uint64(0x5EED))
 
 
-def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts end to end, which of them are words, kinds and template hashes of the
-    tokens, and each text's offset among the words.
+def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts end to end, which of them are words, and of the words: kinds, hashes as
+    literals and whether they open a sentence or the text; then each text's offset among the words.
 
-    A capitalised word is a name unless it opens a sentence or the text; capitals throughout are
-    no name. A unit is one only right behind a number.
+    Every capitalised word has the kind of a name; capitals throughout are no name. A unit is one only
+    right behind a number.
     """
     known = _tokens()
     found, lengths = [], []
@@ -99,65 +102,131 @@ def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.n
     before = np.concatenate([[STOP], kinds[:-1]])
     bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     before[bounds[:-1][np.array(lengths) > 0]] = STOP
-    kinds = np.where((kinds == NAME) & (before == STOP), LITERAL, kinds)
     kinds = np.where((kinds == UNIT) & (before != NUMBER), LITERAL, kinds)
-    hashes = np.where(kinds == LITERAL, codes.astype(np.uint64) | np.uint64(7), _PLACEHOLDER_HASH[kinds])
     is_word = kinds != STOP
     words_before = np.concatenate([[0], np.cumsum(is_word)])
     at = np.flatnonzero(is_word)
-    return found, at, kinds, hashes, words_before[bounds]
+    return found, at, kinds[at], codes[at].astype(np.uint64) | np.uint64(7), before[at] == STOP, words_before[bounds]
+
+
+def _powers(values: np.ndarray) -> list[np.ndarray]:
+    """Hashes of runs of 1, 2, 4 and 8 words from every place."""
+    powers, size = [mix(values + np.uint64(11))], 1
+    while size * 2 <= WINDOW:
+        last = powers[-1]
+        powers.append(mix(last[: max(len(last) - size, 0)] * _ODD + last[size:]))
+        size *= 2
+    return powers
+
+
+def _hashes(powers: list[np.ndarray], starts: np.ndarray, width: int) -> np.ndarray:
+    """An order-sensitive 64-bit hash of each window."""
+    whole, have = np.zeros(len(starts), np.uint64), 0
+    for i, power in enumerate(powers):
+        if width >> i & 1:
+            whole = mix(whole * _ODD + power[starts + have])
+            have += 1 << i
+    return whole
+
+
+def _batch(ids, sizes, offsets, starts, row, width, values, words, shown) -> pa.RecordBatch:
+    """Windows as rows; ``shown`` holds the kind that each word of a window is read as."""
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([ids[r] for r in row], pa.int64()),
+            pa.array(sizes[row].astype(np.int32)),
+            pa.array((starts - offsets[row]).astype(np.int32)),
+            pa.array(np.full(len(starts), width, np.int32)),
+            pa.array(values.view(np.int64)),
+            pa.array([" ".join(PLACEHOLDER.get(k) or w for w, k in zip(*x)) for x in zip(words, shown)], pa.string()),
+            pa.array([[w for w, k in zip(*x) if k in PLACEHOLDER] for x in zip(words, shown)], pa.list_(pa.string())),
+        ],
+        ["id", "n_words", "pos", "width", "hash", "template", "slots"],
+    )
+
+
+def _rows(df: DataFrame, id_column: str) -> DataFrame:
+    return df.select(F.col(id_column).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+
 
+def _readings(kinds: list[int]) -> list[list[int]]:
+    """What the words of a benchmark window are read as: all as they stand, and as templates in which
+    each capitalised word is a name or is none."""
+    names = [i for i, k in enumerate(kinds) if k == NAME]
+    fixed = [LITERAL if k == NAME else k for k in kinds]
+    most = int(len(kinds) * (1 - LITERAL_SHARE)) - sum(k != LITERAL for k in fixed)
+    out = [[LITERAL] * len(kinds)] if most >= 0 else []
+    for n in range(min(most, len(names)) + 1):
+        for chosen in combinations(names, n):
+            read = [NAME if i in chosen else k for i, k in enumerate(fixed)]
+            if any(read):
+                out.append(read)
+    return out
 
-def template_windows(df: DataFrame, id_column: str, text: str, widths: list[int] | None, seen: np.ndarray | None) -> DataFrame:
-    """Windows of every text: position, hash, template and slot values, for the given widths.
 
-    Without ``widths`` each text gives windows of ``WINDOW`` words, or one of all its words if it
-    has fewer. ``seen`` is a bitmap of hashes; windows outside it are left out, none else.
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """Windows of every item in all readings: position, hash, template and slot values.
+
+    An item gives windows of ``WINDOW`` words, or one of all its words if it has fewer.
     """
 
     def cut(batches):
         for batch in batches:
             ids = batch["id"].to_pylist()
-            tokens, at, kinds, hashes, offsets = canonical(batch["text"].to_pylist())
-            kinds, hashes = kinds[at], hashes[at]
-            literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+            tokens, at, kinds, literal, _, offsets = canonical(batch["text"].to_pylist())
             sizes = np.diff(offsets)
-            for width in widths or range(SHORTEST, WINDOW + 1):
-                starts, row = windows(hashes, offsets, width)
-                if widths is None:
-                    own = np.minimum(sizes, WINDOW)[row] == width
-                    starts, row = starts[own], row[own]
-                if not len(starts):
+            for width in range(SHORTEST, WINDOW + 1):
+                starts, row = windows(literal, offsets, width)
+                own = np.minimum(sizes, WINDOW)[row] == width
+                found = [(s, r, x) for s, r in zip(starts[own], row[own]) for x in _readings(kinds[s : s + width].tolist())]
+                if not found:
                     continue
-                values = window_hashes(hashes, starts, width, 11)
-                keep = literal[starts + width] - literal[starts] >= width * LITERAL_SHARE
-                if seen is not None:
+                starts, row = np.array([f[0] for f in found]), np.array([f[1] for f in found])
+                shown = np.array([f[2] for f in found])
+                read = np.where(shown == LITERAL, literal[starts[:, None] + np.arange(width)], _PLACEHOLDER_HASH[shown])
+                values = _hashes(_powers(read.reshape(-1)), np.arange(len(starts)) * width, width)
+                words = [[tokens[i].lower() for i in at[s : s + width]] for s in starts]
+                yield _batch(ids, sizes, offsets, starts, row, width, values, words, shown.tolist())
+
+    return _rows(benchmark, "item_id").mapInArrow(cut, _WINDOW_TYPE)
+
+
+def document_windows(docs: DataFrame, widths: list[int], seen) -> DataFrame:
+    """Windows of every document that are in ``seen``, a bitmap of hashes, for the given widths.
+
+    A window is read as it stands and as a template whose names are none, the capitalised words
+    that open no sentence, and all capitalised words. As the benchmark has every reading, words of one
+    place meet if they are equal but for case, and if both are capitalised.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            ids = batch["id"].to_pylist()
+            tokens, at, kinds, literal, opens, offsets = canonical(batch["text"].to_pylist())
+            sizes = np.diff(offsets)
+            plain = np.where(kinds == NAME, LITERAL, kinds)
+            read = [np.zeros_like(kinds), plain, np.where(opens, plain, kinds), kinds]
+            powers = [_powers(np.where(k == LITERAL, literal, _PLACEHOLDER_HASH[k])) for k in read]
+            sums = [np.concatenate([[0], np.cumsum(k != LITERAL)]) for k in read]
+            for width in widths:
+                starts, row = windows(literal, offsets, width)
+                slots = [x[starts + width] - x[starts] for x in sums]
+                for i in range(len(read)):
+                    keep = slots[max(i, 1)] <= width * (1 - LITERAL_SHARE)
+                    if i:
+                        keep &= slots[i] > slots[i - 1]
+                    here = np.flatnonzero(keep)
+                    values = _hashes(powers[i], starts[here], width)
                     spot = values & np.uint64((1 << FILTER_BITS) - 1)
-                    keep &= (seen[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                out = {k: [] for k in ("template", "slots")}
-                starts, row, values = starts[keep], row[keep], values[keep]
-                for s in starts:
-                    words = [tokens[i] for i in at[s : s + width]]
-                    shown = kinds[s : s + width]
-                    out["template"].append(
-                        " ".join(PLACEHOLDER.get(k) or w.lower() for w, k in zip(words, shown))
-                    )
-                    out["slots"].append([w.lower() for w, k in zip(words, shown) if k in PLACEHOLDER])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[r] for r in row], pa.int64()),
-                        pa.array(sizes[row].astype(np.int32)),
-                        pa.array((starts - offsets[row]).astype(np.int32)),
-                        pa.array(np.full(len(starts), width, np.int32)),
-                        pa.array(values.view(np.int64)),
-                        pa.array(out["template"], pa.string()),
-                        pa.array(out["slots"], pa.list_(pa.string())),
-                    ],
-                    ["id", "n_words", "pos", "width", "hash", "template", "slots"],
-                )
-
-    rows = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, _WINDOW_TYPE)
+                    known = (seen[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    here, values = here[known], values[known]
+                    if not len(here):
+                        continue
+                    words = [[tokens[j].lower() for j in at[s : s + width]] for s in starts[here]]
+                    shown = [read[i][s : s + width].tolist() for s in starts[here]]
+                    yield _batch(ids, sizes, offsets, starts[here], row[here], width, values, words, shown)
+
+    return _rows(docs, "doc_id").mapInArrow(cut, _WINDOW_TYPE)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -172,7 +241,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A bitmap of the benchmark's windows, of fixed size, keeps other windows of documents from being written; it
     drops none that the join would find. The join itself is left to Spark.
     """
-    items = template_windows(benchmark, "item_id", "text", None, None)
+    items = item_windows(benchmark)
     spot = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
     spots = items.select("width", spot.alias("spot")).distinct().collect()
     widths = sorted({r["width"] for r in spots})
@@ -186,7 +255,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.col("n_words").alias("longest"), F.lit(0.0).alias("coverage"),
             F.lit(False).alias("reparameterised"),
         ).limit(0)
-    found = template_windows(docs, "doc_id", "text", widths, _Shared(shared))
+    found = document_windows(docs, widths, _Shared(shared))
     return _joined(found, items)
 
 

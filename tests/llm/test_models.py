@@ -199,6 +199,24 @@ def test_templates_find_copies_with_other_numbers_and_names(spark, documents, wi
     assert decontaminate.clean(docs, benchmark.filter("false")).count() == docs.count()
 
 
+def leaks(spark, documents, items, *texts):
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in decontaminate.matches(documents(*texts), benchmark).collect()}
+
+
+def test_copies_are_found_in_other_places_and_other_case(spark, documents):
+    short = "What is the boiling point of water"
+    apples = "Tom has 5 apples. Ann has 3 more apples than Tom. How many apples does Ann have"
+    renamed = apples.replace("Tom", "Sue").replace("Ann", "Bob").replace("5", "8").replace("3", "4")
+    tea = "the tea that was thrown into the harbour of Boston came from China by ship"
+    got = leaks(
+        spark, documents, [short, apples, tea], "Q: " + short, "they ask, " + short.lower() + "?", short.upper(),
+        "Q: " + renamed, renamed, apples.upper(), apples.lower(), tea.lower(), tea.title(), "Water is What a point is",
+    )
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1), (7, 2), (8, 2)}
+    assert {k for k, r in got.items() if r.reparameterised} == {(3, 1), (4, 1)}
+
+
 # --- Neighbours ---------------------------------------------------------------------------
 
 
