@@ -3,14 +3,16 @@
 Words are put in canonical form: numbers, names and units become typed placeholders, all else its
 lower-case form. Whether a capitalised word is a name cannot be seen, so windows are also read with such
 words as plain ones, and once as they stand. Windows of the resulting template are hash-joined between documents and benchmark.
-Matches on one diagonal (the same distance between both positions) are put together, and count only
-if their slots agree: each value of the benchmark always stands against the same value of the
-document, and the other way round. So a question with its numbers changed throughout is found, and
+Matches on one diagonal (the same distance between both positions) are put together. Those with the
+benchmark's own words always count, others if their slots agree within a run: each value of the
+benchmark always stands against the same value of the document, and different names against different
+names. So a question with its numbers changed throughout is found, and
 texts that share nothing but a frame of placeholders are not.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 from itertools import combinations
 
@@ -32,6 +34,7 @@ CACHED = 500_000
 
 LITERAL, NUMBER, NAME, UNIT, STOP = range(5)
 PLACEHOLDER = {NUMBER: "<number>", NAME: "<name>", UNIT: "<unit>"}
+_SHOWN = frozenset(PLACEHOLDER.values())
 # Units that may follow a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l cl s sec secs min mins h hr hrs hz khz mhz ghz "
@@ -43,7 +46,7 @@ UNITS = frozenset(
 )
 _TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 _WINDOW_TYPE = (
-    "id long, n_words int, pos int, width int, hash long, template string, slots array<string>"
+    "id long, n_words int, pos int, width int, hash long, template string, words array<string>"
 )
 
 
@@ -139,9 +142,9 @@ def _batch(ids, sizes, offsets, starts, row, width, values, words, shown) -> pa.
             pa.array(np.full(len(starts), width, np.int32)),
             pa.array(values.view(np.int64)),
             pa.array([" ".join(PLACEHOLDER.get(k) or w for w, k in zip(*x)) for x in zip(words, shown)], pa.string()),
-            pa.array([[w for w, k in zip(*x) if k in PLACEHOLDER] for x in zip(words, shown)], pa.list_(pa.string())),
+            pa.array(words, pa.list_(pa.string())),
         ],
-        ["id", "n_words", "pos", "width", "hash", "template", "slots"],
+        ["id", "n_words", "pos", "width", "hash", "template", "words"],
     )
 
 
@@ -165,7 +168,7 @@ def _readings(kinds: list[int]) -> list[list[int]]:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of every item in all readings: position, hash, template and slot values.
+    """Windows of every item in all readings: position, hash, template and words.
 
     An item gives windows of ``WINDOW`` words, or one of all its words if it has fewer.
     """
@@ -232,8 +235,8 @@ def document_windows(docs: DataFrame, widths: list[int], seen) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, n_words, longest, coverage, reparameterised`` of every contaminated pair.
 
-    ``docs`` has ``doc_id, text``, ``benchmark`` has ``item_id, text``. A pair counts when slots agree and
-    either ``RUN`` template words in a row or a share of ``COVERAGE`` of the item's words stand in the document.
+    ``docs`` has ``doc_id, text``, ``benchmark`` has ``item_id, text``. Of windows whose slots agree,
+    either ``RUN`` template words in a row or a share of ``COVERAGE`` of the item's words must stand in the document.
     ``longest`` is the largest number of words on one diagonal. Null texts have no words; items of
     fewer than ``SHORTEST`` words, and windows that are mostly placeholders, are not looked for. Rows that share
     a doc_id, null included, count as one document.
@@ -269,23 +272,90 @@ class _Shared:
         return self._held.value[at]
 
 
+def _runs(windows: list[tuple]) -> list[list[tuple]]:
+    """Windows, in order of position, cut where no window covers the step from one word to the next."""
+    out, end = [], -1
+    for w in sorted(windows):
+        if w[0] > end:
+            out.append([])
+        out[-1].append(w)
+        end = max(end, w[0] + len(w[1]))
+    return out
+
+
+def _counted(run: list[tuple]) -> list[tuple]:
+    """The windows of a run that count as a copy of the benchmark's words.
+
+    Windows with the benchmark's own words always do. Of the others, those do that agree on what
+    stands for each of the benchmark's values. Where a value has several counterparts, those are taken by
+    which most words are covered. Two numbers or units may become one, as they do by chance, but names
+    may not: if they fall together, the run counts only where it is unchanged.
+    """
+    same = [w for w in run if w[1] == w[2]]
+    slots = [{(k, b, d) for k, b, d in zip(w[3].split(" "), w[1], w[2]) if k in _SHOWN} for w in run]
+    options = {}
+    for w in slots:
+        for k, b, d in w:
+            options.setdefault((k, b), Counter())[d] += 1
+    open_ = [b for b, ds in options.items() if len(ds) > 1]
+    chosen = {b: ds.most_common(1)[0][0] for b, ds in options.items()}
+
+    def taken():
+        kept = [w for w, x in zip(run, slots) if all(chosen[k, b] == d for k, b, d in x)]
+        names = {(b, d) for w in kept for k, b, d in zip(w[3].split(" "), w[1], w[2]) if k == PLACEHOLDER[NAME]}
+        return [*kept, *same] if len({d for _, d in names}) == len(names) else same
+
+    best = taken()
+    most = len(_covered(best))
+    better = bool(open_)
+    while better:  # each turn covers more words
+        better = False
+        for b in open_:
+            for d in list(options[b]):
+                before, chosen[b] = chosen[b], d
+                now = taken()
+                if len(_covered(now)) > most:
+                    best, most, better = now, len(_covered(now)), True
+                else:
+                    chosen[b] = before
+    return best
+
+
+def _covered(windows: list[tuple]) -> set[int]:
+    return {p for w in windows for p in range(w[0], w[0] + len(w[1]))}
+
+
+def _judged(batches):
+    """What counts of each diagonal: the item's words that are covered, and whether any is changed."""
+    for batch in batches:
+        covered, changed = [], []
+        for found in batch["found"].to_pylist():
+            windows = [(w["pos"], w["b"], w["d"], w["template"]) for w in found]
+            counted = [w for run in _runs(windows) for w in _counted(run)]
+            covered.append(sorted(_covered(counted)))
+            changed.append(any(b != d for _, b, d, _ in counted))
+        kept = batch.drop_columns(["found"])
+        yield pa.RecordBatch.from_arrays(
+            [*kept.columns, pa.array(covered, pa.list_(pa.int32())), pa.array(changed, pa.bool_())],
+            [*kept.schema.names, "covered", "changed"],
+        )
+
+
 def _joined(found: DataFrame, items: DataFrame) -> DataFrame:
-    d = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "width", "hash", "template", F.col("slots").alias("doc_slots"))
-    b = items.select(F.col("id").alias("item_id"), "n_words", "pos", "width", "hash", "template", "slots")
+    d = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "width", "hash", "template", F.col("words").alias("d"))
+    b = items.select(F.col("id").alias("item_id"), "n_words", "pos", "width", "hash", "template", F.col("words").alias("b"))
     both = d.join(b, ["width", "hash", "template"])
-    pairs = F.arrays_zip(F.col("slots").alias("b"), F.col("doc_slots").alias("d"))
-    # A diagonal holds each window of an item once at most, so what is gathered is bounded by it.
+    # A diagonal holds each window of an item once at most in each reading, so what is gathered is bounded by it.
     diagonal = both.groupBy("doc_id", "item_id", "n_words", (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + F.col("width") - 1)))).alias("covered"),
-        F.array_distinct(F.flatten(F.collect_list(pairs))).alias("slots"),
-    )
-    sides = [F.size(F.array_distinct(F.transform("slots", lambda s: s[k]))) for k in ("b", "d")]
-    agreeing = diagonal.filter((F.size("slots") == sides[0]) & (F.size("slots") == sides[1]))
-    changed = F.exists("slots", lambda s: s["b"] != s["d"])
+        F.collect_set(F.struct("pos", "b", "d", "template")).alias("found")
+    )
+    judged = diagonal.drop("shift").mapInArrow(
+        _judged, "doc_id long, item_id long, n_words int, covered array<int>, changed boolean"
+    )
     # Copies in one document cover the same words mostly, and an item has few positions.
-    pair = agreeing.groupBy("doc_id", "item_id", "n_words").agg(
+    pair = judged.filter(F.size("covered") > 0).groupBy("doc_id", "item_id", "n_words").agg(
         F.max(F.size("covered")).alias("longest"),
-        F.count_if(~changed).alias("_same"),
+        F.count_if(~F.col("changed")).alias("_same"),
         F.collect_set("covered").alias("_covered"),
     )
     coverage = F.size(F.array_distinct(F.flatten("_covered"))) / F.col("n_words")

@@ -217,6 +217,19 @@ def test_copies_are_found_in_other_places_and_other_case(spark, documents):
     assert {k for k, r in got.items() if r.reparameterised} == {(3, 1), (4, 1)}
 
 
+def test_a_conflict_of_slots_drops_no_more_than_its_windows(spark, documents):
+    start, end = prose(30), prose(30)
+    item = f"{start} and 5 of them {end} but 5 stay"
+    sums = "if you have 3 red balls and then find 5 blue balls how many balls are in the bag"
+    got = leaks(
+        spark, documents, [item, sums], item[:-6] + "6 stay", sums.replace("3", "5"), item,
+        f"{start} and 7 of them {end} but 6 stay", sums.replace("3", "9").replace("5", "4"),
+    )
+    assert set(got) == {(0, 0), (1, 1), (2, 0), (3, 0), (4, 1)}
+    assert got[3, 0].longest >= 60 and got[0, 0].longest >= 60 and got[2, 0].coverage == 1
+    assert got[1, 1].reparameterised and got[4, 1].reparameterised and not got[2, 0].reparameterised
+
+
 # --- Neighbours ---------------------------------------------------------------------------
 
 
