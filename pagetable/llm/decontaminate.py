@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from pagetable.llm.common import mix, windows
 
 WINDOW = 8  # words of a window; a shorter item is one window
-SHORTEST = 4  # items of fewer words are too common to look for
-LITERAL_SHARE = 0.5  # of a window's words must be no placeholder
+SHORTEST = 4  # items of fewer words are looked for as they stand only
+LITERAL_SHARE = 0.5  # of a template's words must be no placeholder; others are looked for as they stand
 RUN = 13  # words in a row that make a match
 COVERAGE = 0.6  # share of an item's words that makes a match
 FILTER_BITS = 23  # of the bitmap of benchmark windows, 1 MB whatever the benchmark's size
@@ -158,7 +158,9 @@ def _readings(kinds: list[int]) -> list[list[int]]:
     names = [i for i, k in enumerate(kinds) if k == NAME]
     fixed = [LITERAL if k == NAME else k for k in kinds]
     most = int(len(kinds) * (1 - LITERAL_SHARE)) - sum(k != LITERAL for k in fixed)
-    out = [[LITERAL] * len(kinds)] if most >= 0 else []
+    out = [[LITERAL] * len(kinds)]
+    if len(kinds) < SHORTEST:
+        return out
     for n in range(min(most, len(names)) + 1):
         for chosen in combinations(names, n):
             read = [NAME if i in chosen else k for i, k in enumerate(fixed)]
@@ -178,7 +180,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             ids = batch["id"].to_pylist()
             tokens, at, kinds, literal, _, offsets = canonical(batch["text"].to_pylist())
             sizes = np.diff(offsets)
-            for width in range(SHORTEST, WINDOW + 1):
+            for width in range(1, WINDOW + 1):
                 starts, row = windows(literal, offsets, width)
                 own = np.minimum(sizes, WINDOW)[row] == width
                 found = [(s, r, x) for s, r in zip(starts[own], row[own]) for x in _readings(kinds[s : s + width].tolist())]
@@ -214,15 +216,17 @@ def document_windows(docs: DataFrame, widths: list[int], seen) -> DataFrame:
             for width in widths:
                 starts, row = windows(literal, offsets, width)
                 slots = [x[starts + width] - x[starts] for x in sums]
-                for i in range(len(read)):
-                    keep = slots[max(i, 1)] <= width * (1 - LITERAL_SHARE)
+                for i in range(len(read) if width >= SHORTEST else 1):
+                    here = np.arange(len(starts))
                     if i:
-                        keep &= slots[i] > slots[i - 1]
-                    here = np.flatnonzero(keep)
+                        here = np.flatnonzero((slots[i] <= width * (1 - LITERAL_SHARE)) & (slots[i] > slots[i - 1]))
                     values = _hashes(powers[i], starts[here], width)
                     spot = values & np.uint64((1 << FILTER_BITS) - 1)
                     known = (seen[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     here, values = here[known], values[known]
+                    if i == 0 and width < WINDOW:  # all of an item, so one place of a document will do
+                        once = np.unique(np.stack([row[here].astype(np.uint64), values]), axis=1, return_index=True)[1]
+                        here, values = here[once], values[once]
                     if not len(here):
                         continue
                     words = [[tokens[j].lower() for j in at[s : s + width]] for s in starts[here]]
@@ -237,8 +241,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``docs`` has ``doc_id, text``, ``benchmark`` has ``item_id, text``. Of windows whose slots agree,
     either ``RUN`` template words in a row or a share of ``COVERAGE`` of the item's words must stand in the document.
-    ``longest`` is the largest number of words on one diagonal. Null texts have no words; items of
-    fewer than ``SHORTEST`` words, and windows that are mostly placeholders, are not looked for. Rows that share
+    ``longest`` is the largest number of words on one diagonal. Null texts have no words. Items
+    of fewer than ``SHORTEST`` words, and windows that are mostly placeholders, count as they stand only, but for
+    case: a one-word item is found in every document with that word. Rows that share
     a doc_id, null included, count as one document.
 
     A bitmap of the benchmark's windows, of fixed size, keeps other windows of documents from being written; it

@@ -230,6 +230,18 @@ def test_a_conflict_of_slots_drops_no_more_than_its_windows(spark, documents):
     assert got[1, 1].reparameterised and got[4, 1].reparameterised and not got[2, 0].reparameterised
 
 
+def test_items_of_few_words_or_many_placeholders_are_found_as_they_stand(spark, documents):
+    items = [
+        "Compute 12 + 7 - 3 + 45 + 6", "War And Peace By Leo Tolstoy", "Zanzibar", "name three colours",
+        "Jan 12 30 Feb 14 28 Mar 15 31 Apr 18 30 May 21 31 Jun 24 30",
+    ]
+    got = leaks(
+        spark, documents, items, *[f"{prose(8)}, {x} {prose(8)}" for x in items], items[0].replace("12", "13"),
+        "War and peace by Leo Tolstoy", "zanzibar, ZANZIBAR", "name four colours", items[4].replace("1", "2"),
+    )
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 1), (7, 2)}
+
+
 # --- Neighbours ---------------------------------------------------------------------------
 
 
