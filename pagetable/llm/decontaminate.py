@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pagetable.llm.common import mix, windows
+from pagetable.llm.common import mix, whole_text, windows
 
 WINDOW = 8  # words of a window; a shorter item is one window
 SHORTEST = 4  # items of fewer words are looked for as they stand only
@@ -46,7 +46,7 @@ UNITS = frozenset(
 )
 _TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 _WINDOW_TYPE = (
-    "id long, n_words int, pos int, width int, hash long, template string, words array<string>"
+    "id long, node binary, n_words int, pos int, width int, hash long, template string, words array<string>"
 )
 
 
@@ -83,6 +83,7 @@ def _tokens() -> _Tokens:
     return _Tokens()
 
 
+_PAIR = ("doc_id", "node", "item_id", "item_node", "n_words")
 _ODD = np.uint64(11 * 2 + 0x9E3779B97F4A7C15)
 _PLACEHOLDER_HASH = mix(np.arange(8, dtype=np.uint64) + np.uint64(0x5EED))
 
@@ -132,11 +133,12 @@ def _hashes(powers: list[np.ndarray], starts: np.ndarray, width: int) -> np.ndar
     return whole
 
 
-def _batch(ids, sizes, offsets, starts, row, width, values, words, shown) -> pa.RecordBatch:
+def _batch(batch, sizes, offsets, starts, row, width, values, words, shown) -> pa.RecordBatch:
     """Windows as rows; ``shown`` holds the kind that each word of a window is read as."""
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([ids[r] for r in row], pa.int64()),
+            batch["id"].take(pa.array(row)),
+            batch["node"].take(pa.array(row)),
             pa.array(sizes[row].astype(np.int32)),
             pa.array((starts - offsets[row]).astype(np.int32)),
             pa.array(np.full(len(starts), width, np.int32)),
@@ -144,12 +146,18 @@ def _batch(ids, sizes, offsets, starts, row, width, values, words, shown) -> pa.
             pa.array([" ".join(PLACEHOLDER.get(k) or w for w, k in zip(*x)) for x in zip(words, shown)], pa.string()),
             pa.array(words, pa.list_(pa.string())),
         ],
-        ["id", "n_words", "pos", "width", "hash", "template", "words"],
+        ["id", "node", "n_words", "pos", "width", "hash", "template", "words"],
     )
 
 
 def _rows(df: DataFrame, id_column: str) -> DataFrame:
-    return df.select(F.col(id_column).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = whole_text()
+    return df.select(F.col(id_column).cast("long").alias("id"), _node(text).alias("node"), text.alias("text"))
+
+
+def _node(text: Column) -> Column:
+    """One for equal texts; with the id it names a row, as ids may be missing or repeated."""
+    return F.unhex(F.md5(text))
 
 
 def _readings(kinds: list[int]) -> list[list[int]]:
@@ -177,7 +185,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            ids = batch["id"].to_pylist()
             tokens, at, kinds, literal, _, offsets = canonical(batch["text"].to_pylist())
             sizes = np.diff(offsets)
             for width in range(1, WINDOW + 1):
@@ -191,7 +198,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 read = np.where(shown == LITERAL, literal[starts[:, None] + np.arange(width)], _PLACEHOLDER_HASH[shown])
                 values = _hashes(_powers(read.reshape(-1)), np.arange(len(starts)) * width, width)
                 words = [[tokens[i].lower() for i in at[s : s + width]] for s in starts]
-                yield _batch(ids, sizes, offsets, starts, row, width, values, words, shown.tolist())
+                yield _batch(batch, sizes, offsets, starts, row, width, values, words, shown.tolist())
 
     return _rows(benchmark, "item_id").mapInArrow(cut, _WINDOW_TYPE)
 
@@ -206,7 +213,6 @@ def document_windows(docs: DataFrame, widths: list[int], seen) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            ids = batch["id"].to_pylist()
             tokens, at, kinds, literal, opens, offsets = canonical(batch["text"].to_pylist())
             sizes = np.diff(offsets)
             plain = np.where(kinds == NAME, LITERAL, kinds)
@@ -231,7 +237,7 @@ def document_windows(docs: DataFrame, widths: list[int], seen) -> DataFrame:
                         continue
                     words = [[tokens[j].lower() for j in at[s : s + width]] for s in starts[here]]
                     shown = [read[i][s : s + width].tolist() for s in starts[here]]
-                    yield _batch(ids, sizes, offsets, starts[here], row[here], width, values, words, shown)
+                    yield _batch(batch, sizes, offsets, starts[here], row[here], width, values, words, shown)
 
     return _rows(docs, "doc_id").mapInArrow(cut, _WINDOW_TYPE)
 
@@ -243,12 +249,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     either ``RUN`` template words in a row or a share of ``COVERAGE`` of the item's words must stand in the document.
     ``longest`` is the largest number of words on one diagonal. Null texts have no words. Items
     of fewer than ``SHORTEST`` words, and windows that are mostly placeholders, count as they stand only, but for
-    case: a one-word item is found in every document with that word. Rows that share
-    a doc_id, null included, count as one document.
+    case: a one-word item is found in every document with that word. Each text is
+    judged on its own, so rows that share a doc_id, null included, or an item_id may give a pair several times;
+    rows alike in id and text give it once.
 
     A bitmap of the benchmark's windows, of fixed size, keeps other windows of documents from being written; it
     drops none that the join would find. The join itself is left to Spark.
     """
+    return _pairs(docs, benchmark).drop("node", "item_node")
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The pairs with ``node`` and ``item_node``, which tell texts under one id apart."""
     items = item_windows(benchmark)
     spot = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
     spots = items.select("width", spot.alias("spot")).distinct().collect()
@@ -259,7 +271,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(seen) if widths else None
     if not widths:
         return items.select(
-            F.col("id").alias("doc_id"), F.col("id").alias("item_id"), "n_words",
+            F.col("id").alias("doc_id"), "node", F.col("id").alias("item_id"), F.col("node").alias("item_node"), "n_words",
             F.col("n_words").alias("longest"), F.lit(0.0).alias("coverage"),
             F.lit(False).alias("reparameterised"),
         ).limit(0)
@@ -347,30 +359,38 @@ def _judged(batches):
 
 
 def _joined(found: DataFrame, items: DataFrame) -> DataFrame:
-    d = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "width", "hash", "template", F.col("words").alias("d"))
-    b = items.select(F.col("id").alias("item_id"), "n_words", "pos", "width", "hash", "template", F.col("words").alias("b"))
+    d = found.select(F.col("id").alias("doc_id"), "node", F.col("pos").alias("doc_pos"), "width", "hash", "template", F.col("words").alias("d"))
+    b = items.select(F.col("id").alias("item_id"), F.col("node").alias("item_node"), "n_words", "pos", "width", "hash", "template", F.col("words").alias("b"))
     both = d.join(b, ["width", "hash", "template"])
     # A diagonal holds each window of an item once at most in each reading, so what is gathered is bounded by it.
-    diagonal = both.groupBy("doc_id", "item_id", "n_words", (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
+    diagonal = both.groupBy(*_PAIR, (F.col("doc_pos") - F.col("pos")).alias("shift")).agg(
         F.collect_set(F.struct("pos", "b", "d", "template")).alias("found")
     )
     judged = diagonal.drop("shift").mapInArrow(
-        _judged, "doc_id long, item_id long, n_words int, covered array<int>, changed boolean"
+        _judged, "doc_id long, node binary, item_id long, item_node binary, n_words int, covered array<int>, changed boolean"
     )
     # Copies in one document cover the same words mostly, and an item has few positions.
-    pair = judged.filter(F.size("covered") > 0).groupBy("doc_id", "item_id", "n_words").agg(
+    pair = judged.filter(F.size("covered") > 0).groupBy(*_PAIR).agg(
         F.max(F.size("covered")).alias("longest"),
         F.count_if(~F.col("changed")).alias("_same"),
         F.collect_set("covered").alias("_covered"),
     )
     coverage = F.size(F.array_distinct(F.flatten("_covered"))) / F.col("n_words")
     return pair.select(
-        "doc_id", "item_id", "n_words", "longest", coverage.alias("coverage"),
+        *_PAIR, "longest", coverage.alias("coverage"),
         (F.col("_same") == 0).alias("reparameterised"),
     ).filter((F.col("longest") >= RUN) | (F.col("coverage") >= COVERAGE))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones; all columns stay."""
-    hit = matches(docs, benchmark).select("doc_id").distinct().select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    """``docs`` without the contaminated ones; all columns stay.
+
+    Rows that share a doc_id are one document and go together. A null doc_id names none: of such rows
+    those go whose own text is contaminated.
+    """
+    found = _pairs(docs, benchmark)
+    named = F.col("doc_id").isNotNull()
+    hit = found.select(F.col("doc_id").alias("_hit"), F.when(~named, F.col("node")).alias("_node")).distinct()
+    text = F.when(F.col("doc_id").isNull(), _node(whole_text()))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")) & text.eqNullSafe(F.col("_node"))
+    return docs.join(hit, same, "left_anti")

@@ -242,6 +242,21 @@ def test_items_of_few_words_or_many_placeholders_are_found_as_they_stand(spark,
     assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 1), (7, 2)}
 
 
+def test_texts_without_an_id_or_under_one_are_judged_alone(spark, documents):
+    item, other = prose(8) + " " + prose(8), "Tom gave 4 pears to Ann on the way to town this morning"
+    tale = other.replace("Tom", "Sue")
+    benchmark = spark.createDataFrame([(1, item), (1, other)], "item_id long, text string")
+    docs = documents(
+        (None, item), (None, prose(30)), (None, None), (None, item), (None, "so " + tale),
+        *[(3, tale.replace("Ann", n).replace("4", str(len(n)))) for n in ("Bob", "Eve", "Max", "Philip")], (4, prose(20)),
+    )
+    got = decontaminate.matches(docs, benchmark).collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in got) == [(0, 13), (0, 16), (3, 13), (3, 13), (3, 13), (3, 13)]
+    kept = decontaminate.clean(docs, benchmark).select("doc_id", "text").collect()
+    texts = [r.text for r in docs.collect()]
+    assert sorted(kept, key=repr) == sorted([(None, texts[1]), (None, None), (4, texts[-1])], key=repr)
+
+
 # --- Neighbours ---------------------------------------------------------------------------
 
 
