@@ -146,6 +146,29 @@ def test_candidates_add_secrets_and_redaction_keeps_columns(documents, with_clas
     assert got[120:] == [None, "mail [EMAIL], then [EMAIL].", ""]
 
 
+def test_cued_phones_accounts_and_contacts_are_taken(documents):
+    cued = [
+        "tel. (555) 123-4567", "Phone number: 555-0199-123", "ssn 078-05-1120", "account no. 12345678",
+        "call me at 555 867 5309", "mail: jo@localhost", "fax (020) - 7946 0958",
+    ]
+    plain = ["hotel 5551234567", "in 1234567 cases", "x@y stays"]
+    docs = documents(*[f"{prose(5)} {x} {prose(5)}" for x in cued + plain])
+    want = ["(555) 123-4567", "555-0199-123", "078-05-1120", "12345678", "555 867 5309", "jo@localhost", "(020) - 7946 0958"]
+    none = pii.Trees((), (), (2.0, 2.0, 2.0))
+    for row, x in zip(pii.redact(docs, none).orderBy("doc_id").collect(), cued + plain):
+        found = [w for w in want if w in x]
+        kind = "[CONTACT]" if "@" in x else "[NUMBER]"
+        assert (x.replace(found[0], kind) if found else x) in row.text
+
+
+def test_formats_are_learned_from_cues(documents):
+    number = lambda: f"({RNG.randint(200, 999)}) {RNG.randint(200, 999)}-{RNG.randint(1000, 9999)}"
+    texts = [f"{prose(5)} tel {number()} {prose(3)} {RNG.randint(10**7, 10**8 - 1)} {prose(3)}" for _ in range(200)]
+    trees = pii.fit(documents(*texts))
+    got = pii.find(documents(f"home {number()} or 87654321 then"), trees).collect()[0]
+    assert got.spans == "number:5:19"
+
+
 # --- Licenses -----------------------------------------------------------------------------
 
 
