@@ -332,36 +332,32 @@ def link_texts(docs: DataFrame, signed: DataFrame, stage: Stage) -> DataFrame:
 
 
 def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, node`` per row, and ``node, label, class_id, n_links`` per different text."""
+    """``doc_id, node`` per row, and ``node, label, class_id`` per different text."""
     stage = Stage(docs.sparkSession, "near-duplicates")
     docs = docs.select("doc_id", "text")
     signed = stage.save(signatures(docs), "signed")
     found = stage.save(link_texts(docs, signed, stage), "all-links")
     labels = components(found, stage, "final")
-    ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     texts = signed.groupBy("node").agg(F.min("doc_id").alias("_first"))
-    grouped = texts.join(labels, "node", "left").join(degree, "node", "left")
+    grouped = texts.join(labels, "node", "left")
     grouped = stage.save(grouped.withColumn("label", F.coalesce("label", "node")), "grouped")
     classes = grouped.groupBy("label").agg(F.min("_first").alias("class_id"))
-    known = grouped.join(classes, "label").select(
-        "node", "label", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    known = grouped.join(classes, "label").select("node", "label", "class_id")
     return signed.select("doc_id", "node"), known
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links, keep`` for every row of ``docs`` (``doc_id, text``).
+    """``doc_id, class_id, keep`` for every row of ``docs`` (``doc_id, text``).
 
     ``class_id`` is the least doc_id of the documents that are connected by a similarity of at least 0.8
     in weighted five-word shingles; equal texts, empty and null ones among them, are always in one
-    class. ``n_links`` counts the links found from its text to different texts. ``keep`` marks the
-    document that stands for its class. Words are runs of letters and digits in lower case. A row with
+    class. ``keep`` marks the document that stands for its class. Links are compared only as far as classes
+    need, so how many similar texts a document has is not known and not returned. Words are runs of letters and digits in lower case. A row with
     a null doc_id gets its class and is kept only if no row of the class has a doc_id.
     """
     rows, known = _classified(docs)
     return rows.join(known, "node").select(
-        "doc_id", "class_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep")
+        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep")
     )
 
 

@@ -93,6 +93,15 @@ def test_large_mixed_buckets_are_compared_in_blocks(documents, monkeypatch):
     assert [got[d] for d, _ in rows] == classes(rows)
 
 
+def test_columns_hold_nothing_that_depends_on_the_hub(documents):
+    """Links are compared as far as classes need, so none are counted."""
+    base = prose(200)
+    docs = documents(*[edited(base, 2) for _ in range(6)])
+    got = M.near_duplicates(docs)
+    assert got.columns == ["doc_id", "class_id", "keep"]
+    assert sorted(map(tuple, got.collect())) == [(i, 0, i == 0) for i in range(6)]
+
+
 def test_sketches_agree_as_often_as_texts_are_alike():
     rng = np.random.default_rng(1)
     a = {int(x): int(rng.integers(1, 9)) for x in rng.integers(0, 2**62, 300)}
