@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagetable.llm import (
-    bpe, dart_minhash, decontaminate, hnsw, langid, licenses, pii, recompress, token_files, toxicity,
+    bpe, dart_minhash, decontaminate, exact_dedup, hnsw, langid, licenses, pii, recompress, spelling,
+    token_files, toxicity,
 )
 from pagetable.llm.common import table
 
@@ -59,6 +60,14 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_template_leaks": template_leaks,
     "op2_toxicity_grades": toxicity_grades,
@@ -70,8 +79,11 @@ QUERIES = {
     "op8_token_files": token_file_round_trip,
     "op9_near_duplicates": near_duplicates,
     "op10_language_id": language_id,
+    "op12_spelling_variants": spelling_variants,
+    "op13_exact_copies": exact_copies,
 }
 
 ORACLES: dict[str, str] = {
     "op4_license_scan": licenses.scan_sql(),
+    "op13_exact_copies": exact_dedup.SQL,
 }
