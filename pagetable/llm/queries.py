@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagetable.llm import (
-    bpe, dart_minhash, decontaminate, exact_dedup, hnsw, langid, licenses, pii, recompress, spelling,
+    bpe, collocations, dart_minhash, decontaminate, exact_dedup, hnsw, langid, licenses, pii, recompress, spelling,
     token_files, toxicity,
 )
 from pagetable.llm.common import table
@@ -60,6 +60,10 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def collocation_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -79,11 +83,13 @@ QUERIES = {
     "op8_token_files": token_file_round_trip,
     "op9_near_duplicates": near_duplicates,
     "op10_language_id": language_id,
+    "op11_collocations": collocation_ranks,
     "op12_spelling_variants": spelling_variants,
     "op13_exact_copies": exact_copies,
 }
 
 ORACLES: dict[str, str] = {
     "op4_license_scan": licenses.scan_sql(),
+    "op11_collocations": collocations.SQL,
     "op13_exact_copies": exact_dedup.SQL,
 }
