@@ -10,6 +10,7 @@ from pagetable.operators import traverse as G
 from pagetable.operators.ranking import first_per_group, ranked
 from pagetable.plans.site_graph import site_links, site_positions, site_seeds
 from pagetable.plans.site_report import site_report
+from pagetable.sources.link_graph import build_graph, is_stored, open_graph
 from pagetable.sources.tables import save_link_table
 
 HOST = "http://h/"
@@ -178,14 +179,86 @@ def test_bucketed_links_are_not_shuffled(spark):
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
-def test_new_urls_are_combined_before_the_shuffle(spark):
-    """The level step aggregates once on (seed, url) and joins nothing."""
-    _, seeds, links = frames(spark, GRAPH, "s")
-    hits = seeds.select("seed", F.col("seed").alias("url"), F.lit(1).alias("rank")).join(links, "url")
-    found = G._first_visits(hits, [hits])
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan and "LeftAnti" not in plan
-    assert sorted(r.url for r in found.collect()) == [HOST + u for u in "abc"]
+def plans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def graph_of(spark, graph, **options):
+    pages, seeds, links = frames(spark, graph, graph)
+    ids = pages.select("url", "page_id")
+    return pages, seeds, build_graph(links.join(ids, "url").select("url", "page_id", "links"), **options)
+
+
+def test_new_urls_are_combined_before_the_shuffle(spark, no_broadcast):
+    """A level moves numbers only, combined map-side, and nothing of the adjacency table."""
+    _, _, graph = graph_of(spark, GRAPH, buckets=4)
+    frontier = spark.range(3).select(F.col("id").alias("seed"), "id", F.lit(0).cast("long").alias("order"))
+    found = G._candidates(graph.links, frontier.repartition(3), 9)
+    plan = plans(found)
+    assert "partial_min" in plan and "LeftAnti" not in plan and "SortMergeJoin" in plan
+    # One exchange of the frontier to the buckets, one of the combined candidates.
+    assert plan.count("Exchange hashpartitioning") == 2 and "SelectedBucketsCount" in plan.replace(" ", "")
+    for field in found.schema.fields + frontier.schema.fields:
+        assert field.dataType.typeName() == "long"
+    source = graph.links.select("id", "links")
+    assert "Exchange" not in plans(source.join(source.withColumnRenamed("links", "more"), "id"))
+
+
+def test_ids_tell_what_is_stored(spark):
+    _, _, graph = graph_of(spark, GRAPH)
+    urls = {r.url.removeprefix(HOST): r for r in graph.urls.withColumn("stored", is_stored(F.col("id"))).collect()}
+    assert set(urls) == set("sabcdef") and not urls["b"].stored and urls["b"].page_id is None
+    assert all(urls[u].stored and urls[u].page_id is not None for u in "sacdef")
+    assert len({r.id for r in urls.values()}) == 7
+    links = {r.id: r.links for r in graph.links.collect()}
+    assert links[urls["s"].id] == [urls[v].id for v in "abc"] and urls["e"].id not in links
+
+
+def test_a_stored_graph_is_walked_again(spark, tmp_path):
+    pages, seeds, graph = graph_of(spark, GRAPH, folder=str(tmp_path / "g"), buckets=3)
+    again = open_graph(spark, graph.folder, graph.buckets, graph.most_links)
+    for links in (graph, again):
+        found = G.crawl_order(pages, seeds, 4, None, links).collect()
+        for s in GRAPH:
+            got = [r.url.removeprefix(HOST) for r in sorted(found, key=lambda r: (r.depth, r.rank)) if r.seed == HOST + s]
+            assert got == walk(GRAPH, s, 4, None, False)[1]
+    again.forget()
+
+
+def test_levels_of_a_long_chain_read_their_own_ranges_only(spark, monkeypatch):
+    """Over a chain of depth 30 a level reads what lies in its candidates' range, however much was visited before."""
+    n = 31
+    names = [f"{i:03d}" for i in range(n)]
+    graph = {u: names[i + 1 : i + 2] + (names[i - 1 : i] if i else []) for i, u in enumerate(names)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        pages, _, whole = graph_of(spark, graph)
+        read = []
+        real = G._Walk.seen
+
+        def seen(self, ranges):
+            found = real(self, ranges)
+            read.append((len(ranges), sum(map(len, self._ranges)), 0 if found is None else len(found.inputFiles())))
+            return found
+
+        monkeypatch.setattr(G._Walk, "seen", seen)
+        start = spark.createDataFrame([(HOST + names[0],)], "seed string")
+        got = G.crawl_order(pages, start, n, None, whole).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r.url.removeprefix(HOST) for r in sorted(got, key=lambda r: r.depth)] == names
+    assert len(read) >= n - 1 and max(x[0] for x in read) <= 2
+    # 31 levels were visited; a range holds about a fourth to an eighth of them.
+    assert max(x[2] for x in read) <= 20 and read[-1][1] >= 30
 
 
 def test_crawl_needs_both_list_and_page_and_takes_a_list_once(spark):
