@@ -20,12 +20,12 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from pagetable.llm.common import MEMORY_BYTES, Memory, sole
+
 # The white space of the byte-level split, and the split itself.
 SPACES = "\t\n\v\f\r \x85\xa0  -     　"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHED = 600_000  # units and pieces a worker remembers before it starts afresh
-
 _MARKS = frozenset(".,;:!?")
 _ODD = frozenset("\x1c\x1d\x1e\x1f") | {c for c in map(chr, range(0x3001)) if c.isspace()}
 _SURE_CUT = regex.compile(r"(?<=[^{0}]) (?=[^{0}])".format("".join(sorted(_ODD))))
@@ -79,11 +79,16 @@ class Vocabulary:
             next((by_bytes[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in by_bytes), -1)
             for b in self.tokens
         ]
-        self._beside: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._units: dict[str, bytes] = {}
+        self._beside = Memory()
+        self._pieces = Memory(MEMORY_BYTES // 4)
+        self._units = Memory(2 * MEMORY_BYTES)
         self._added = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
 
+    def awake(self) -> Vocabulary:
+        """To be called by a task: what other operators remembered in this worker goes."""
+        sole("encoding", self._beside, self._pieces, self._units)
+        return self
+
     def may_adjoin(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both gives exactly these two tokens.
 
@@ -109,9 +114,7 @@ class Vocabulary:
                 right = self._halves[right][0]
             else:
                 break
-        if len(self._beside) > CACHED:
-            self._beside.clear()
-        self._beside[key] = answer
+        self._beside.keep(key, answer, 0)
         return answer
 
     def encode_bytes(self, data: bytes) -> list[int]:
@@ -159,10 +162,7 @@ class Vocabulary:
         ids = known.get(piece)
         if ids is None:
             ids = self._packed(piece)
-            if len(known) > CACHED:
-                known.clear()
-            if len(piece) < 64:
-                known[piece] = ids
+            known.keep(piece, ids, 2 * len(piece) + len(ids))
         return ids
 
     def _split(self, part: str) -> bytes:
@@ -180,10 +180,7 @@ class Vocabulary:
 
     def _learn(self, unit: str) -> bytes:
         ids = self._unit(unit)
-        if len(self._units) > CACHED:
-            self._units.clear()
-        if len(unit) < 64:
-            self._units[unit] = ids
+        self._units.keep(unit, ids, 2 * len(unit) + len(ids))
         return ids
 
     def _plain(self, text: str) -> list[bytes]:
@@ -240,7 +237,7 @@ def encode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids") -
 
     @F.pandas_udf("binary")
     def encoded(texts: pd.Series) -> pd.Series:
-        known = vocabulary(path)
+        known = vocabulary(path).awake()
         return texts.map(known.encode)
 
     return docs.withColumn(ids, encoded(F.coalesce(F.col(column), F.lit(""))))
@@ -251,7 +248,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", column: str = "decoded"
 
     @F.pandas_udf("string")
     def decoded(packed: pd.Series) -> pd.Series:
-        known = vocabulary(path)
+        known = vocabulary(path).awake()
         return packed.map(lambda b: known.decode(b).decode("utf-8", "replace"))
 
     return docs.withColumn(column, decoded(F.coalesce(F.col(ids), F.lit(b""))))

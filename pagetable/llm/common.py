@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -38,6 +40,53 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), offsets
 
 
+MEMORY_BYTES = 48 << 20  # what one kind of memory of a worker may hold
+
+
+class Memory(dict):
+    """What a worker remembers from one text to the next, bounded by bytes.
+
+    Workers outlive tasks and serve one operator after another, so operators hold few of these and
+    :func:`sole` empties those of the operator before.
+    """
+
+    __hash__ = object.__hash__
+    _PER_ENTRY = 200  # of the table, the two objects' heads and what the allocator adds
+
+    def __init__(self, most: int = MEMORY_BYTES, longest: int = 64) -> None:
+        super().__init__()
+        self._most, self._longest, self._held = most, longest, 0
+
+    def keep(self, key, value, size: int) -> None:
+        """Remembers ``value``; ``size`` is about what key and value take. A large key is not worth it."""
+        if size > 8 * self._longest:
+            return
+        self._held += size + self._PER_ENTRY
+        if self._held > self._most:
+            self.clear()
+            self._held = size + self._PER_ENTRY
+        self[key] = value
+
+    def forget(self) -> None:
+        self.clear()
+        self._held = 0
+
+
+_memories: weakref.WeakSet = weakref.WeakSet()
+_owner = ""
+
+
+def sole(owner: str, *memories: Memory) -> None:
+    """To be called by a task before it uses ``memories``: those of another ``owner`` in this worker are emptied."""
+    global _owner, _memories
+    if _owner != owner:
+        for memory in list(_memories):
+            memory.forget()
+        _owner, _memories = owner, weakref.WeakSet()
+    for memory in memories:
+        _memories.add(memory)
+
+
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: splitmix64
 
 

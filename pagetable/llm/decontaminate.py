@@ -22,7 +22,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagetable.llm.common import mix, whole_text, windows
+from pagetable.llm.common import Memory, mix, sole, whole_text, windows
 
 WINDOW = 8  # words of a window; a shorter item is one window
 SHORTEST = 4  # items of fewer words are looked for as they stand only
@@ -30,7 +30,6 @@ LITERAL_SHARE = 0.5  # of a template's words must be no placeholder; others are
 RUN = 13  # words in a row that make a match
 COVERAGE = 0.6  # share of an item's words that makes a match
 FILTER_BITS = 23  # of the bitmap of benchmark windows, 1 MB whatever the benchmark's size
-CACHED = 500_000
 
 LITERAL, NUMBER, NAME, UNIT, STOP = range(5)
 PLACEHOLDER = {NUMBER: "<number>", NAME: "<name>", UNIT: "<unit>"}
@@ -65,16 +64,13 @@ def _kind(token: str) -> tuple[int, int]:
     return kind, xxhash.xxh3_64_intdigest(token.lower().encode()) >> 1
 
 
-class _Tokens(dict):
+class _Tokens(Memory):
     """Kind and hash of tokens met so far, as one number: hash * 8 + kind."""
 
     def __missing__(self, token: str) -> int:
         kind, value = _kind(token)
         code = (value >> 3 << 3) | kind
-        if len(self) > CACHED:
-            self.clear()
-        if len(token) < 64:
-            self[token] = code
+        self.keep(token, code, 2 * len(token) + 32)
         return code
 
 
@@ -96,6 +92,7 @@ def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.n
     right behind a number.
     """
     known = _tokens()
+    sole("decontamination", known)
     found, lengths = [], []
     for text in texts:
         tokens = _TOKEN.findall(text)

@@ -10,6 +10,7 @@ Beside it stands an Arrow stream with ``doc_id, start, n_tokens`` per document.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from array import array
@@ -20,12 +21,14 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pagetable.llm.common import MEMORY_BYTES, Memory, sole
 from pagetable.session import Stage
 
 SEQUENCE = 2048
 BATCH_ROWS = 256
 END_ID = 0
-CACHED = 1_000_000
+RANGE_LETTERS = 64  # of a text, by which rows of one doc_id are dealt; their order is by whole texts
+MARKS = ".,;:!?"
 INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -44,51 +47,112 @@ class _Encoder:
     """The tokenizers library with its answers for single words remembered.
 
     A byte-level split always starts a new piece at a single space between two characters that are
-    no white space, so the parts between such spaces are encoded on their own, each with its space.
+    no white space, so the parts between such spaces are encoded on their own, each with its space. A new part is
+    split further where the same holds: at single line ends, and before a mark behind letters. What is
+    new then goes to the library many in one text, where the token of its space or line end begins it.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tool = Tokenizer.from_file(path)
         self._tool.no_truncation()
         self._tool.no_padding()
-        self.dtype = np.dtype(id_type_for(self._tool.get_vocab_size()).to_pandas_dtype())
+        size = self._tool.get_vocab_size()
+        self.dtype = np.dtype(id_type_for(size).to_pandas_dtype())
         self._added = [t.content for t in self._tool.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
+        self._known = Memory(4 * MEMORY_BYTES)  # parts, without their space; words behind a line end, with it
+        self._marks = dict(zip(MARKS, self._encode(list(MARKS))))
+        self._begins = {gap: np.zeros(size, bool) for gap in " \n"}
+        for token, i in self._tool.get_vocab().items():
+            if i < size:
+                # What the vocabulary writes for a space and for a line end.
+                self._begins[" "][i] = token.startswith("\u0120")
+                self._begins["\n"][i] = token == "\u010a"
+
+    def awake(self) -> _Encoder:
+        """To be called by a task: what other operators remembered in this worker goes."""
+        sole("token files", self._known)
+        return self
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self._tool.encode_batch_fast(texts, add_special_tokens=False)
         kind = "H" if self.dtype.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in got]
 
+    def _behind(self, gap: str, words: list[str]) -> list[bytes]:
+        """Packed ids of words, each with ``gap`` before it."""
+        out, width = [], self.dtype.itemsize
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
+            (packed,) = self._encode([gap + gap.join(some)])
+            begins = np.flatnonzero(self._begins[gap][np.frombuffer(packed, self.dtype)]) * width
+            if len(begins) != len(some) or begins[0]:
+                out += self._encode([gap + w for w in some])
+                continue
+            edges = [*begins.tolist(), len(packed)]
+            out += [packed[a:b] for a, b in zip(edges, edges[1:])]
+        return out
+
+    def _learn(self, parts: dict[str, bytes | None]) -> None:
+        """Fills in the ids of new parts and remembers them."""
+        known, marks = self._known, self._marks
+        split, words = {}, {" ": {}, "\n": {}}
+        for part in parts:
+            pieces = part.split("\n") if "\n" in part else [part]
+            if len(pieces) > 1 and any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
+                pieces = [part]
+            found = []
+            for i, piece in enumerate(pieces):
+                word, mark = (piece[:-1], piece[-1]) if piece[-1] in marks and piece[:-1].isalpha() else (piece, "")
+                gap = "\n" if i else " "
+                key = "\n" + word if i else word
+                if key not in known:
+                    words[gap][word] = key
+                found.append((key, mark))
+            split[part] = found
+        new = {}
+        for gap, some in words.items():
+            if some:
+                new.update(zip(some.values(), self._behind(gap, list(some))))
+        for part, found in split.items():
+            ids = b"".join([
+                (known[key] if key in known else new[key]) + (marks[mark] if mark else b"") for key, mark in found
+            ])
+            parts[part] = ids
+        for key, ids in {**new, **parts}.items():
+            known.keep(key, ids, 2 * len(key) + len(ids))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts; words not met before are encoded in one call."""
-        if len(self._known) > CACHED:
-            self._known.clear()
-        known, plain, new = self._known, [], {}
+        """Packed ids of whole texts."""
+        get, split, new = self._known.get, [], {}
         for text in texts:
-            parts = text.split(" ")
             if any(a in text for a in self._added):
-                plain.append(None)
+                split.append(None)
                 continue
-            missing = [w for w in parts[1:] if w not in known]
+            first, *parts = text.split(" ")
+            ids = list(map(get, parts))
+            missing = [w for w, i in zip(parts, ids) if i is None] if None in ids else ()
             # White space at the edge of a part, or none between two spaces: not surely a cut.
             if any(not w or w[0].isspace() or w[-1].isspace() for w in missing) or (
-                len(parts) > 1 and (not parts[0] or parts[0][-1].isspace())
+                parts and (not first or first[-1].isspace())
             ):
-                plain.append(None)
+                split.append(None)
                 continue
-            plain.append(parts)
+            split.append((first, parts, ids))
             new.update(dict.fromkeys(missing))
-        if new:
-            known.update(zip(new, self._encode([" " + w for w in new])))
-        rest = [t if p is None else p[0] for t, p in zip(texts, plain)]
-        firsts = self._encode(rest)
-        return [
-            first if parts is None else first + b"".join(map(known.__getitem__, parts[1:]))
-            for first, parts in zip(firsts, plain)
-        ]
+        self._learn(new)
+        firsts = self._encode([t if s is None else s[0] for t, s in zip(texts, split)])
+        out = []
+        for first, s in zip(firsts, split):
+            if s is not None:
+                _, parts, ids = s
+                if None in ids:
+                    ids = [new[w] if i is None else i for w, i in zip(parts, ids)]
+                first += b"".join(ids)
+            out.append(first)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -158,14 +222,14 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, sequenc
     """Writes ``doc_id, text`` as token files and returns one row ``part, file, n_tokens, start`` per file.
 
     Documents are dealt by ranges of doc_id (a null one comes first; rows that share one are
-    ordered by text) and each task streams its range into a file of its own under ``folder``, which all executors must
+    ordered by text, and dealt by how it begins, so that they need not be one file) and each task streams its range into a file of its own under ``folder``, which all executors must
     reach. A file of a task that was repeated is left aside: the returned rows, kept in a table of
     the same folder, name the files that count. ``start`` is the number of ids in files before.
     """
     spark = docs.sparkSession
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
+        .repartitionByRange("doc_id", F.left("text", F.lit(RANGE_LETTERS)))
         .sortWithinPartitions("doc_id", "text")
         .withColumn("part", F.spark_partition_id().cast("long"))
     )
@@ -175,7 +239,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, sequenc
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = _encoder(path)
+            encoder = _encoder(path).awake()
             if writer is None:
                 writer, part = _Writer(folder, encoder.dtype, sequence), batch["part"][0].as_py()
             writer.add(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), end_id)
@@ -246,10 +310,16 @@ def read(files: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    dealt = files.repartition("file")
+    # A number of partitions that is given is kept, where one that is not would be merged to a single task.
+    dealt = files.repartition(max(1, files.count()), "file")
     return dealt.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_and_read(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every row of ``docs`` (``doc_id, text``), written and read back.
+
+    A null text has its end id only; rows of one doc_id, null included, are rows of their own in the order of their
+    texts. An empty table gives no files and no rows.
+    """
     folder = Stage(docs.sparkSession, "token-files").path("tokens")
     return read(write(docs, path, folder))

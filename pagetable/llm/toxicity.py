@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from pagetable.llm.common import Memory, sole
 from pagetable.session import Stage
 
 SAMPLE = 3000  # labelled texts of each class that the model is fitted to, at most
@@ -87,10 +88,15 @@ class _Scorer:
 
     def __init__(self, model: Model) -> None:
         self._at = {f: i for i, f in enumerate(model.features)}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words = Memory()
         self._weights = np.array(model.weights)
         self._thresholds = np.array(model.thresholds)
 
+    def awake(self) -> _Scorer:
+        """To be called by a task: what other operators remembered in this worker goes."""
+        sole("toxicity", self._words)
+        return self
+
     def values(self, text: str | None) -> tuple[dict[int, float], float]:
         words = _WORD.findall((text or "").lower())
         counts: dict[int, int] = {}
@@ -99,10 +105,7 @@ class _Scorer:
             hit = known.get(word)
             if hit is None:
                 hit = tuple(self._at[f] for f in features_of(word) if f in self._at)
-                if len(known) > 500_000:
-                    known.clear()
-                if len(word) < 64:
-                    known[word] = hit
+                known.keep(word, hit, 2 * len(word) + 8 * len(hit))
             for i in hit:
                 counts[i] = counts.get(i, 0) + 1
         return {i: np.log2(1 + n) for i, n in counts.items()}, np.log2(1 + len(words))
@@ -184,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     blank = Model(tuple(chosen), (0.0,) * (len(chosen) + 1), (0.0,))
 
     def vectors(batches):
-        scorer = _scorer(blank)
+        scorer = _scorer(blank).awake()
         for pdf in batches:
             got = [scorer.values(t) for t in pdf["text"]]
             yield pd.DataFrame({
@@ -223,7 +226,7 @@ def score(docs: DataFrame, model: Model | None, column: str = "text") -> DataFra
 
     @F.pandas_udf("severity double, grade int, p_toxic double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        scorer = _scorer(model)
+        scorer = _scorer(model).awake()
         p = np.array([scorer.chances(t) for t in texts]).reshape(len(texts), -1)
         return pd.DataFrame({
             "severity": p @ np.arange(p.shape[1]),
