@@ -1,4 +1,4 @@
-"""A small CSS selector language compiled to expressions over the node array."""
+"""A small CSS selector language, compiled to expressions over the node array or for the node job."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from pagetable.sources.matching import ATTRIBUTE, CLASS, ID, NTH, TAG, Simple, Step
+
 Test = Callable[[Column], Column]
 
 _NAME = r"(?:[A-Za-z0-9_-]|[^\x00-\x7f])+"
@@ -34,61 +36,75 @@ def _has_word(value: Column, word: str) -> Column:
     return padded.contains(f" {word} ")
 
 
-def _attribute_test(name: str, op: str | None, wanted: str | None, fold: bool) -> Test:
+def _attribute_test(simple: Simple) -> Test:
     def test(node: Column) -> Column:
-        value = node["attrs"][name.lower()]
-        if op is None:
+        value = node["attrs"][simple.name]
+        if simple.op is None:
             return value.isNotNull()
-        text = F.lower(value) if fold else value
-        want = wanted.lower() if fold else wanted
-        if op == "=":
+        text = F.lower(value) if simple.fold else value
+        want = simple.wanted
+        if simple.op == "=":
             return text == want
-        if not want or (op == "~=" and re.search(r"\s", want)):
-            return F.lit(False)
         return {
             "^=": text.startswith,
             "$=": text.endswith,
             "*=": text.contains,
             "~=": lambda w: _has_word(text, w),
-        }[op](want)
+            "": lambda w: F.lit(False),
+        }[simple.op](want)
 
     return test
 
 
-def _simple_test(m: re.Match) -> Test:
+def _simple(m: re.Match) -> Simple:
     if m["tag"] is not None:
-        name = m["tag"].lower()
-        return lambda n: n["tag"].isNotNull() if name == "*" else n["tag"] == name
+        return Simple(TAG, m["tag"].lower())
     if m["cls"] is not None:
-        return lambda n: _has_word(n["attrs"]["class"], m["cls"])
+        return Simple(CLASS, m["cls"])
     if m["id"] is not None:
-        return lambda n: n["attrs"]["id"] == m["id"]
+        return Simple(ID, m["id"])
     if m["attr"] is not None:
         wanted = next((v for v in (m["dq"], m["sq"], m["bare"]) if v is not None), None)
         # HTML compares values of ``type`` without regard to letter case.
         fold = m["fold"] is not None or m["attr"].lower() == "type"
-        return _attribute_test(m["attr"], m["op"], wanted, fold)
+        op = m["op"]
+        if op not in (None, "=") and (not wanted or (op == "~=" and re.search(r"\s", wanted))):
+            op = ""  # matches nothing
+        return Simple(ATTRIBUTE, m["attr"].lower(), op, wanted.lower() if wanted and fold else wanted, fold)
     if m["first"] is not None:
-        return lambda n: n["nth"] == 1
-    if m["nth"] in ("odd", "even"):
-        return lambda n: n["nth"] % 2 == (1 if m["nth"] == "odd" else 0)
-    return lambda n: n["nth"] == int(m["nth"])
+        return Simple(NTH, "1")
+    return Simple(NTH, m["nth"])
 
 
-def _parse_one(text: str) -> list[tuple[str, list[Test]]]:
+def _column_test(simple: Simple) -> Test:
+    name = simple.name
+    if simple.kind == TAG:
+        return lambda n: n["tag"].isNotNull() if name == "*" else n["tag"] == name
+    if simple.kind == CLASS:
+        return lambda n: _has_word(n["attrs"]["class"], name)
+    if simple.kind == ID:
+        return lambda n: n["attrs"]["id"] == name
+    if simple.kind == ATTRIBUTE:
+        return _attribute_test(simple)
+    if name in ("odd", "even"):
+        return lambda n: n["nth"] % 2 == (1 if name == "odd" else 0)
+    return lambda n: n["nth"] == int(name)
+
+
+def _parse_one(text: str) -> list[Step]:
     """``[(combinator before, tests)]``, leftmost first; the first combinator is ``''``."""
-    steps: list[tuple[str, list[Test]]] = []
+    steps: list[Step] = []
     at, combinator = 0, ""
     while True:
         tests = []
         while m := _SIMPLE.match(text, at):
             if m["tag"] is not None and tests:
                 break
-            tests.append(_simple_test(m))
+            tests.append(_simple(m))
             at = m.end()
         if not tests:
             raise SelectorError(f"unsupported selector: {text!r}")
-        steps.append((combinator, tests))
+        steps.append((combinator, tuple(tests)))
         if at == len(text):
             return steps
         gap = _COMBINATOR.match(text, at)
@@ -118,10 +134,14 @@ def _all(tests: list[Test], node: Column) -> Column:
     return out
 
 
+def steps_of(selector: str) -> list[list[Step]]:
+    """The steps of each selector of a list."""
+    return [_parse_one(part) for part in _split_list(selector)]
+
+
 def check(selector: str) -> None:
     """Raise :class:`SelectorError` unless the selector is supported."""
-    for part in _split_list(selector):
-        _parse_one(part)
+    steps_of(selector)
 
 
 def select(nodes: Column, selector: str) -> Column:
@@ -130,17 +150,17 @@ def select(nodes: Column, selector: str) -> Column:
     Each step filters the node array by its own cheap tests first and only then looks for a
     matching parent or ancestor among the (few) matches of the step before.
     """
-    found = [_select_steps(nodes, _parse_one(part)) for part in _split_list(selector)]
+    found = [_select_steps(nodes, steps) for steps in steps_of(selector)]
     if len(found) == 1:
         return found[0]
     ids = F.array_distinct(F.concat(*[F.transform(f, lambda n: n["id"]) for f in found]))
     return F.transform(F.sort_array(ids), lambda i: F.element_at(nodes, i))
 
 
-def _select_steps(nodes: Column, steps: list[tuple[str, list[Test]]]) -> Column:
+def _select_steps(nodes: Column, steps: list[Step]) -> Column:
     matched = None
     for combinator, tests in steps:
-        matched = _next_matches(nodes, matched, combinator, tests)
+        matched = _next_matches(nodes, matched, combinator, [_column_test(t) for t in tests])
     return matched
 
 

@@ -36,7 +36,9 @@ from pagetable.functions.markup import (
     ZONE_BODY,
     ZONE_BOILER,
     ZONE_HIDDEN,
+    ZONE_RAW,
 )
+from pagetable.sources.matching import Matcher, Step
 
 # The job travels to the workers with its code, so they need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,6 +53,12 @@ _ARROW_NODE = pa.struct([
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
 ])
 
+# What a schema of selectors needs of a page: matching elements, and the trimmed texts inside those of the first.
+FOUND_TYPE = "array<struct<id:int,raw:boolean,last:int,hits:array<int>,text:string>>"
+_ARROW_FOUND = pa.struct([
+    ("id", pa.int32()), ("raw", pa.bool_()), ("last", pa.int32()), ("hits", pa.list_(pa.int32())), ("text", pa.string()),
+])
+
 _NODES_PER_CHUNK = 50_000
 _LAST = _ARROW_NODE.get_field_index("last")
 
@@ -129,10 +137,11 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 class _Nodes:
-    """The nodes of one Arrow batch, as rows in the field order of ``_ARROW_NODE``."""
+    """The nodes of one Arrow batch, as rows in the field order of ``_ARROW_NODE``, or of ``_ARROW_FOUND``."""
 
-    def __init__(self, want_elements: bool, want_spaces: bool) -> None:
-        self.want_elements, self.want_spaces = want_elements, want_spaces
+    def __init__(self, want_elements: bool, want_spaces: bool, matcher: Matcher | None = None) -> None:
+        self.want_elements, self.want_spaces, self.matcher = want_elements, want_spaces, matcher
+        self.type = _ARROW_FOUND if matcher else _ARROW_NODE
         self.rows: list[list] = []
         self.offsets, self.nulls = [0], []
 
@@ -143,11 +152,12 @@ class _Nodes:
         self.nulls.append(html is None)
 
     def _parse(self, html: str) -> None:
-        # Open elements, innermost last: [id, tag, zone, element children, emitted row].
+        # Open elements, innermost last: [id, tag, zone, element children, emitted row, match state].
         stack: list[list] = []
         # Tag -> depths at which it is open; spares walks up the stack, however deep it is.
         opened: dict[str, list[int]] = {}
         rows, want_elements, unwanted = self.rows, self.want_elements, [0] * len(_ARROW_NODE)
+        matcher = self.matcher
         pending: list[str] = []
         last_id = 0
 
@@ -172,6 +182,11 @@ class _Nodes:
                 return
             last_id += 1
             parent = stack[-1]
+            if matcher:
+                text = text.strip()
+                if text and matcher.inside(parent[5][1]):
+                    rows.append([last_id, parent[2] & ZONE_RAW != 0, last_id, None, text])
+                return
             rows.append(
                 [last_id, parent[0], last_id, len(stack), None, parent[2], None, None, text]
             )
@@ -181,7 +196,7 @@ class _Nodes:
             if pending:
                 flush()
             last_id += 1
-            parent = stack[-1] if stack else [0, "", 0, 0, None]
+            parent = stack[-1] if stack else [0, "", 0, 0, None, (0, 0)]
             parent[3] += 1
             zone = parent[2] | _TAG_ZONE.get(tag, 0)
             if "hidden" in attrs:
@@ -189,13 +204,18 @@ class _Nodes:
             if "class" in attrs and parent[2] & ZONE_BODY:
                 if not BOILER_CLASSES.isdisjoint(attrs["class"].split()):
                     zone |= ZONE_BOILER
-            row = unwanted
-            if want_elements:
+            row, state = unwanted, None
+            if matcher:
+                state = matcher.step(tag, attrs, parent[3], parent[5])
+                if hits := matcher.hits(state[0]):
+                    row = [last_id, _TAG_ZONE.get(tag, 0) & ZONE_RAW != 0, last_id, hits, None]
+                    rows.append(row)
+            elif want_elements:
                 row = [last_id, parent[0], last_id, len(stack), parent[3], zone, tag,
                        list(attrs.items()), None]
                 rows.append(row)
             opened.setdefault(tag, []).append(len(stack))
-            stack.append([last_id, tag, zone, 0, row])
+            stack.append([last_id, tag, zone, 0, row, state])
 
         def start_body() -> None:
             held, pending[:] = pending[:], []
@@ -288,20 +308,21 @@ class _Nodes:
         pop_to(0)
 
     def to_arrow(self) -> pa.Array:
-        columns = list(zip(*self.rows)) or [()] * len(_ARROW_NODE)
+        columns = list(zip(*self.rows)) or [()] * len(self.type)
         values = pa.StructArray.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, _ARROW_NODE)], fields=list(_ARROW_NODE)
+            [pa.array(c, f.type) for c, f in zip(columns, self.type)], fields=list(self.type)
         )
         nulls = pa.array(self.nulls, pa.bool_())
         return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), values, mask=nulls)
 
 
-def _node_udf(want_elements: bool, want_spaces: bool):
-    @F.arrow_udf(NODE_TYPE)
+def _node_udf(want_elements: bool, want_spaces: bool, selectors: list[list[list[Step]]] | None = None):
+    @F.arrow_udf(FOUND_TYPE if selectors else NODE_TYPE)
     def dom_nodes(pages: pa.Array) -> pa.Array:
         # Python objects are turned into Arrow every so many nodes, so a batch of large pages
         # never holds more than that many of them.
-        done, nodes = [], _Nodes(want_elements, want_spaces)
+        matcher = Matcher(selectors) if selectors else None
+        done, nodes = [], _Nodes(want_elements, want_spaces, matcher)
         # The many small lists of a chunk live until its end, so looking for garbage is in vain.
         gc.disable()
         try:
@@ -309,7 +330,7 @@ def _node_udf(want_elements: bool, want_spaces: bool):
                 nodes.add_page(html.as_py())
                 if len(nodes.rows) > _NODES_PER_CHUNK:
                     done.append(nodes.to_arrow())
-                    nodes = _Nodes(want_elements, want_spaces)
+                    nodes = _Nodes(want_elements, want_spaces, matcher)
             done.append(nodes.to_arrow())
         finally:
             gc.enable()
@@ -327,6 +348,16 @@ def dom_nodes(html: Column, elements: bool = True, spaces: bool = False) -> Colu
     return _node_udf(elements, spaces)(html)
 
 
+def found_nodes(html: Column, selectors: list[list[list[Step]]]) -> Column:
+    """``array<struct<id, raw, last, hits, text>>``: what the selectors match, and texts inside what the first matches.
+
+    ``hits`` are the numbers of the selectors that an element matches; texts have none, are trimmed and not
+    empty. ``raw`` is set for scripts and the like and for texts in them. All selectors are matched in the one walk
+    that parses the page, and no other node leaves it. Null for null HTML.
+    """
+    return _node_udf(False, False, selectors)(html)
+
+
 def with_nodes(pages: DataFrame, elements: bool = True, spaces: bool = False) -> DataFrame:
     return pages.withColumn("nodes", dom_nodes(F.col("html"), elements, spaces))
 

@@ -1,13 +1,16 @@
 """Schema grammar, selectors and extraction."""
 
+import random
+import time
 import warnings
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagetable.operators import extract as X
-from pagetable.operators.selectors import SelectorError, check, select
-from pagetable.sources.nodes import dom_nodes, with_nodes
+from pagetable.operators.selectors import SelectorError, check, select, steps_of
+from pagetable.sources.matching import Matcher
+from pagetable.sources.nodes import dom_nodes, found_nodes, with_nodes
 
 
 @pytest.mark.parametrize(
@@ -78,6 +81,73 @@ def test_selectors(spark, page_frame):
     assert got == SELECTED
 
 
+def test_selectors_in_one_walk(spark, page_frame):
+    """All selectors matched while parsing give what each gives over the node array."""
+    rng = random.Random(6)
+    tags = ["div", "p", "a", "ul", "li", "h3", "b", "span", "script"]
+    pages = [DOC]
+    for _ in range(40):
+        html = ""
+        for _ in range(rng.randint(0, 60)):
+            tag = rng.choice(tags)
+            attr = rng.choice(["", " class='a b'", " class=B", " href=/1", " title='x y'", " id=top", " lang=EN", " href=x.pdf"])
+            html += rng.choice([f"<{tag}{attr}>", f"</{tag}>", f"<{tag}{attr}>t</{tag}>", "text"])
+        pages.append(html)
+    frame = page_frame(*pages).repartition(2)
+    selectors = list(SELECTED)
+    n = F.col("n")
+    rows = frame.select(
+        dom_nodes(F.col("html")).alias("n"), found_nodes(F.col("html"), [steps_of("html"), *map(steps_of, selectors)]).alias("f")
+    ).select("f", *[F.transform(select(n, s), lambda e: e["id"]).alias(f"c{i}") for i, s in enumerate(selectors)]).collect()
+    for row in rows:
+        for i, s in enumerate(selectors):
+            assert [f.id for f in row.f or () if i + 1 in (f.hits or ())] == (row[f"c{i}"] or []), s
+
+
+def test_a_page_of_very_many_matches(spark, page_frame):
+    """20,000 bases with as many matches, in time that grows with the page."""
+    item = "<li><b>{}</b><i>y</i></li>"
+    took = []
+    for n in (2000, 20000):
+        pages = page_frame("<ul>" + "".join(item.format(i) for i in range(n)) + "</ul>" + "<b></b>" * n)
+        X.extract_rows(pages, "li: t=b, u=i, v=em").count()
+        start = time.time()
+        rows = X.extract_rows(pages, "li: t=b, u=i, v=em").agg(
+            F.count("*"), F.sum("t"), F.count_if(F.col("u") == "y"), F.count_if(F.col("v") == "")
+        ).first()
+        took.append(time.time() - start)
+        assert tuple(rows) == (n, n * (n - 1) / 2, n, n)
+    assert took[1] < 25 * took[0] + 1
+
+
+def test_many_fields_cost_one_walk():
+    """Ten selectors take less than twice the steps of one: an element's tag settles which are tried."""
+
+    def cost(fields):
+        matcher = Matcher([steps_of(s) for s in ("li", *fields)])
+        entries = sum(len(v) for v in matcher._by_tag.values()) + len(matcher._any)
+        state = (0, 0)
+        start = time.perf_counter()
+        for i in range(40000):
+            matcher.step(("li", "b", "i", "p", "td", "div")[i % 6], {}, 1, state)
+        return entries, time.perf_counter() - start
+
+    one, ten = cost(["b"]), cost(["b", "i", "em", "u", "s", "q", "h1", "h2", "h3", "h4"])
+    assert ten[0] == one[0] + 9 and ten[1] < 2 * one[1] + 0.1
+
+
+def test_found_over_nodes_equals_found_while_parsing(spark, page_frame):
+    pages = page_frame("<div>a<script>s</script><ul><li>1<b>2</b></li><li><ul><li>3</li></ul></li></ul></div>", "", None)
+    schema = X.parse_schema("li: t=b, d=div li, s=script")
+    body = X.parse_schema("body: d=div, s=script, l=ul > li")
+    for s in (schema, body):
+        parsed = pages.select(X.found_by(F.col("html"), s).alias("f"), dom_nodes(F.col("html")).alias("n"))
+        both = parsed.select(
+            X.extract_items(F.col("f"), s).alias("a"), X.extract_items(X.found_in(F.col("n"), s), s).alias("b")
+        ).collect()
+        assert all(r.a == r.b for r in both) and both[0].a
+
+
 def test_extract(spark, page_frame):
     item = "<li><b> {} <i>x</i></b><b>second</b></li>"
     pages = page_frame(
