@@ -26,6 +26,28 @@ def runs_of(text: Column, gap: str) -> Column:
     return F.filter(F.split(text, gap), lambda w: w != "")
 
 
+SPOT_WORDS = 1 << 18  # 64-bit words of a map of marks: 2 MB, whatever the number of marks
+
+
+def spot(mark: Column) -> Column:
+    return F.pmod(F.xxhash64(mark), F.lit(SPOT_WORDS * 64))
+
+
+def spot_map(marks: DataFrame) -> DataFrame:
+    """``_word, _bits`` of the spots of ``mark``: a table of bounded size that may be broadcast."""
+    spots = marks.select(spot(F.col("mark")).alias("spot"))
+    bit = F.expr("shiftleft(1L, cast(spot % 64 as int))")
+    return spots.groupBy(F.expr("spot div 64").alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def with_spotted(rows: DataFrame, mark: Column, spots: DataFrame) -> DataFrame:
+    """Adds ``_spotted``: whether the mark is in the map. True for all marks of the map and few others."""
+    found = rows.withColumn("_spot", spot(mark)).withColumn("_word", F.expr("_spot div 64"))
+    found = found.join(F.broadcast(spots), "_word", "left")
+    hit = F.expr("shiftright(_bits, cast(_spot % 64 as int)) & 1") == 1
+    return found.withColumn("_spotted", F.coalesce(hit, F.lit(False))).drop("_spot", "_word", "_bits")
+
+
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 

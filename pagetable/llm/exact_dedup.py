@@ -15,11 +15,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagetable.llm.common import whole_text
+from pagetable.llm.common import spot_map, whole_text, with_spotted
 from pagetable.session import Stage
 
 HOT = 1000
-_WORDS = 1 << 18  # 64-bit words of the map of repeated hashes: 2 MB, whatever the table's size
 GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -33,25 +32,14 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _spot(mark: Column) -> Column:
-    return F.pmod(F.xxhash64(mark), F.lit(_WORDS * 64))
-
-
 def _repeated_only(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """Texts whose hash is marked in a bit map of the repeated ones: all of those, and few others.
 
     The map has a fixed size, so it is broadcast. Over very many groups more texts pass; they only
     take part in a comparison that they do not need.
     """
-    spots = groups.filter("n > 1").select(_spot(F.col("mark")).alias("spot"))
-    bit = F.expr("shiftleft(1L, cast(spot % 64 as int))")
-    words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    spotted = texts.withColumn("spot", _spot(F.col("mark"))).withColumn("word", F.expr("spot div 64"))
-    return (
-        spotted.join(F.broadcast(words), "word")
-        .filter(F.expr("shiftright(bits, cast(spot % 64 as int)) & 1") == 1)
-        .select("mark", "norm")
-    )
+    spots = spot_map(groups.filter("n > 1").select("mark"))
+    return with_spotted(texts, F.col("mark"), spots).filter("_spotted").select("mark", "norm")
 
 
 def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:

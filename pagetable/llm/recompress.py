@@ -21,7 +21,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagetable.llm.common import flat_lists, mix, runs_of, whole_text, window_hashes, windows, word_hashes
+from pagetable.llm.common import (
+    flat_lists, mix, runs_of, spot_map, whole_text, window_hashes, windows, with_spotted, word_hashes,
+)
 from pagetable.session import Stage
 
 WIDTH = 20
@@ -133,13 +135,28 @@ def groups(words: np.ndarray, offsets: np.ndarray, width: int = WIDTH, rounds: i
     return anchor.view(np.int64), content.view(np.int64), text, begin - offsets[text], last - first + 1
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``id, part, text``: a row's place in the order, and a hash that tells rows of one doc_id apart."""
-    text = whole_text()
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.hash(text).alias("part"), text.alias("text"),
-    )
+def _keyed(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """``id, p1, p2, text``: a row's place in the order, and what tells rows of one doc_id apart.
+
+    That is 128 bits of the text's hash where the id is in ``shared``, the map of repeated ids, else zero, which costs
+    nothing to move. Rows of one id and one text are the same in every way and need not be told apart.
+    """
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), whole_text().alias("text")
+    )
+    rows = with_spotted(rows, F.col("id"), shared)
+    digest = F.when(F.col("_spotted"), F.md5("text"))
+    half = lambda at: F.coalesce(F.conv(F.substring(digest, at, 16), 16, -10).cast("long"), F.lit(0).cast("long"))
+    return rows.select("id", half(1).alias("p1"), half(17).alias("p2"), "text")
+
+
+def _shared_ids(docs: DataFrame, stage: Stage) -> DataFrame:
+    """The map of doc_ids that several rows have."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("mark"))
+    return stage.save(spot_map(ids.groupBy("mark").count().filter("count > 1").select("mark")), "shared")
+
+
+_ROW = ["id", "p1", "p2"]
 
 
 def _words(text: Column) -> Column:
@@ -158,7 +175,7 @@ def group_rows(keyed: DataFrame) -> DataFrame:
             words, offsets = flat_lists(batch["words"])
             anchor, content, row, start, count = groups(words, offsets)
             ids = batch["id"].to_numpy(zero_copy_only=False)
-            parts = batch["part"].to_numpy(zero_copy_only=False)
+            tells = [batch[c].to_numpy(zero_copy_only=False) for c in ("p1", "p2")]
             order = np.lexsort((start, ids[row], content, anchor))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(content[order]) != 0)
@@ -169,13 +186,14 @@ def group_rows(keyed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchor, mask=later), pa.array(content, mask=later), pa.array(ids[row]),
-                    pa.array(parts[row]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)),
+                    *[pa.array(t[row]) for t in tells], pa.array(start.astype(np.int32)),
+                    pa.array(count.astype(np.int32)),
                 ],
-                ["anchor", "content", "id", "part", "start", "count"],
+                ["anchor", "content", *_ROW, "start", "count"],
             )
 
-    rows = keyed.select("id", "part", _words(F.col("text")).alias("words"))
-    return rows.mapInArrow(cut, "anchor long, content long, id long, part int, start int, count int")
+    rows = keyed.select(*_ROW, _words(F.col("text")).alias("words"))
+    return rows.mapInArrow(cut, "anchor long, content long, id long, p1 long, p2 long, start int, count int")
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -192,7 +210,7 @@ def _met(rows: DataFrame) -> DataFrame:
     first = both.groupBy("anchor", "content").agg(F.min(place).alias("_first"))
     told = both.join(first, ["anchor", "content"])
     return told.select(
-        "id", "part", "start", "count",
+        *_ROW, "start", "count",
         (place > F.col("_first")).alias("repeated"),
         (F.col("_several") & (place <= F.col("_first"))).alias("compare"),
     ).filter("repeated OR compare")
@@ -200,9 +218,9 @@ def _met(rows: DataFrame) -> DataFrame:
 
 def _repeated_windows(keyed: DataFrame, compare: DataFrame) -> DataFrame:
     """Single windows of the groups to compare that also start earlier."""
-    asked = compare.groupBy("id", "part").agg(F.collect_list(F.struct("start", "count")).alias("_ranges"))
-    rows = keyed.join(asked, ["id", "part"]).select(
-        "id", "part", _words(F.col("text")).alias("words"),
+    asked = compare.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "count")).alias("_ranges"))
+    rows = keyed.join(asked, _ROW).select(
+        *_ROW, _words(F.col("text")).alias("words"),
         F.col("_ranges.start").alias("starts"), F.col("_ranges.count").alias("counts"),
     )
 
@@ -216,31 +234,30 @@ def _repeated_windows(keyed: DataFrame, compare: DataFrame) -> DataFrame:
             start = np.repeat(starts, counts) + np.arange(len(row)) - begun
             at = start + offsets[row]
             ids = batch["id"].to_numpy(zero_copy_only=False)
-            parts = batch["part"].to_numpy(zero_copy_only=False)
+            tells = [batch[c].to_numpy(zero_copy_only=False)[row] for c in ("p1", "p2")]
             hashes = [window_hashes(words.view(np.uint64), at, WIDTH, seed).view(np.int64) for seed in (3, 4)]
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, hashes), pa.array(ids[row]), pa.array(parts[row]), pa.array(start.astype(np.int32))],
-                ["h1", "h2", "id", "part", "start"],
+                [*map(pa.array, hashes), pa.array(ids[row]), *map(pa.array, tells), pa.array(start.astype(np.int32))],
+                ["h1", "h2", *_ROW, "start"],
             )
 
-    cuts = rows.mapInArrow(cut, "h1 long, h2 long, id long, part int, start int").repartition("h1")
+    cuts = rows.mapInArrow(cut, "h1 long, h2 long, id long, p1 long, p2 long, start int").repartition("h1")
     place = F.struct("id", "start")
     first = cuts.groupBy("h1", "h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     several = first.filter("_first != _last").drop("_last")
     met = cuts.join(several, ["h1", "h2"]).filter(place > F.col("_first"))
-    return met.select("id", "part", "start", F.lit(1).alias("count"))
+    return met.select(*_ROW, "start", F.lit(1).alias("count"))
 
 
-def repeats(docs: DataFrame, stage: Stage) -> DataFrame:
-    """``id, part, marks``: starts and counts of the repeated windows of each document that has any."""
-    keyed = _keyed(docs)
+def repeats(keyed: DataFrame, stage: Stage) -> DataFrame:
+    """``id, p1, p2, marks``: starts and counts of the repeated windows of each document that has any."""
     rows = stage.save(group_rows(keyed), "groups")
     met = stage.save(_met(rows), "met")
     single = _repeated_windows(keyed, met.filter("compare"))
-    place = ["id", "part", "start", "count"]
+    place = [*_ROW, "start", "count"]
     marks = rows.filter(F.col("anchor").isNull()).select(*place)
     marks = marks.union(met.filter("repeated").select(*place)).union(single.select(*place))
-    return marks.groupBy("id", "part").agg(F.collect_list(F.struct("start", "count")).alias("marks"))
+    return marks.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "count")).alias("marks"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -253,9 +270,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     stage = Stage(docs.sparkSession, "recompression")
     docs = docs.select("doc_id", "text")
-    marks = repeats(docs, stage)
+    keyed = _keyed(docs, _shared_ids(docs, stage))
+    marks = repeats(keyed, stage)
     # The same columns as where windows are compared, so that one exchange of texts serves both.
-    rows = _keyed(docs).join(marks, ["id", "part"], "left")
+    rows = keyed.join(marks, _ROW, "left")
     rows = rows.withColumn("doc_id", F.nullif("id", F.lit(_NO_ID)))
 
     @F.pandas_udf("string")

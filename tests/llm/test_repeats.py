@@ -166,3 +166,18 @@ def test_equal_windows_have_equal_anchors():
             window = tuple(texts[r][i : i + 20])
             assert found.setdefault(window, a) == a
     assert len(found) <= sum(len(t) - 19 for t in texts) - 2 * 41  # the passage's windows, once each
+
+
+def test_rows_of_one_id_whose_short_hashes_are_equal(spark, documents):
+    """Texts that any 32-bit hash takes for one another are still told apart: the counts of both are their own."""
+    passage = prose(30)
+    lines = [f"{passage} {prose(31)} x{i}" if i % 2 else f"{prose(61)} y{i}" for i in range(60000)]
+    lines += [f"short z{i}" for i in range(60000)]
+    table = spark.createDataFrame(list(enumerate(lines)), "i int, text string")
+    clashing = table.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").collect()
+    pairs = [t for r in clashing for t in r.t]
+    assert pairs
+    for owner in (None, 5):
+        rows = [(owner, t) for t in pairs] + [(None if owner is None else 1, passage + " and more")] * 2
+        got = sorted(map(tuple, R.digests(documents(*rows)).collect()), key=repr)
+        assert got == without_repeats(rows)
