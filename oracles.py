@@ -53,6 +53,7 @@ def lines(html: str) -> str:
     return f"array_to_string({texts(html)}, chr(10))"
 
 
+# Elements that are furniture.
 FURNITURE = ("script", "style", "nav", "footer", "header", "aside", "noscript")
 BODY = "regexp_extract(html, '(?s)<body[^>]*>(.*)$', 1)"
 CLEAN = lines(without("html", *FURNITURE))
@@ -396,4 +397,26 @@ SELECT CASE WHEN {STATUS} < 400 THEN {ITEM_JSON} ELSE {CONTENT} END AS value FRO
     "stream_titles": f"""
 SELECT page_id, {title('html')} AS title, CAST(len({LINKS}) AS INTEGER) AS n_links FROM pages""",
 }
+ORACLES["page_store_lookup"] = ORACLES["page_lookup"]
+ORACLES["json_array_pretty"] = f"""
+SELECT '[' || chr(10) || string_agg(
+    '  {{' || chr(10) || '    "score": ' || score || ',' || chr(10) || '    "id": ' || id || ',' || chr(10)
+    || '    "title": ' || CAST(to_json(title) AS VARCHAR) || ',' || chr(10)
+    || '    "url": ' || CAST(to_json(url) AS VARCHAR) || chr(10) || '  }}',
+    ',' || chr(10) ORDER BY id) || chr(10) || ']' AS value
+FROM ({hits(DOCUMENTS, DOC_TERMS, 20)})"""
+ORACLES["json_arrays"] = f"""
+SELECT host, '[' || chr(10) || string_agg(
+    '  {{' || chr(10) || '    "page_id": ' || page_id || ',' || chr(10)
+    || '    "url": ' || CAST(to_json(url) AS VARCHAR) || ',' || chr(10)
+    || '    "n_chars": ' || n_chars || chr(10) || '  }}',
+    ',' || chr(10) ORDER BY n_chars DESC, page_id) || chr(10) || ']' AS value
+FROM (SELECT {host('url')} AS host, page_id, url, length(html) AS n_chars FROM pages
+  QUALIFY row_number() OVER (PARTITION BY host ORDER BY n_chars DESC, page_id) <= 3)
+GROUP BY host"""
 ORACLES["internal_links_from_nodes"] = ORACLES["internal_links"]
+ORACLES["search_bm25_indexed"] = ORACLES["search_bm25"]
+ORACLES["post_search_indexed"] = ORACLES["post_search"]
+ORACLES["stream_crawl"] = ORACLES["crawl_limited"]
+ORACLES["stream_new_urls"] = f"""
+SELECT DISTINCT unnest({LINKS}) AS url FROM pages"""

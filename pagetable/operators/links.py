@@ -55,8 +55,10 @@ def link_sets(pages: DataFrame) -> DataFrame:
 
     Of several copies of a page the one of least ``page_id`` counts.
     """
-    first = F.min_by(F.struct("page_id", "links"), "page_id").alias("_first")
-    return internal_links(pages).groupBy("url").agg(first).select("url", "_first.*")
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id")).filter(F.col("page_id").isNotNull())
+    found = internal_links(pages).filter(F.col("page_id").isNotNull())
+    # Rows of one URL and one page_id too are copies: any of them will do, and mostly there is none.
+    return found.join(first, ["url", "page_id"]).groupBy("url", "page_id").agg(F.any_value("links").alias("links"))
 
 
 def link_edges(links: DataFrame) -> DataFrame:

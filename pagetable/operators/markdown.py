@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pagetable.functions import markup as M
-from pagetable.functions.strings import strip
-from pagetable.sources.nodes import is_text, subtree
+from pagetable.functions.strings import let, strip
+from pagetable.sources.nodes import is_text
 
 # Control characters standing for layout until the last step.
 _PARAGRAPH, _LINE, _ITEM, _BLANK, _QUOTE, _BULLET = "\x01", "\x02", "\x03", "\x04", "\x05", "\x06"
@@ -31,11 +31,6 @@ _CELLS = ("td", "th")
 _KEPT = M.ZONE_DROP | M.ZONE_RAW | M.ZONE_BOILER | M.ZONE_BODY
 
 
-def _covering(items: Column, node: Column) -> Column:
-    """How many of ``items`` are ancestors of ``node``."""
-    return F.size(F.filter(items, lambda i: (i["id"] < node["id"]) & (node["id"] <= i["last"])))
-
-
 def _mark(tag: Column) -> Column:
     out = None
     for name, mark in _MARKS.items():
@@ -74,9 +69,9 @@ def _text(node: Column, nodes: Column) -> Column:
     return F.when(in_pre, kept).otherwise(F.regexp_replace(shown, r"[ \t\n\x0B\f\r]+", " "))
 
 
-def _open(node: Column, nodes: Column, lists: Column, quotes: Column) -> Column:
+def _open(node: Column, nodes: Column) -> Column:
     tag = node["tag"]
-    block = F.concat(F.lit(_PARAGRAPH), F.repeat(F.lit(_QUOTE), _covering(quotes, node)))
+    block = F.concat(F.lit(_PARAGRAPH), F.repeat(F.lit(_QUOTE), node["quotes"]))
     parent = F.element_at(nodes, node["parent"])
     number = F.coalesce(
         F.regexp_extract(parent["attrs"]["start"], r"^\d{1,9}$", 0).try_cast("int"), F.lit(1)
@@ -97,12 +92,12 @@ def _open(node: Column, nodes: Column, lists: Column, quotes: Column) -> Column:
         .when(tag == "hr", F.concat(block, F.lit("* * *"), F.lit(_PARAGRAPH)))
         .when(tag == "blockquote", F.concat(block, F.lit(_QUOTE)))
         .when(tag == "pre", F.concat(block, F.lit(_BLANK * 4)))
-        .when(tag.isin(*_LISTS), F.when(_covering(lists, node) == 0, _PARAGRAPH))
+        .when(tag.isin(*_LISTS), F.when(node["lists"] == 0, _PARAGRAPH))
         .when(
             tag == "li",
             F.concat(
                 F.lit(_ITEM),
-                F.repeat(F.lit(_BLANK * 2), _covering(lists, node)),
+                F.repeat(F.lit(_BLANK * 2), node["lists"]),
                 bullet,
                 F.lit(_BULLET),
             ),
@@ -111,20 +106,14 @@ def _open(node: Column, nodes: Column, lists: Column, quotes: Column) -> Column:
     )
 
 
-def _close(node: Column, nodes: Column, lists: Column) -> Column:
+def _close(node: Column, nodes: Column) -> Column:
     tag = node["tag"]
     attrs = node["attrs"]
     name = F.when(attrs["title"] != "", F.concat(F.lit(' "'), attrs["title"], F.lit('"')))
     parent = F.element_at(nodes, node["parent"])
     first_row = (node["nth"] == 1) & ((parent["tag"] == "table") | (parent["nth"] == 1))
-    cells = F.size(
-        F.filter(
-            subtree(nodes, node),
-            lambda c: (c["parent"] == node["id"]) & c["tag"].isin(*_CELLS),
-        )
-    )
     end_row = F.lit(_BLANK * 2 + _LINE)
-    rule = F.concat(F.repeat(F.lit("---|"), cells - 1), F.lit("---"), end_row)
+    rule = F.concat(F.repeat(F.lit("---|"), node["cells"] - 1), F.lit("---"), end_row)
     return (
         F.when(tag.isin(*_BLOCKS, *_HEADINGS, "blockquote", "pre"), _PARAGRAPH)
         .when(_mark(tag).isNotNull() & (node["zone"].bitwiseAND(M.ZONE_PRE) == 0), _mark(tag))
@@ -132,7 +121,7 @@ def _close(node: Column, nodes: Column, lists: Column) -> Column:
             _is_link(node),
             F.concat(F.lit("]("), attrs["href"], F.coalesce(name, F.lit("")), F.lit(")")),
         )
-        .when(tag.isin(*_LISTS), F.when(_covering(lists, node) == 0, _PARAGRAPH))
+        .when(tag.isin(*_LISTS), F.when(node["lists"] == 0, _PARAGRAPH))
         .when(tag == "tr", F.when(first_row, F.concat(end_row, rule)).otherwise(end_row))
     )
 
@@ -161,9 +150,6 @@ def _tidy(joined: Column) -> Column:
 def to_markdown(nodes: Column) -> Column:
     """Markdown of the body without furniture; ``nodes`` must hold elements and blank texts."""
     kept = F.filter(nodes, lambda n: n["zone"].bitwiseAND(_KEPT) == M.ZONE_BODY)
-    lists = F.filter(nodes, lambda n: n["tag"].isin(*_LISTS))
-    quotes = F.filter(nodes, lambda n: n["tag"] == "blockquote")
-    inputs = F.struct(kept.alias("kept"), lists.alias("lists"), quotes.alias("quotes"))
 
     def piece(position: Column, phase: int, depth: Column, text: Column) -> Column:
         return F.struct(
@@ -171,18 +157,12 @@ def to_markdown(nodes: Column) -> Column:
             F.coalesce(text, F.lit("")).alias("text"),
         )
 
-    def render(x: Column) -> Column:
-        opening = F.transform(
-            x["kept"],
-            lambda n: piece(n["id"], 0, n["depth"], _open(n, nodes, x["lists"], x["quotes"])),
-        )
+    def render(kept: Column) -> Column:
+        opening = F.transform(kept, lambda n: piece(n["id"], 0, n["depth"], _open(n, nodes)))
         closing = F.transform(
-            F.filter(x["kept"], lambda n: ~is_text(n)),
-            lambda n: piece(n["last"], 1, n["depth"], _close(n, nodes, x["lists"])),
+            F.filter(kept, lambda n: ~is_text(n)), lambda n: piece(n["last"], 1, n["depth"], _close(n, nodes))
         )
         pieces = F.sort_array(F.concat(opening, closing))
         return F.array_join(F.transform(pieces, lambda p: p["text"]), "")
 
-    # Bound once: each of the three arrays is used for many nodes.
-    joined = F.element_at(F.transform(F.array(inputs), render), 1)
-    return strip(_tidy(joined))
+    return strip(_tidy(let(kept, render)))

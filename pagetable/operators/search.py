@@ -34,7 +34,7 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def _hit(docs: DataFrame, score_column: str, description: int | None) -> DataFrame:
+def hit_columns(docs: DataFrame, score_column: str, description: int | None) -> DataFrame:
     """Search-hit columns; missing values become ``''``. The description is the text, or so many
     characters of it."""
     text = F.col("text") if description is None else F.substring("text", 1, description)
@@ -56,7 +56,7 @@ def search(
     score = count_terms(F.col("text"), query_terms(query))
     best = docs.withColumn("score", score.cast("long")).orderBy(F.desc("score"), "id").limit(limit)
     # Tested after the limit: earlier, the filter would score every text a second time.
-    return _hit(best.filter(F.col("score") > 0), "score", description)
+    return hit_columns(best.filter(F.col("score") > 0), "score", description)
 
 
 def search_bm25(
@@ -95,7 +95,7 @@ def search_bm25(
     best = scored.orderBy(F.desc("score"), F.desc(F.col("_score") > 0), "id").limit(limit)
     best = best.filter(F.col("_score") > 0).select("id", "score")
     # At most ``limit`` rows of two numbers.
-    return _hit(docs.join(F.broadcast(best), "id"), "score", description)
+    return hit_columns(docs.join(F.broadcast(best), "id"), "score", description)
 
 
 def posts(raw: DataFrame) -> DataFrame:

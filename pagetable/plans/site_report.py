@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagetable.operators.content import scrape
 from pagetable.operators.traverse import site_tree
+from pagetable.sources.fetch import with_record
 
 
 def site_report(
@@ -15,7 +16,7 @@ def site_report(
     tree = site_tree(pages, seeds, depth, limit, link_lists)
     # Pages are parsed where they lie; the ids that the walk carries find their records.
     records = scrape(pages).select("page_id", "title", "content_length")
-    return tree.join(records, "page_id", "left").select(
+    return with_record(tree, records, "url").select(
         "root",
         "url",
         "depth",

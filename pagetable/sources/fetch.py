@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pagetable.sources.page_store import PageStore
+
 TIMEOUT_SECONDS = 30
 
 
@@ -16,15 +18,28 @@ def fetched(pages: DataFrame) -> DataFrame:
     return pages.filter(usable)
 
 
-def lookup(frontier: DataFrame, pages: DataFrame) -> DataFrame:
+def lookup(frontier: DataFrame, pages: DataFrame | PageStore) -> DataFrame:
     """Fetch: every frontier row with the stored page of its ``url``, nulls where none is.
 
-    Of several copies of a page the one of least ``page_id`` is taken. Which that is, and whether it is asked
-    for, is settled on ``(url, page_id)`` alone; HTML moves once, to the frontier rows that want it.
+    In a store the frontier goes to the buckets and no page moves. In a plain table, of several copies of a page
+    the one of least ``page_id`` is taken. Which that is, and whether it is asked for, is settled on ``(url, page_id)``
+    alone; HTML moves once, to the frontier rows that want it, and rows without a stored page take no further part.
     """
+    if isinstance(pages, PageStore):
+        return frontier.join(pages.pages, "url", "left")
     first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
     asked = frontier.join(first, "url", "left")
-    return asked.join(pages.drop("url"), "page_id", "left")
+    hits = asked.filter(F.col("page_id").isNotNull()).join(pages.drop("url"), "page_id")
+    misses = asked.filter(F.col("page_id").isNull())
+    return hits.unionByName(misses, allowMissingColumns=True)
+
+
+def with_record(rows: DataFrame, records: DataFrame, spread: str) -> DataFrame:
+    """Left join on ``page_id`` where very many rows have none: these lie by the column ``spread`` instead of together."""
+    known = F.col("page_id").isNotNull()
+    keyed = rows.withColumn("_key", F.coalesce("page_id", F.xxhash64(spread))).withColumn("_known", known)
+    named = records.withColumnRenamed("page_id", "_key").withColumn("_known", F.lit(True))
+    return keyed.join(named, ["_key", "_known"], "left").drop("_key", "_known")
 
 
 def status_error(status: Column) -> Column:

@@ -4,13 +4,15 @@ This is the only Python stage of the engine. It runs as an Arrow UDF, so only ``
 the Python worker, the other columns stay in the JVM, and no row is shuffled: each page keeps its
 nodes in its own row and later operators are higher-order functions over that array.
 
-A node is ``struct(id, parent, last, depth, nth, zone, tag, attrs, text)``:
+A node is ``struct(id, parent, last, depth, nth, zone, tag, attrs, text, lists, quotes, cells)``:
 
 * ``id`` is the preorder number (with elements included also the 1-based place in the array, so a
   subtree is a slice), ``last`` the largest id in its subtree, so ``d`` lies below ``n``
   when ``n.id < d.id AND d.id <= n.last`` (interval encoding);
 * ``nth`` is the 1-based place among the parent's element children;
 * ``zone`` has one bit per kind of ancestor, see :mod:`pagetable.functions.markup`;
+* ``lists`` and ``quotes`` count an element's ancestors that are lists and block quotes, ``cells`` its children that
+  are table cells;
 * text nodes have a null ``tag``; element nodes a null ``text``.
 """
 
@@ -45,12 +47,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NODE_TYPE = (
     "array<struct<id:int,parent:int,last:int,depth:int,nth:int,zone:int,"
-    "tag:string,attrs:map<string,string>,text:string>>"
+    "tag:string,attrs:map<string,string>,text:string,lists:int,quotes:int,cells:int>>"
 )
 _ARROW_NODE = pa.struct([
     ("id", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("depth", pa.int32()),
     ("nth", pa.int32()), ("zone", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
+    ("lists", pa.int32()), ("quotes", pa.int32()), ("cells", pa.int32()),
 ])
 
 # What a schema of selectors needs of a page: matching elements, and the trimmed texts inside those of the first.
@@ -60,7 +63,7 @@ _ARROW_FOUND = pa.struct([
 ])
 
 _NODES_PER_CHUNK = 50_000
-_LAST = _ARROW_NODE.get_field_index("last")
+_LAST, _CELL_COUNT = _ARROW_NODE.get_field_index("last"), _ARROW_NODE.get_field_index("cells")
 
 _RAW_DECODED = frozenset(RAW_DECODED.split("|"))
 _TOKEN = re.compile(TOKENS)
@@ -188,7 +191,7 @@ class _Nodes:
                     rows.append([last_id, parent[2] & ZONE_RAW != 0, last_id, None, text])
                 return
             rows.append(
-                [last_id, parent[0], last_id, len(stack), None, parent[2], None, None, text]
+                [last_id, parent[0], last_id, len(stack), None, parent[2], None, None, text, None, None, None]
             )
 
         def push(tag: str, attrs: dict[str, str]) -> None:
@@ -211,8 +214,11 @@ class _Nodes:
                     row = [last_id, _TAG_ZONE.get(tag, 0) & ZONE_RAW != 0, last_id, hits, None]
                     rows.append(row)
             elif want_elements:
+                lists = len(opened.get("ul", ())) + len(opened.get("ol", ()))
                 row = [last_id, parent[0], last_id, len(stack), parent[3], zone, tag,
-                       list(attrs.items()), None]
+                       list(attrs.items()), None, lists, len(opened.get("blockquote", ())), 0]
+                if tag in ("td", "th") and parent[4]:
+                    parent[4][_CELL_COUNT] += 1
                 rows.append(row)
             opened.setdefault(tag, []).append(len(stack))
             stack.append([last_id, tag, zone, 0, row, state])

@@ -16,6 +16,7 @@ from pagetable.operators.login import login_forms
 from pagetable.operators.profiles import profiles
 from pagetable.sources import fetch, sinks
 from pagetable.sources.pages import html_pages, read_pages
+from pagetable.sources.page_store import store_pages
 from pagetable.streaming.pages import new_urls, run_available, stream_pages
 
 TEXTS = ["The cat; the dog", "dog dog cat", "theme catalog", "", None, "Été the été", "CAT the the"]
@@ -179,6 +180,8 @@ def test_sinks(spark, tmp_path):
     pretty = sinks.json_array(df, ["id"], 100, pretty=True).first().value
     assert json.loads(pretty) == json.loads(array) and "\n" in pretty
     assert sinks.json_array(df.limit(0), ["id"], 5).first().value == "[]"
+    assert sinks.json_array(df.limit(0), ["id"], 5, pretty=True).first().value == "[]"
+    assert pretty == json.dumps([{"id": 1, "t": None}, {"id": 2, "t": "é/"}], indent=2, ensure_ascii=False)
 
     records = spark.sql(
         "SELECT array(named_struct('a', 'x')) AS data, 'c' AS content UNION ALL "
@@ -190,6 +193,70 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "text")).count() == 3
 
 
+def test_pretty_json_is_indented_by_two(spark):
+    df = spark.sql(
+        """SELECT 1 AS id, 'a"\\\\b\\n' AS `q"s`, array('x', null) AS l, CAST(array() AS array<int>) AS e,
+        named_struct('x', 1.5D, 'y', true, 'z', named_struct('k', 'v')) AS s, map('m', array(map('n', 2))) AS m,
+        CAST(null AS array<int>) AS n"""
+    )
+    value = sinks.json_array(df, ["id"], 5, pretty=True).first().value
+    want = [{
+        "id": 1, 'q"s': df.first()[1], "l": ["x", None], "e": [], "s": {"x": 1.5, "y": True, "z": {"k": "v"}},
+        "m": {"m": [{"n": 2}]}, "n": None,
+    }]
+    assert value == json.dumps(want, indent=2, ensure_ascii=False)
+
+
+def test_json_arrays_per_group(spark):
+    rows = [("hot", i) for i in range(500)] + [("cold", 7), (None, 3)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    for pretty in (False, True):
+        got = {r.g: r.value for r in sinks.json_arrays(df, ["g"], [F.desc("v")], 3, pretty).collect()}
+        want = {"hot": [{"v": 499}, {"v": 498}, {"v": 497}], "cold": [{"v": 7}], None: [{"v": 3}]}
+        dump = (lambda v: json.dumps(v, indent=2)) if pretty else (lambda v: json.dumps(v, separators=(",", ":")))
+        assert got == {g: dump(v) for g, v in want.items()}
+
+
+def test_page_store_moves_no_html(spark, tmp_path):
+    rows = [(2, "a", "x"), (1, "a", "y"), (3, "b", "z"), (4, None, "n"), (1, "a", "y")]
+    rows += [(10 + i, f"u{i}", f"h{i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    store = store_pages(pages, str(tmp_path / "store"), 4)
+    frontier = spark.createDataFrame([("a", 1), ("a", 2), ("c", 1), (None, 9), ("u7", 3)], "url string, k int")
+    got = fetch.lookup(frontier, store)
+    assert sorted((r.url or "", r.k, r.html or "") for r in got.collect()) == [
+        ("", 9, ""), ("a", 1, "y"), ("a", 2, "y"), ("c", 1, ""), ("u7", 3, "h7")
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        plain = fetch.lookup(frontier, pages)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange, that of the frontier, and none above the scan with html.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert "Exchange" not in plan[plan.index("FileScan") :]
+    # In a plain table, rows without a page are no part of the join that carries html.
+    assert "Union" in plain and "Join Inner" in plain
+    assert [r.html for r in store.find(["u7"]).collect()] == ["h7"]
+    assert "SelectedBucketsCount: 1 out of 4" in store.find(["u7"])._jdf.queryExecution().executedPlan().toString()
+    assert len(list((tmp_path / "store").glob("*.parquet"))) <= 4
+    store.forget()
+
+
+def test_rows_without_a_page_do_not_meet_in_one_task(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 5, F.col("id")).alias("page_id"), F.concat(F.lit("u"), "id").alias("url"))
+    records = spark.range(-2000, 2000).select(F.col("id").alias("page_id"), F.lit("t").alias("title"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fetch.with_record(rows, records, "url")
+        assert [r.page_id for r in got.filter("title = 't'").orderBy("page_id").collect()] == list(range(5))
+        sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert got.count() == 1000 and max(sizes) < 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sources(spark, page_frame, tmp_path):
     pages = page_frame("<p>a", "<p>b", url=["http://h/a", "http://h/b.pdf"])
     pages.write.json(str(tmp_path / "pages"))
