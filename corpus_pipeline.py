@@ -17,27 +17,40 @@ from pagetable.session import Stage, tune
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject.
 
-    Labels name documents by doc_id; the model is fitted to those among ``docs`` that have one.
+    Labels name documents by doc_id; the model is fitted to those among ``docs`` that have one. A null text
+    is judged like an empty one, repeated rows alike; without labels of both classes, or rows, nothing goes.
     """
     tune(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(~F.col("toxic")).select(*docs.columns)
+    # Rows travel whole, so that no column of theirs meets one of the model's.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.withColumn("text", F.col("_row.text"))
+    return toxicity.score(rows, model).filter(~F.col("toxic")).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id from each class of near duplicates, in one row."""
+    """The document of least doc_id from each class of near duplicates, in one row.
+
+    Texts without words are alike only when equal, a null one counts as empty; an empty table stays empty.
+    """
     tune(spark)
     return dart_minhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, not with other numbers or names either."""
+    """Documents that hold no benchmark item, not with other numbers or names either.
+
+    A null or empty text holds none; an empty table or benchmark drops nothing.
+    """
     tune(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; ``n_chars`` follows the text."""
+    """All documents, with personal data replaced by its kind; ``n_chars`` follows the text.
+
+    A null text stays null; repeated rows are redacted alike, and an empty table stays empty.
+    """
     tune(spark)
     clean = pii.redact(docs)
     if "n_chars" not in docs.columns:
@@ -47,7 +60,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document and the digests of a round trip."""
+    """Token ids of every document and the digests of a round trip; a null text has no ids, an empty table no rows."""
     tune(spark)
     return bpe.digests(docs, vocabulary_path())
 

@@ -260,11 +260,15 @@ def _pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pairs with ``node`` and ``item_node``, which tell texts under one id apart."""
     items = item_windows(benchmark)
     spot = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
-    spots = items.select("width", spot.alias("spot")).distinct().collect()
-    widths = sorted({r["width"] for r in spots})
-    seen = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    at = np.array([r["spot"] for r in spots], np.int64)
-    np.bitwise_or.at(seen, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    bit = F.expr("shiftleft(1L, cast(spot % 64 as int))")
+    spots = items.select("width", spot.alias("spot")).groupBy(F.expr("spot div 64").alias("word")).agg(
+        F.bit_or(bit).alias("bits"), F.collect_set("width").alias("widths")
+    ).collect()
+    widths = sorted({w for r in spots for w in r["widths"]})
+    seen = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    for word, bits, _ in spots:
+        seen[word] = bits
+    seen = seen.view(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(seen) if widths else None
     if not widths:
         return items.select(
@@ -385,9 +389,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows that share a doc_id are one document and go together. A null doc_id names none: of such rows
     those go whose own text is contaminated.
     """
-    found = _pairs(docs, benchmark)
+    found = _pairs(docs.select("doc_id", "text"), benchmark)
     named = F.col("doc_id").isNotNull()
     hit = found.select(F.col("doc_id").alias("_hit"), F.when(~named, F.col("node")).alias("_node")).distinct()
-    text = F.when(F.col("doc_id").isNull(), _node(whole_text()))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_hit")) & text.eqNullSafe(F.col("_node"))
-    return docs.join(hit, same, "left_anti")
+    # Rows travel whole, so that no column of theirs meets one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    doc_id = F.col("_row.doc_id")
+    text = F.when(doc_id.isNull(), _node(whole_text("_row.text")))
+    same = doc_id.cast("long").eqNullSafe(F.col("_hit")) & text.eqNullSafe(F.col("_node"))
+    return rows.join(hit, same, "left_anti").select("_row.*")

@@ -38,7 +38,7 @@ class Graph:
     def build(cls, vectors: np.ndarray) -> Graph:
         """Inserts vectors in order. A vector's highest layer comes from a hash of its content."""
         n = len(vectors)
-        words = np.ascontiguousarray(vectors).view(np.uint32).astype(np.uint64)
+        words = np.ascontiguousarray(vectors, np.float64).view(np.uint64)
         seed = np.zeros(n, np.uint64)
         for column in words.T:
             seed = mix(seed * np.uint64(31) + column + np.uint64(1))
@@ -93,7 +93,8 @@ class Graph:
         if len(found) <= most:
             return [i for _, i in found]
         at = np.array([i for _, i in found])
-        v = self.vectors[at]
+        # Products lose what is small beside a common offset; near vectors have none around the nearest.
+        v = self.vectors[at] - self.vectors[at[0]]
         square = np.einsum("ij,ij->i", v, v)
         between = square[:, None] + square[None, :] - 2 * (v @ v.T)
         taken, left = [], []
@@ -134,14 +135,19 @@ class Graph:
             self.top, self.entry = layer, i
 
     def search(self, q: np.ndarray, k: int) -> list[int]:
-        """The ``k`` nearest found, in no order."""
+        """All that the search keeps, at least ``k`` where there are as many."""
         if not len(self.vectors):
             return []
         found = [(float(self._distances(np.array([self.entry]), q)[0]), self.entry)]
         for above in range(self.top, 0, -1):
             found = self._walk(q, found, above, 1)
-        found = sorted(self._walk(q, found, 0, max(SEARCH, k)))
-        return [i for _, i in found[:k]]
+        return [i for _, i in self._walk(q, found, 0, max(SEARCH, k))]
+
+
+def _scaled(vectors: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """Vectors in double precision, smaller by a power of two where squares of the shard's would overflow."""
+    largest = float(np.abs(shard).max()) if shard.size else 0.0
+    return vectors if largest < 1e150 else vectors * 2.0**-560
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -173,7 +179,7 @@ def build(rows: DataFrame, stage: Stage, k: int = K) -> tuple[DataFrame, int]:
     def graph(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda x: x[0]), kind="stable")
         exact = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        made = Graph.build(exact.astype(np.float32))
+        made = Graph.build(_scaled(exact, exact))
         return pd.DataFrame({
             "shard": [key[0]], "dim": [exact.shape[1]], "n": [len(exact)], "entry": [made.entry],
             "top": [made.top], "vectors": [exact.tobytes()], "near": [made.near.tobytes()],
@@ -208,7 +214,7 @@ def search(
             s = shard.iloc[0]
             exact = np.frombuffer(s["vectors"], np.float64).reshape(s["n"], s["dim"])
             graph = Graph(
-                exact.astype(np.float32), np.frombuffer(s["near"], np.int32).reshape(-1, WIDE),
+                _scaled(exact, exact), np.frombuffer(s["near"], np.int32).reshape(-1, WIDE),
                 np.frombuffer(s["upper"], np.int32).reshape(-1, NARROW),
                 np.frombuffer(s["upper_at"], np.int64), s["entry"], s["top"],
             )
@@ -217,7 +223,7 @@ def search(
                 q = np.asarray(vector, np.float64)
                 hits = found.get(q.tobytes())
                 if hits is None:
-                    near = graph.search(q.astype(np.float32), k + 1)
+                    near = graph.search(_scaled(q, exact), k + 1)
                     far = np.sqrt(np.square(exact[near] - q).sum(1))
                     hits = sorted((float(d), int(v)) for d, i in zip(far, near) for v in s["ids"][i])
                     found[q.tobytes()] = hits
@@ -232,8 +238,9 @@ def search(
 def nearest(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """The ``k`` nearest of every query among all other rows of ``vec_id, embedding``.
 
-    Rows without a usable vector neither ask nor answer. Several different vectors of one vec_id are each
-    a candidate; a query with several is asked with each and keeps the nearest.
+    Rows without a usable vector neither ask nor answer, equal rows count once, and an empty table gives no rows. Several
+    different vectors of one vec_id are each a candidate, but not for a query of that vec_id; a query with several is
+    asked with each and keeps the nearest. Distances are of doubles throughout.
     """
     stage = Stage(vectors.sparkSession, "hnsw")
     rows = stage.save(usable(vectors), "rows")

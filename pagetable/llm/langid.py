@@ -10,11 +10,12 @@ from functools import lru_cache
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from pagetable.operators.ranking import first_per_group
 
 SAMPLE_TEXTS = 200  # training texts per language, at most
-SAMPLE_CHARS = 2000  # characters that each of them gives to the dictionary, at most
-DICTIONARY_BYTES = 64 << 10  # of letters per language; zstandard matches its whole length
+PIECE_CHARS = 320  # letters that each of them gives to the dictionary, which zstandard matches along its whole length
 BLOCK = 16 << 10  # bytes compressed at once, so that the dictionary counts all along a long text
 MARGIN = 0.02  # an answer is narrow when the second language needs less than 2 % more bytes
 LEVEL = 6
@@ -34,32 +35,31 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """One dictionary per language of ``text, lang``, the language of most texts first.
 
     The sample takes each language's ``SAMPLE_TEXTS`` different texts of smallest hash, which any
-    order of the rows gives alike. A first pass over hashes alone finds the largest hash taken, with
-    every task keeping that many per language; a second one reads the texts. What reaches the
+    order of the rows gives alike, and a piece of each. A first pass over hashes alone finds the largest hash taken, a language
+    cut in salted parts; a second one reads the texts. What reaches the
     driver is bounded by the parameters above times the number of languages.
     """
     usable = labelled.filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     ).withColumn("_hash", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("_hash")
-    least = (
-        usable.select("lang", "_hash").distinct()
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= SAMPLE_TEXTS)
-        .groupBy("lang").agg(F.max("_hash").alias("_last"))
-    )
+    hashes = usable.select("lang", "_hash").distinct()
+    least = first_per_group(hashes, ["lang"], [F.col("_hash")], SAMPLE_TEXTS)
+    least = least.groupBy("lang").agg(F.max("_hash").alias("_last"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     taken = F.lit(False)
     bounds = least.collect()
     for row in bounds:
         taken |= (F.col("lang") == row["lang"]) & (F.col("_hash") <= row["_last"])
-    part = F.substring(letters(F.col("text")), 1, SAMPLE_CHARS)
+    # A piece of each text, from a place that its hash chooses.
+    whole = letters(F.col("text"))
+    room = F.greatest(F.length(whole) - PIECE_CHARS, F.lit(0)) + 1
+    part = F.substring(whole, F.pmod(F.col("_hash"), room).cast("int") + 1, F.lit(PIECE_CHARS))
     parts = usable.filter(taken).groupBy("lang", "_hash").agg(F.min(part).alias("_part"))
     found: dict[str, list[str]] = {}
     for row in parts.orderBy("lang", "_hash").collect():
         found.setdefault(row["lang"], []).append(row["_part"])
     by_size = sorted(found, key=lambda lang: (-sizes[lang], lang))
-    return {lang: " ".join(found[lang]).encode()[-DICTIONARY_BYTES:] for lang in by_size}
+    return {lang: " ".join(found[lang]).encode() for lang in by_size}
 
 
 @lru_cache(maxsize=4)
@@ -116,7 +116,8 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, narrow`` for every document.
 
     Dictionaries come from the documents that are not held out (crc32 of the doc_id modulo 4 is not
-    2; a null doc_id is not held out) and have a language. Predictions see the text alone.
+    2; a null doc_id is not held out) and have a language. Predictions see the text alone; a null or empty one is
+    ``und``, repeated rows are told alike, and an empty table gives no rows.
     """
     held_out = is_held_out(F.col("doc_id"))
     known = dictionaries(docs.filter(~held_out).select("text", "lang"))

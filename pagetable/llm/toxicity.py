@@ -60,7 +60,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         picked = part if picked is None else picked.union(part)
     # The limits bound the picked side: 2 * SAMPLE rows of two numbers.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return rows.select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("toxic", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("_hash"))
+    # A doc_id that very many rows share brings them all: the bound holds for rows too.
+    kept = [rows.filter(F.col("toxic") == toxic).orderBy("_hash", "text").limit(SAMPLE) for toxic in (0, 1)]
+    return kept[0].union(kept[1]).drop("_hash")
 
 
 def _select(sample: DataFrame, n: dict[int, int]) -> list[str]:
@@ -244,6 +247,10 @@ def score(docs: DataFrame, model: Model | None, column: str = "text") -> DataFra
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, severity, grade, p_toxic, toxic`` of every document."""
+    """``doc_id, severity, grade, p_toxic, toxic`` of every document.
+
+    A null text is graded like an empty one, rows that repeat a doc_id each by their own text; without labels of
+    both classes all are clean, and an empty table gives no rows.
+    """
     model = fit(docs, labels)
     return score(docs.select("doc_id", "text"), model).drop("text")
