@@ -47,14 +47,19 @@ class _Walk:
     def _path(self, level: int) -> str:
         return f"{self.stage.path('visited')}/level={level}"
 
-    def add(self, rows: DataFrame, first: list[int]) -> None:
-        """Writes the next level by id ranges."""
+    def add(self, rows: DataFrame, first: list[int] | None = None) -> int:
+        """Writes the next level by id ranges and returns how many rows its numbers go up to."""
         met = Observation()
-        range_ = range_of(F.col("id"))
-        seen = rows.withColumn("range", range_).observe(met, F.collect_set("range").alias("ranges"))
-        seen.write.partitionBy("range").parquet(self._path(len(self.first)))
-        self._ranges.append(set(met.get["ranges"] or ()))
+        path = self._path(len(self.first))
+        seen = rows.withColumn("range", range_of(F.col("id")))
+        seen = seen.observe(met, F.collect_set("range").alias("ranges"))
+        seen.write.partitionBy("range").parquet(path)
+        ranges = set(met.get["ranges"] or ())
+        if first is None:
+            first = _firsts(self.spark.read.schema(_VISIT).parquet(path)) if ranges else [0]
+        self._ranges.append(ranges)
         self.first.append(first)
+        return first[-1]
 
     def level(self, level: int) -> DataFrame:
         """``seed, id, order`` of one level."""
@@ -148,17 +153,18 @@ def _walk(
             break
         seen = walk.seen(set(met.get["ranges"]))
         fresh = found if seen is None else found.join(seen, ["seed", "id"], "left_anti")
-        rows = stage.save(_numbered(fresh), f"numbered-{level}")
-        first = _firsts(rows)
-        if first[-1] == 0:
-            break
-        if first[-1] * width >= 1 << 63:
-            raise ValueError("too many URLs in one level of a walk")
-        if limit is not None:
+        if limit is None:
+            n = walk.add(_numbered(fresh))
+        else:
+            rows = stage.save(_numbered(fresh), f"numbered-{level}")
+            first = _firsts(rows)
             begin = rows.groupBy("seed").agg(F.min(_order(first)).alias("begin"))
             kept = rows.join(begin, "seed").join(room, "seed").filter(_order(first) - F.col("begin") < F.col("n"))
-            rows = kept.select("seed", "id", "part", "idx")
-        walk.add(rows, first)
+            n = walk.add(kept.select("seed", "id", "part", "idx"), first)
+        if n == 0:
+            break
+        if n * width >= 1 << 63:
+            raise ValueError("too many URLs in one level of a walk")
     return walk.visits(start)
 
 

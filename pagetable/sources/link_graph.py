@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pagetable.session import Stage
 
 _RANGE_BITS = 34
+_LISTS = "url string, page_id long, links array<string>"
+_URLS = "id long, url string, page_id long"
 
 
 def is_stored(id_: Column) -> Column:
@@ -31,12 +33,12 @@ def range_of(id_: Column) -> Column:
 class LinkGraph:
     """The tables of a graph; ``most_links`` is the largest number of links of a page."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int, most_links: int) -> None:
+    def __init__(self, spark: SparkSession, folder: str, table: str, buckets: int, most_links: int) -> None:
         self.folder, self.buckets, self.most_links = folder, buckets, most_links
-        self.lists = spark.read.parquet(f"{folder}/lists")
-        self.urls = spark.read.schema("id long, url string, page_id long").parquet(f"{folder}/urls")
-        self._table = _declared(spark, folder, buckets)
-        self.links = spark.table(self._table)
+        self.lists = spark.read.schema(_LISTS).parquet(f"{folder}/lists")
+        self.urls = spark.read.schema(_URLS).parquet(f"{folder}/urls")
+        self._table = table
+        self.links = spark.table(table)
 
     def forget(self) -> None:
         """Drops the table's name from the catalog; the folder stays."""
@@ -65,7 +67,7 @@ def build_graph(lists: DataFrame, folder: str | None = None, buckets: int | None
     widest = Observation()
     known = lists.filter(F.col("url").isNotNull()).select("url", F.col("page_id").cast("long").alias("page_id"), "links")
     known.observe(widest, F.max(F.size("links")).alias("most")).write.parquet(f"{folder}/lists")
-    lists = spark.read.schema(known.schema).parquet(f"{folder}/lists")
+    lists = spark.read.schema(_LISTS).parquet(f"{folder}/lists")
 
     targets = lists.select(F.explode("links").alias("url"), F.lit(None).cast("long").alias("page_id"))
     ends = lists.select("url", "page_id").unionByName(targets).filter(F.col("url").isNotNull())
@@ -74,7 +76,7 @@ def build_graph(lists: DataFrame, folder: str | None = None, buckets: int | None
     number = F.shiftleft(F.monotonically_increasing_id(), 1)
     stored = F.when(F.col("page_id").isNull(), 1).otherwise(0)
     dealt.sortWithinPartitions("url").select((number + stored).alias("id"), "url", "page_id").write.parquet(f"{folder}/urls")
-    urls = spark.read.schema("id long, url string, page_id long").parquet(f"{folder}/urls")
+    urls = spark.read.schema(_URLS).parquet(f"{folder}/urls")
 
     places = lists.join(urls.select("id", "url"), "url").select("id", F.posexplode("links").alias("pos", "url"))
     edges = places.join(urls.select(F.col("id").alias("to"), "url"), "url").select("id", "pos", "to")
@@ -82,10 +84,9 @@ def build_graph(lists: DataFrame, folder: str | None = None, buckets: int | None
     links = edges.repartition(buckets, "id").groupBy("id").agg(placed["to"].alias("links"))
     name = _declared(spark, folder, buckets)
     links.write.mode("append").insertInto(name)
-    spark.sql(f"DROP TABLE {name}")
-    return open_graph(spark, folder, buckets, widest.get["most"] or 0)
+    return LinkGraph(spark, folder, name, buckets, max(widest.get["most"] or 0, 0))
 
 
 def open_graph(spark: SparkSession, folder: str, buckets: int, most_links: int) -> LinkGraph:
     """A graph written before, by the ``folder``, ``buckets`` and ``most_links`` that it was built with."""
-    return LinkGraph(spark, folder, buckets, most_links)
+    return LinkGraph(spark, folder, _declared(spark, folder, buckets), buckets, most_links)

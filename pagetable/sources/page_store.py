@@ -15,7 +15,7 @@ from pagetable.session import Stage
 
 
 class PageStore:
-    """A stored page table; ``pages`` reads it by its buckets."""
+    """A page table, written or to be, as declared here; ``pages`` reads it by its buckets."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int, schema: StructType) -> None:
         self.folder, self.buckets, self.schema = folder, buckets, schema
@@ -26,7 +26,10 @@ class PageStore:
             f"CREATE TABLE {self._table} ({columns}) USING parquet OPTIONS ('parquet.bloom.filter.enabled#url' 'true') "
             f"CLUSTERED BY (url) SORTED BY (url) INTO {buckets} BUCKETS LOCATION '{location}'"
         )
-        self.pages = spark.table(self._table)
+
+    @property
+    def pages(self) -> DataFrame:
+        return self._spark.table(self._table)
 
     def find(self, urls: list[str]) -> DataFrame:
         """The stored pages of a few URLs: only their buckets are opened, and of these files those that may hold them."""
@@ -53,4 +56,4 @@ def store_pages(pages: DataFrame, folder: str | None = None, buckets: int | None
     store = PageStore(spark, folder, buckets, pages.schema)
     whole = chosen.dropDuplicates(["url", "page_id"]).select(*[F.col(f"`{c}`") for c in pages.columns])
     whole.write.mode("append").insertInto(store._table)
-    return PageStore(spark, folder, buckets, pages.schema)
+    return store
