@@ -9,7 +9,8 @@ counted first, and pieces end at infrequent ones, which no frequent phrase holds
 the first two words. A leading phrase that at least one in ``HOT`` words begins is not routed by
 itself: it is counted where it stands, and its suffixes go by one word more. These phrases are found with
 the words: whatever is that frequent overall is half as frequent or more in some chunks, and these
-hold at least half of it. Suffixes travel packed, many to a row, with the words they are made of.
+hold at least half of it. Suffixes travel packed, many to a row: in order and word place by word place, which compresses
+well, as numbers of the ``COMMON`` most frequent words or of words that the row brings along.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ TOP = 2000
 HOT = 4096
 CHUNK_BYTES = 1 << 24  # text that a task holds at a time
 BUCKET = 500_000  # suffixes that meet in a task, on average
+COMMON = 48 << 10  # words that all tasks know by number; the other 16-bit numbers are those of a row's own words
 _BITS = 1 << 23  # of the map of frequent words, whatever their number
 
 _WORD, _SPACE, _BREAK = 0, 1, 2
@@ -52,13 +54,16 @@ class Words:
         data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         firsts = offsets[:-1][np.diff(offsets) > 0] - offsets[0]
         kind = _KIND[data]
+        # A break may stand at a text's first byte, and a text begins a piece as a break does.
+        breaks = np.flatnonzero(kind == _BREAK)
         inside = kind == _WORD
+        del kind
         start = inside.copy()
         start[1:] &= ~inside[:-1]
         start[firsts] = inside[firsts]
-        breaks = (kind == _BREAK).astype(np.int32)
-        breaks[firsts] += 1
-        self.piece = np.cumsum(breaks, dtype=np.int32)[start]
+        place = np.flatnonzero(start)
+        self.piece = (np.searchsorted(breaks, place) + np.searchsorted(firsts, place, "right")).astype(np.int32)
+        del place, breaks
         letters = _LOWER[data[inside]]
         edges = np.append(np.flatnonzero(start[inside]), len(letters)).astype(np.int64)
         names = pa.LargeBinaryArray.from_buffers(
@@ -179,7 +184,9 @@ def _bit_map(words: DataFrame) -> np.ndarray:
 _PACKED = "bucket int, lang string, words array<string>, codes binary, sizes binary, phrase string, n long"
 
 
-def _packed(docs: DataFrame, known: np.ndarray, hot: dict, buckets: int, longest: int, chunk_bytes: int) -> DataFrame:
+def _packed(
+    docs: DataFrame, known: np.ndarray, common: dict, hot: dict, buckets: int, longest: int, chunk_bytes: int
+) -> DataFrame:
     """Suffixes by the bucket of their leading words; hot phrases with their counts instead."""
 
     def rows(lang: str, words: Words):
@@ -230,16 +237,22 @@ def _packed(docs: DataFrame, known: np.ndarray, hot: dict, buckets: int, longest
             goes = np.flatnonzero(depth > i)
             route[goes] = mix(route[goes] * np.uint64(0x9E3779B97F4A7C15) + hashes[codes[at[goes] + i]])
         bucket = (route % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
+        del route
+        number = pc.index_in(words.names, value_set=pa.array(common.get(lang, ([], []))[0], pa.large_binary()))
+        number = number.fill_null(-1).to_numpy(zero_copy_only=False)
+        number = np.append(np.array(common.get(lang, ([], []))[1], np.int64), -1)[number]
+        order = np.lexsort((codes[at + 1], codes[at], bucket))
         bucket, at, size, depth = bucket[order], at[order], (end - at)[order], depth[order]
-        first = np.append(0, np.cumsum(size))
-        flat = codes[np.repeat(at - first[:-1], size) + np.arange(first[-1])]
         shape = (size + 8 * depth.astype(np.int64)).astype(np.uint8)
         edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         for a, b in zip(edges, np.append(edges[1:], len(bucket))):
-            own, local = np.unique(flat[first[a] : first[b]], return_inverse=True)
-            kind = np.uint16 if len(own) <= 1 << 16 else np.uint32
-            yield int(bucket[a]), own, local.astype(kind).tobytes(), shape[a:b].tobytes(), None, None
+            flat = codes[np.concatenate([at[a:b][size[a:b] > i] + i for i in range(longest)])]
+            shown = number[flat]
+            rare = shown < 0
+            own, local = np.unique(flat[rare], return_inverse=True)
+            shown[rare] = COMMON + local
+            kind = np.uint16 if COMMON + len(own) <= 1 << 16 else np.uint32
+            yield int(bucket[a]), own, shown.astype(kind).tobytes(), shape[a:b].tobytes(), None, None
 
     def pack(batches):
         schema = pa.schema([
@@ -264,8 +277,9 @@ def _packed(docs: DataFrame, known: np.ndarray, hot: dict, buckets: int, longest
     return docs.mapInArrow(pack, _PACKED)
 
 
-def _sorted_bucket(least: int, longest: int):
+def _sorted_bucket(common: dict, least: int, longest: int):
     """Frequent phrases of one bucket's suffixes."""
+    shown = {number: word.decode() for words, numbers in common.values() for word, number in zip(words, numbers)}
 
     def count(table: pa.Table) -> pa.Table:
         out = []
@@ -281,21 +295,30 @@ def _sorted_bucket(least: int, longest: int):
             names = words.flatten().dictionary_encode()
             local = names.indices.to_numpy()
             names = names.dictionary.to_pylist()
-            codes, before = [], 0
-            for packed, n in zip(rows["codes"].to_pylist(), counts.tolist()):
-                codes.append(local[before + np.frombuffer(packed, np.uint16 if n <= 1 << 16 else np.uint32).astype(np.int64)])
-                before += n
-            codes = np.concatenate(codes)
-            shape = np.frombuffer(b"".join(rows["sizes"].to_pylist()), np.uint8)
+            shapes = [np.frombuffer(s, np.uint8) for s in rows["sizes"].to_pylist()]
+            shape = np.concatenate(shapes)
             size, depth = shape % 8, shape // 8
             end = np.cumsum(size, dtype=np.int64)
             at = end - size
+            codes, before, done = np.empty(int(end[-1]), np.int32), 0, 0
+            for packed, n, own in zip(rows["codes"].to_pylist(), counts.tolist(), shapes):
+                packed = np.frombuffer(packed, np.uint16 if COMMON + n <= 1 << 16 else np.uint32).astype(np.int32)
+                rare = packed >= COMMON
+                packed[rare] = COMMON + local[before + packed[rare] - COMMON]
+                before += n
+                starts, sizes, read = at[done : done + len(own)], own % 8, 0
+                done += len(own)
+                for i in range(longest):
+                    here = starts[sizes > i] + i
+                    codes[here] = packed[read : read + len(here)]
+                    read += len(here)
             # Shorter phrases than those that suffixes were routed by have others elsewhere.
             for routed in np.unique(depth).tolist():
                 here = depth == routed
                 for long, place, n in equal_prefixes(codes, at[here], end[here], least, longest):
                     if long >= routed:
-                        out.append((lang, " ".join(names[c] for c in codes[place : place + long].tolist()), n))
+                        phrase = codes[place : place + long].tolist()
+                        out.append((lang, " ".join([shown[c] if c < COMMON else names[c - COMMON] for c in phrase]), n))
         langs, phrases, n = zip(*out) if out else ((), (), ())
         return pa.table({
             "lang": pa.array(langs, pa.string()), "phrase": pa.array(phrases, pa.string()), "n": pa.array(n, pa.int64()),
@@ -321,8 +344,15 @@ def frequent_phrases(
     for lang, phrase in counts.filter(is_phrase & (F.col("n") * 2 * hot >= total)).select("lang", "phrase").collect():
         phrase = tuple(phrase.encode().split(b" "))
         leading.setdefault(lang, {}).setdefault(len(phrase), []).append(phrase)
-    packed = _packed(rows, _bit_map(words), leading, max(1, -(-total // bucket)), longest, chunk_bytes)
-    found = packed.groupBy("bucket").applyInArrow(_sorted_bucket(least, longest), "lang string, phrase string, n long")
+    common: dict[str, tuple[list, list]] = {}
+    most = words.orderBy(F.desc("n"), "lang", "phrase").limit(COMMON).select("lang", "phrase").collect()
+    for number, (lang, word) in enumerate(most):
+        own = common.setdefault(lang, ([], []))
+        own[0].append(word.encode())
+        own[1].append(number)
+    packed = _packed(rows, _bit_map(words), common, leading, max(1, -(-total // bucket)), longest, chunk_bytes)
+    count = _sorted_bucket(common, least, longest)
+    found = packed.groupBy("bucket").applyInArrow(count, "lang string, phrase string, n long")
     return stage.save(words.unionByName(found), "phrases"), totals
 
 

@@ -60,8 +60,10 @@ ROWS = rows_like(random.Random(4), 400) + [
 ]
 
 
+@pytest.mark.parametrize("common", [C.COMMON, 5])
 @pytest.mark.parametrize("settings", [{}, {"hot": 3, "chunk_bytes": 20000, "bucket": 300}, {"hot": 40, "chunk_bytes": 5000}])
-def test_equals_brute_force(spark, settings):
+def test_equals_brute_force(spark, monkeypatch, settings, common):
+    monkeypatch.setattr(C, "COMMON", common)
     docs = spark.createDataFrame([(t, lang, "x", 1) for t, lang in ROWS], "text string, lang string, phrase string, n int").repartition(3)
     got = sorted(map(tuple, C.collocations(docs, **settings).collect()))
     want = brute(ROWS)
