@@ -29,7 +29,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _MARKS = frozenset(".,;:!?")
 _ODD = frozenset("\x1c\x1d\x1e\x1f") | {c for c in map(chr, range(0x3001)) if c.isspace()}
 _SURE_CUT = regex.compile(r"(?<=[^{0}]) (?=[^{0}])".format("".join(sorted(_ODD))))
-_PIECES = regex.compile(SPLIT.replace(r"\s\p", rf"{SPACES}\p").replace(r"\S", rf"[^{SPACES}]").replace(r"\s", f"[{SPACES}]"))
+PIECES = regex.compile(SPLIT.replace(r"\s\p", rf"{SPACES}\p").replace(r"\S", rf"[^{SPACES}]").replace(r"\s", f"[{SPACES}]"))
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -166,7 +166,7 @@ class Vocabulary:
         return ids
 
     def _split(self, part: str) -> bytes:
-        return b"".join(map(self._piece, _PIECES.findall(part)))
+        return b"".join(map(self._piece, PIECES.findall(part)))
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a unit and the space before it. Words with at most a mark behind, which are most

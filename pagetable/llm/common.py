@@ -73,7 +73,7 @@ class Memory(dict):
     """
 
     __hash__ = object.__hash__
-    _PER_ENTRY = 200  # of the table, the two objects' heads and what the allocator adds
+    _PER_ENTRY = 170  # of the table, the two objects' heads and what the allocator adds
 
     def __init__(self, most: int = MEMORY_BYTES, longest: int = 64) -> None:
         super().__init__()

@@ -15,12 +15,14 @@ import uuid
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pagetable.llm.bpe import PIECES
 from pagetable.llm.common import MEMORY_BYTES, Memory, sole
 from pagetable.session import Stage
 
@@ -28,7 +30,6 @@ SEQUENCE = 2048
 BATCH_ROWS = 256
 END_ID = 0
 RANGE_LETTERS = 64  # of a text, by which rows of one doc_id are dealt; their order is by whole texts
-MARKS = ".,;:!?"
 INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -44,12 +45,12 @@ def id_type_for(vocabulary_size: int) -> pa.DataType:
 
 
 class _Encoder:
-    """The tokenizers library with its answers for single words remembered.
+    """The tokenizers library with its answers for words remembered.
 
     A byte-level split always starts a new piece at a single space between two characters that are
-    no white space, so the parts between such spaces are encoded on their own, each with its space. A new part is
-    split further where the same holds: at single line ends, and before a mark behind letters. What is
-    new then goes to the library many in one text, where the token of its space or line end begins it.
+    no white space, so a text is cut there into units, each with its space, most of them known. New units are
+    split into pieces as the library does, all at once; pieces that are new too go to the library many in one
+    text, where the token of the space or line end before a piece begins it.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,8 +63,7 @@ class _Encoder:
         size = self._tool.get_vocab_size()
         self.dtype = np.dtype(id_type_for(size).to_pandas_dtype())
         self._added = [t.content for t in self._tool.get_added_tokens_decoder().values()]
-        self._known = Memory(4 * MEMORY_BYTES)  # parts, without their space; words behind a line end, with it
-        self._marks = dict(zip(MARKS, self._encode(list(MARKS))))
+        self._units, self._pieces = Memory(2 * MEMORY_BYTES), Memory(2 * MEMORY_BYTES)
         self._begins = {gap: np.zeros(size, bool) for gap in " \n"}
         for token, i in self._tool.get_vocab().items():
             if i < size:
@@ -73,7 +73,7 @@ class _Encoder:
 
     def awake(self) -> _Encoder:
         """To be called by a task: what other operators remembered in this worker goes."""
-        sole("token files", self._known)
+        sole("token files", self._units, self._pieces)
         return self
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -82,74 +82,76 @@ class _Encoder:
         return [array(kind, e.ids).tobytes() for e in got]
 
     def _behind(self, gap: str, words: list[str]) -> list[bytes]:
-        """Packed ids of words, each with ``gap`` before it."""
+        """Packed ids of words, each with ``gap`` before it; a line end's own id is left out."""
         out, width = [], self.dtype.itemsize
-        for at in range(0, len(words), 1024):
-            some = words[at : at + 1024]
+        skip = width if gap == "\n" else 0
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
             (packed,) = self._encode([gap + gap.join(some)])
             begins = np.flatnonzero(self._begins[gap][np.frombuffer(packed, self.dtype)]) * width
             if len(begins) != len(some) or begins[0]:
-                out += self._encode([gap + w for w in some])
+                out += [ids[skip:] for ids in self._encode([gap + w for w in some])]
                 continue
-            edges = [*begins.tolist(), len(packed)]
-            out += [packed[a:b] for a, b in zip(edges, edges[1:])]
+            edges = begins.tolist()
+            out += [packed[a + skip : b] for a, b in zip(edges, [*edges[1:], len(packed)])]
         return out
 
-    def _learn(self, parts: dict[str, bytes | None]) -> None:
-        """Fills in the ids of new parts and remembers them."""
-        known, marks = self._known, self._marks
-        split, words = {}, {" ": {}, "\n": {}}
-        for part in parts:
-            pieces = part.split("\n") if "\n" in part else [part]
-            if len(pieces) > 1 and any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
-                pieces = [part]
-            found = []
-            for i, piece in enumerate(pieces):
-                word, mark = (piece[:-1], piece[-1]) if piece[-1] in marks and piece[:-1].isalpha() else (piece, "")
-                gap = "\n" if i else " "
-                key = "\n" + word if i else word
-                if key not in known:
-                    words[gap][word] = key
-                found.append((key, mark))
-            split[part] = found
-        new = {}
-        for gap, some in words.items():
-            if some:
-                new.update(zip(some.values(), self._behind(gap, list(some))))
-        for part, found in split.items():
-            ids = b"".join([
-                (known[key] if key in known else new[key]) + (marks[mark] if mark else b"") for key, mark in found
-            ])
-            parts[part] = ids
-        for key, ids in {**new, **parts}.items():
-            known.keep(key, ids, 2 * len(key) + len(ids))
+    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        spaced = [p for p in pieces if p[0] == " "]
+        plain = [p for p in pieces if p.isalpha()]
+        found = dict(zip(spaced, self._behind(" ", [p[1:] for p in spaced])))
+        found.update(zip(plain, self._behind("\n", plain)))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._encode(rest)))
+        for piece, packed in found.items():
+            self._pieces.keep(piece, packed, 2 * len(piece) + len(packed))
+        return found
+
+    def _new_units(self, units: list[str]) -> list[bytes]:
+        pieces = PIECES.findall(" " + " ".join(units))
+        begins = [i for i, p in enumerate(pieces) if p[0] == " "]
+        if len(begins) != len(units):
+            return self._encode([" " + u for u in units])
+        ids = list(map(self._pieces.get, pieces))
+        missing = [i for i, known in enumerate(ids) if known is None]
+        new = self._new_pieces(list(dict.fromkeys([pieces[i] for i in missing])))
+        for i in missing:
+            ids[i] = new[pieces[i]]
+        ends = list(accumulate(map(len, ids), initial=0))
+        whole, edges = b"".join(ids), [ends[i] for i in begins]
+        out = [whole[a:b] for a, b in zip(edges, [*edges[1:], len(whole)])]
+        for unit, packed in zip(units, out):
+            self._units.keep(unit, packed, 2 * len(unit) + len(packed))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts."""
-        get, split, new = self._known.get, [], {}
+        get, split, new = self._units.get, [], {}
         for text in texts:
             if any(a in text for a in self._added):
                 split.append(None)
                 continue
-            first, *parts = text.split(" ")
-            ids = list(map(get, parts))
-            missing = [w for w, i in zip(parts, ids) if i is None] if None in ids else ()
-            # White space at the edge of a part, or none between two spaces: not surely a cut.
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in missing) or (
-                parts and (not first or first[-1].isspace())
+            first, *units = text.split(" ")
+            ids = list(map(get, units))
+            missing = [i for i, known in enumerate(ids) if known is None]
+            # White space at the edge of a unit, or none between two spaces: not surely a cut.
+            if any(not (u := units[i]) or u[0].isspace() or u[-1].isspace() for i in missing) or (
+                units and (not first or first[-1].isspace())
             ):
                 split.append(None)
                 continue
-            split.append((first, parts, ids))
-            new.update(dict.fromkeys(missing))
-        self._learn(new)
+            split.append((first, units, ids, missing))
+            for i in missing:
+                new[units[i]] = b""
+        if new:
+            new = dict(zip(new, self._new_units(list(new))))
         firsts = self._encode([t if s is None else s[0] for t, s in zip(texts, split)])
         out = []
         for first, s in zip(firsts, split):
             if s is not None:
-                _, parts, ids = s
-                if None in ids:
-                    ids = [new[w] if i is None else i for w, i in zip(parts, ids)]
+                _, units, ids, missing = s
+                for i in missing:
+                    ids[i] = new[units[i]]
                 first += b"".join(ids)
             out.append(first)
         return out
