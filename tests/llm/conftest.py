@@ -5,7 +5,11 @@ from pagetable.llm.queries import vocabulary_path
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 # Names that the operators use for columns of their own, here as columns of the input.
-CLASHES = ("text", "words", "labels", "id", "ids", "part", "node", "key", "score", "kind", "start", "_row")
+CLASHES = (
+    "text", "words", "labels", "id", "ids", "part", "node", "key", "score", "kind", "start", "_row", "toxic", "severity",
+    "grade", "p_toxic", "_toxicity", "_hash", "_hit", "_node", "lang_pred", "narrow", "held_out", "_best", "_last", "_part",
+    "n", "n_words", "item_id", "item_node", "longest", "coverage", "record", "mark", "norm", "row", "phrase", "word", "run",
+)
 
 
 @pytest.fixture(scope="session")

@@ -30,6 +30,24 @@ def test_stages_take_an_empty_table(spark):
         assert step(spark, docs, SF_DIR).count() == 0
 
 
+def test_stages_take_any_rows_and_columns(spark, documents, with_clashes):
+    """Null, empty and very long texts, repeated rows and ids, and columns named like the stages' own."""
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40)
+    long = "plain words of some length " * 20000
+    odd = documents((None, None), (None, ""), (900001, None), (900001, ""), (900002, long), (900003, "twice here"), (900003, "twice here"))
+    docs = with_clashes(given.unionByName(odd))
+    stage = Stage(spark, "test")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage.save(step(spark, docs, SF_DIR), name)
+        assert docs.schema.names == before.schema.names and docs.dtypes == before.dtypes
+        others = [c for c in docs.columns if c not in ("text", "n_chars")] if name == "personal_data" else docs.columns
+        left = [f"`{c}`" for c in others]
+        assert docs.select(left).exceptAll(before.select(left)).isEmpty()
+        assert docs.filter("doc_id = 900002").count() == 1 and docs.filter("doc_id = 900003").count() >= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == docs.count()
+
+
 OTHERS = ("op1_template_leaks", "op11_collocations", "op12_spelling_variants")  # not one row per document
 
 
