@@ -45,6 +45,7 @@ PAGE_STATUS = "element_at(array(200, 200, 404, 200, 503), cast(page_id % 5 as in
 
 CRAWL_DEPTH, CRAWL_LIMIT, MAP_LIMIT = 3, 5, 4
 FULL_DEPTH = 4
+START = 1704067200  # seconds; a stream takes nothing from before 1970
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -510,7 +511,7 @@ def stream_new_urls(spark, sf_dir):
     """Every URL that pages link to, once, by a stream with a bounded visited set in several micro-batches."""
     stage = Stage(spark, "new-urls")
     links = L.internal_links(_pages(spark, sf_dir)).select(
-        "page_id", F.explode("links").alias("url"), F.timestamp_seconds("page_id").alias("ts")
+        "page_id", F.explode("links").alias("url"), F.timestamp_seconds(F.col("page_id") + START).alias("ts")
     )
     stage.save(links.repartition(4, "page_id"), "links")
     stream = stream_pages(spark, stage.path("links"), "page_id long, url string, ts timestamp", 2)
@@ -525,7 +526,7 @@ def stream_crawl(spark, sf_dir):
     graph = build_graph(links.join(ids, "url").select("url", "page_id", "links"))
     stage = Stage(spark, "stream-crawl")
     arriving = seeds.select("seed", F.explode(F.array(F.lit(0), F.lit(60))).alias("s"))
-    timed = arriving.select("seed", F.timestamp_seconds("s").alias("ts"))
+    timed = arriving.select("seed", F.timestamp_seconds(F.col("s") + START).alias("ts"))
     stage.save(timed.repartition(4, "seed", "ts"), "seeds")
     stream = stream_pages(spark, stage.path("seeds"), "seed string, ts timestamp", 2)
     crawl_seeds(stream, graph, stage.path("out"), stage.path("checkpoint"), CRAWL_DEPTH, CRAWL_LIMIT)
