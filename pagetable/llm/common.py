@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import weakref
 
 import numpy as np
@@ -99,12 +101,20 @@ _owner = ""
 
 
 def sole(owner: str, *memories: Memory) -> None:
-    """To be called by a task before it uses ``memories``: those of another ``owner`` in this worker are emptied."""
+    """To be called by a task before it uses ``memories``: those of another ``owner`` in this worker are emptied.
+
+    What is free is then given back to the machine, as the next operator is to have it all.
+    """
     global _owner, _memories
     if _owner != owner:
         for memory in list(_memories):
             memory.forget()
         _owner, _memories = owner, weakref.WeakSet()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
     for memory in memories:
         _memories.add(memory)
 

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagetable.llm.common import flat_lists, mix, runs_of, whole_text, window_hashes, windows, word_hashes
+from pagetable.llm.common import flat_lists, mix, runs_of, sole, whole_text, window_hashes, windows, word_hashes
 from pagetable.llm.components import components
 from pagetable.session import Stage
 
@@ -123,6 +123,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """
 
     def sketched(batches):
+        sole("near duplicates")
         for batch in batches:
             hashes, offsets = flat_lists(batch["words"])
             n = batch.num_rows
@@ -150,6 +151,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     """
 
     def listed(batches):
+        sole("near duplicates")
         for batch in batches:
             hashes, offsets = flat_lists(batch["words"])
             shingles, counts, row = weighted_shingles(hashes, offsets)

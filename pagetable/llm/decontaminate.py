@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagetable.llm.common import Memory, mix, sole, whole_text, windows
+from pagetable.session import Stage
 
 WINDOW = 8  # words of a window; a shorter item is one window
 SHORTEST = 4  # items of fewer words are looked for as they stand only
@@ -396,5 +397,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     doc_id = F.col("_row.doc_id")
     text = F.when(doc_id.isNull(), _node(whole_text("_row.text")))
+    # Written, so that its size tells Spark how to meet it: what is clean is mostly not moved.
+    hit = Stage(docs.sparkSession, "decontamination").save(hit, "hits")
     same = doc_id.cast("long").eqNullSafe(F.col("_hit")) & text.eqNullSafe(F.col("_node"))
     return rows.join(hit, same, "left_anti").select("_row.*")
