@@ -2,6 +2,7 @@
 
 import html as stdlib_html
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +259,17 @@ def test_text_that_looks_like_a_list_is_escaped(page_frame):
     shown = nodes.select(to_markdown(F.col("nodes"))).first()[0]
     lines = [line for line in shown.split("\n") if line.strip()]
     assert lines == ["1\\. one", "\\- dash", "\\+ plus", "a - b", "1.5 x", "`- c`", "    - d"]
+
+
+def test_markdown_of_very_many_lists_grows_with_the_page(spark, page_frame):
+    """Depth in lists and quotes comes with each node, so no node is held against all lists."""
+    item = "<ul><li>{}<ol><li>x</li></ol></li></ul><blockquote>q</blockquote><table><tr><td>a<td>b</table>"
+    took = []
+    for n in (500, 4000):
+        pages = page_frame("<body>" + "".join(item.format(i) for i in range(n)))
+        C.scrape(pages, "markdown").count()
+        start = time.time()
+        text = C.scrape(pages, "markdown").first().content
+        took.append(time.time() - start)
+        assert text.count("  1. x") == n and text.count("> q") == n and text.count("a| b") == n
+    assert took[1] < 16 * took[0] + 2
