@@ -22,7 +22,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagetable.llm.common import Memory, mix, sole, whole_text, windows
+from pagetable.llm.common import MEMORY_BYTES, Memory, mix, sole, whole_text, windows
 from pagetable.session import Stage
 
 WINDOW = 8  # words of a window; a shorter item is one window
@@ -30,6 +30,7 @@ SHORTEST = 4  # items of fewer words are looked for as they stand only
 LITERAL_SHARE = 0.5  # of a template's words must be no placeholder; others are looked for as they stand
 RUN = 13  # words in a row that make a match
 COVERAGE = 0.6  # share of an item's words that makes a match
+TOGETHER = 128  # documents whose words, in all readings and with the hashes of all runs, are held at once
 FILTER_BITS = 23  # of the bitmap of benchmark windows, 1 MB whatever the benchmark's size
 
 LITERAL, NUMBER, NAME, UNIT, STOP = range(5)
@@ -77,7 +78,7 @@ class _Tokens(Memory):
 
 @lru_cache(maxsize=1)
 def _tokens() -> _Tokens:
-    return _Tokens()
+    return _Tokens(MEMORY_BYTES // 2)
 
 
 _PAIR = ("doc_id", "node", "item_id", "item_node", "n_words")
@@ -210,7 +211,7 @@ def document_windows(docs: DataFrame, widths: list[int], seen) -> DataFrame:
     """
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
             tokens, at, kinds, literal, opens, offsets = canonical(batch["text"].to_pylist())
             sizes = np.diff(offsets)
             plain = np.where(kinds == NAME, LITERAL, kinds)
