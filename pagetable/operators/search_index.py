@@ -100,7 +100,9 @@ def _build(docs: DataFrame, terms: Column, length: Column, folder: str | None, n
     figures.write.parquet(f"{folder}/figures")
     mean = spark.read.schema(figures.schema).parquet(f"{folder}/figures").first()["mean"] or 1.0
     # All terms of a row are in one task, so counting them is done before anything moves.
-    found = rows.select("doc", length.cast("long").alias("length"), F.explode(terms).alias("term"))
+    # Lengths are taken before terms are exploded, once for each row.
+    read = rows.select("doc", length.cast("long").alias("length"), terms.alias("terms"))
+    found = read.select("doc", "length", F.explode("terms").alias("term"))
     counts = found.groupBy("term", "doc", "length").agg(F.count("*").alias("count"))
     dealt = counts.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
     blocks = dealt.select("term", "doc", "count", "length").mapInArrow(_cut(mean), _BLOCKS)
