@@ -3,13 +3,12 @@
 Base spans follow fixed patterns with checks. High-recall generators propose further, overlapping
 spans. Each candidate has features of its format. Gradient-boosted trees, which learn from cues before
 candidates which formats are personal data, give it a score; a threshold per generator, set on held-out candidates for a stated precision,
-decides which are taken, besides cued numbers and contacts. The trees are fitted on the driver to counted feature vectors of a bounded
-sample and applied as one expression.
+decides which are taken, besides cued numbers and contacts. The trees are fitted on the driver to the counted feature vectors of all
+documents and applied as one expression.
 """
 
 from __future__ import annotations
 
-import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -39,8 +38,6 @@ CUES = {
     "secret": r"(?i)(?:token|secret|key|password|pwd|auth)\W{0,4}$",
 }
 CONTEXT = 40  # characters before a candidate in which a cue is looked for
-SAMPLE_DOCUMENTS = 20_000  # documents whose candidates the trees are fitted to, about
-VECTORS = 20_000  # different feature vectors of the sample that reach the driver, at most
 TREES, RATE, RIDGE = 24, 0.4, 1.0
 PRECISION = 0.9  # that held-out candidates over a threshold must have
 
@@ -182,18 +179,19 @@ def _boost(vectors, labels, weights) -> tuple[list, list]:
     """Newton boosting of depth-two trees on weighted 0/1 labels."""
     import numpy as np
 
-    x, y, w = np.array(vectors, int), np.array(labels, float), np.array(weights, float)
+    x, y, w = np.asarray(vectors), np.asarray(labels, float), np.asarray(weights, float)
     score, splits, leaves = np.zeros(len(y)), [], []
 
     def best(rows, g, h):
         top, at = 0.0, (0, 10**6)
-        whole = g[rows].sum() ** 2 / (h[rows].sum() + RIDGE)
+        g, h = g[rows], h[rows]
+        whole = g.sum() ** 2 / (h.sum() + RIDGE)
         for f in range(x.shape[1]):
             values = x[rows, f]
-            for bound in np.unique(values)[:-1]:
-                low = values <= bound
-                gl, hl = g[rows][low].sum(), h[rows][low].sum()
-                gr, hr = g[rows].sum() - gl, h[rows].sum() - hl
+            below_g, below_h = np.cumsum(np.bincount(values, g)), np.cumsum(np.bincount(values, h))
+            for bound in np.flatnonzero(np.bincount(values))[:-1]:
+                gl, hl = below_g[bound], below_h[bound]
+                gr, hr = g.sum() - gl, h.sum() - hl
                 gain = gl * gl / (hl + RIDGE) + gr * gr / (hr + RIDGE) - whole
                 if gain > top + 1e-9:
                     top, at = gain, (f, int(bound))
@@ -216,56 +214,58 @@ def _boost(vectors, labels, weights) -> tuple[list, list]:
     return splits, leaves
 
 
-def _score_of(trees: Trees, vector) -> float:
-    total = 0.0
+def _scores(trees: Trees, vectors):
+    """The chance of every vector."""
+    import numpy as np
+
+    total = np.zeros(len(vectors))
     for (root, left, right), values in zip(trees.splits, trees.leaves):
-        if vector[root[0]] <= root[1]:
-            total += values[0 if vector[left[0]] <= left[1] else 1]
-        else:
-            total += values[2 if vector[right[0]] <= right[1] else 3]
-    return 1 / (1 + math.exp(-total))
+        under = [vectors[:, f] <= bound for f, bound in (root, left, right)]
+        total += np.where(under[0], np.where(under[1], *values[:2]), np.where(under[2], *values[2:]))
+    return 1 / (1 + np.exp(-total))
 
 
 def fit(docs: DataFrame, text: str = "text") -> Trees:
-    """Trees and thresholds from the candidates of a sample of the documents.
+    """Trees and thresholds from the candidates of all documents.
 
-    The sample is by hash of the text, so copies are in or out together, and counts
-    ``SAMPLE_DOCUMENTS`` in expectation. Spark counts its different feature vectors; at most
-    ``VECTORS`` of them, the most frequent, reach the driver. Candidates that a base span overlaps are
-    never chosen, so they are left out here too. A third of the texts sets the thresholds. Null texts have no
-    candidates; without any, as in an empty table, no tree is fitted and nothing but base and cued spans is found.
+    Spark counts the candidates by feature vector, and the counts reach the driver. A feature is one of at most ten steps, so
+    there are under two million vectors whatever the documents hold, and few of them occur. Candidates that a base span
+    overlaps are never chosen, so they are left out here too. A third of the texts sets the thresholds, by hash, so copies
+    are in or out together. Null texts have no candidates; without any, as in an empty table, no tree is fitted and nothing
+    but base and cued spans is found.
     """
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(n, 1))
-    hashed = docs.select(F.col(text).alias("_t"), F.xxhash64(text).alias("_h"))
-    # The whole 64 bits are compared, so a share is never rounded to nothing.
-    sample = hashed.filter(F.col("_h").cast("double") / 2.0**64 + 0.5 < share)
-    rows = _with_open_candidates(sample, "_t").select(
-        (F.pmod(F.shiftright("_h", 32), F.lit(3)) == 0).alias("held_out"), F.inline("_candidates")
+    import numpy as np
+
+    held_out = F.pmod(F.shiftright(F.xxhash64("_t"), 32), F.lit(3)) == 0
+    # The outer form, as from the plain one Spark derives a filter that finds all candidates a second time.
+    rows = _with_open_candidates(docs.select(F.col(text).alias("_t")), "_t").select(
+        held_out.alias("held_out"), F.inline_outer("_candidates")
     )
-    counted = rows.groupBy("held_out", "label", *FEATURES).agg(F.count("*").alias("n"))
-    got = counted.orderBy(F.desc("n"), "held_out", "label", *FEATURES).limit(VECTORS).collect()
-    fitted = [r for r in got if not r["held_out"]]
-    if not fitted:
+    counts = {f"n{held}{label}": (F.col("held_out") == bool(held)) & (F.col("label") == label) for held in (0, 1) for label in (0, 1)}
+    counted = rows.filter(F.col("label").isNotNull()).groupBy(*[F.col(f).cast("byte").alias(f) for f in FEATURES])
+    got = counted.agg(*[F.count_if(when).alias(n) for n, when in counts.items()]).toArrow()
+    got = got.sort_by([(f, "ascending") for f in FEATURES])
+    vectors = np.column_stack([got[f].to_numpy() for f in FEATURES])
+    n = {c: got[c].to_numpy() for c in counts}
+    used = [n["n00"] > 0, n["n01"] > 0]
+    if not (used[0].any() or used[1].any()):
         return Trees((), (), (2.0,) * len(EXTRA_KINDS))
     splits, leaves = _boost(
-        [[r[f] for f in FEATURES] for r in fitted], [r["label"] for r in fitted], [r["n"] for r in fitted]
+        np.concatenate([vectors[u] for u in used]),
+        np.repeat([0, 1], [u.sum() for u in used]),
+        np.concatenate([n["n00"][used[0]], n["n01"][used[1]]]),
     )
     trees = Trees(tuple(splits), tuple(leaves), ())
+    chances = _scores(trees, vectors)
     bounds = []
     for kind in range(len(EXTRA_KINDS)):
-        scored = sorted(
-            ((_score_of(trees, [r[f] for f in FEATURES]), r["label"] * r["n"], r["n"])
-             for r in got if r["held_out"] and r["kind"] == kind), reverse=True,
-        )
-        right = seen = 0
-        bound = 2.0
-        for i, (p, good, n) in enumerate(scored):
-            right, seen = right + good, seen + n
-            last_of_score = i + 1 == len(scored) or scored[i + 1][0] < p
-            if last_of_score and right >= PRECISION * seen and right:
-                bound = p - 1e-9
-        bounds.append(bound)
+        rows = (vectors[:, 0] == kind) & (n["n10"] + n["n11"] > 0)
+        # Figures of all held-out candidates of at least a chance, from the highest chance down.
+        chance, place = np.unique(-chances[rows], return_inverse=True)
+        right = np.cumsum(np.bincount(place, n["n11"][rows]))
+        seen = np.cumsum(np.bincount(place, (n["n10"] + n["n11"])[rows]))
+        enough = np.flatnonzero((right >= PRECISION * seen) & (right > 0))
+        bounds.append(-float(chance[enough[-1]]) - 1e-9 if len(enough) else 2.0)
     return trees._replace(bounds=tuple(bounds))
 
 

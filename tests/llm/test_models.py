@@ -169,6 +169,15 @@ def test_formats_are_learned_from_cues(documents):
     assert got.spans == "number:5:19"
 
 
+def test_trees_are_fitted_to_all_documents(spark, documents):
+    number = lambda: f"({RNG.randint(200, 999)}) {RNG.randint(200, 999)}-{RNG.randint(1000, 9999)}"
+    texts = [f"{prose(3)} {'tel' if i % 4 else 'room'} {number()} {prose(3)} {10**8 + i} {prose(3)}" for i in range(120)]
+    docs = documents(*texts)
+    plain = spark.range(80_000).select(F.concat(F.lit("no candidate x"), "id").alias("text"))
+    trees = pii.fit(docs)
+    assert trees.leaves and pii.fit(docs.select("text").union(plain)) == trees
+
+
 # --- Licenses -----------------------------------------------------------------------------
 
 
