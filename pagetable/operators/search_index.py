@@ -4,70 +4,205 @@ An index is a folder. ``rows`` holds the indexed rows in the order of a number g
 for each term the rows that have it, in blocks of at most ``BLOCK``: the first row's number, what the others are beyond
 it, and with words also counts and text lengths and the largest share of a score that the block can give.
 Blocks are sorted by term, so Parquet's statistics leave a query with those of its own terms.
+
+A task that reads rows puts the postings of each term side by side, in pieces of at most ``PIECE``. Only pieces move, by
+ranges of ``(term, first row)``, and what meets is cut into blocks anew.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagetable.operators.search import B, K1, hit_columns, n_words, posts, query_terms
 from pagetable.session import Stage
 
 BLOCK = 128
+PIECE = 1024  # postings of one term that move as one row, at most
+GATHERED = 1 << 21  # postings that a task holds before it passes pieces on, about
+CUT = 1 << 18  # postings that are cut into blocks at a time, about
+SLICE = 1 << 21  # words or characters that a task looks at at a time, unless one row has more
 _WORD = r"[\p{L}\p{N}]+"
 _BLOCKS = (
     "term string, first long, last long, n int, best double, beyond array<long>, counts array<int>, lengths array<int>"
 )
 
 
+_PIECES = "term string, first long, beyond array<long>, counts array<int>, lengths array<int>"
+
+
+def _postings(terms: pa.Array, code, doc, count, length) -> pa.Table:
+    """One row for each posting; ``terms`` are different ones, ``code`` are places among them."""
+    term = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), terms)
+    return pa.table({"term": term, "doc": doc, "count": count, "length": length})
+
+
+def _joined(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).unify_dictionaries().combine_chunks()
+
+
+def _codes(table: pa.Table) -> np.ndarray:
+    return table["term"].chunk(0).indices.to_numpy()
+
+
+def _words_in(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Of each word the row and the word."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().dictionary_encode()
+
+
+def _trigrams_in(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Of each character the row and the three characters that it begins; the last two places of a row are filled up."""
+    texts = [text or "" for text in column.to_pylist()]
+    sizes = np.array([len(text) for text in texts], np.int64)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    filled = "".join([text + "\x00\x00" for text in texts])
+    c = np.frombuffer(filled.encode("utf-32-le"), np.uint32).astype(np.int64)
+    at = np.arange(len(rows)) + 2 * rows
+    found = pa.array(c[at] << 42 | c[at + 1] << 21 | c[at + 2]).dictionary_encode()
+    keys = found.dictionary.to_numpy()
+    spelled = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+    terms = pa.array([spelled[i : i + 3] for i in range(0, len(spelled), 3)], pa.string())
+    return rows, pa.DictionaryArray.from_arrays(found.indices, terms)
+
+
+def _slices(batch: pa.RecordBatch, follows: int):
+    """Rows of one file that follow each other, of bounded size; ``follows`` is the number after the last row before.
+
+    With each: whether it does not follow what came before.
+    """
+    doc, terms = batch["doc"].to_numpy(), batch["terms"]
+    size = pc.list_value_length(terms) if pa.types.is_list(terms.type) else pc.utf8_length(terms)
+    size = size.fill_null(0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i in range(len(doc)):
+        new = doc[i] != (doc[i - 1] + 1 if i else follows)
+        if i > start and (new or held + size[i] > SLICE):
+            yield bool(doc[start] != (doc[start - 1] + 1 if start else follows)), batch.slice(start, i - start)
+            start, held = i, 0
+        held += size[i]
+    if len(doc):
+        yield bool(doc[start] != (doc[start - 1] + 1 if start else follows)), batch.slice(start)
+
+
+def _gather(terms_in: Callable[[pa.Array], tuple[np.ndarray, pa.DictionaryArray]], repeated: bool):
+    """Pieces of the rows that a task reads. With ``repeated``, counts are those of the term in the row, else 1."""
+
+    def pieces(batches):
+        held, n, follows = [], 0, -1
+        for batch in batches:
+            for new, rows in _slices(batch, follows):
+                # A piece holds rows that follow each other, so that pieces of one term never overlap.
+                if held and (new or n >= GATHERED):
+                    yield _in_pieces(_joined(held))
+                    held, n = [], 0
+                doc, length = rows["doc"].to_numpy(), rows["length"].to_numpy()
+                follows = int(doc[-1]) + 1
+                row, term = terms_in(rows["terms"])
+                if not len(row):
+                    continue
+                pair, count = np.unique(term.indices.to_numpy().astype(np.int64) * len(doc) + row, return_counts=True)
+                code, row = np.divmod(pair, len(doc))
+                count = count if repeated else np.ones_like(count)
+                held.append(_postings(term.dictionary, code, doc[row], count, length[row]))
+                n += len(pair)
+        if held:
+            yield _in_pieces(_joined(held))
+
+    return pieces
+
+
+def _in_pieces(table: pa.Table) -> pa.RecordBatch:
+    # Slices come in the order of their rows.
+    table = table.take(pa.array(np.argsort(_codes(table), kind="stable"))).combine_chunks()
+    starts = _starts(table, PIECE)
+    return pa.RecordBatch.from_arrays(
+        [_terms_at(table, starts), pa.array(table["doc"].to_numpy()[starts]), *_lists(table, starts)],
+        [c.split()[0] for c in _PIECES.split(", ")],
+    )
+
+
+def _together(batches):
+    """Batches of pieces put together to ``CUT`` postings or more, as tables' columns are cheap only when long."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch["beyond"].flatten())
+        if n >= CUT:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _cut(mean: float):
-    """Blocks of one partition's postings, which are in the order of ``(term, doc)``."""
+    """Blocks of one partition's pieces, which are in the order of ``(term, first)``."""
 
     def blocks(batches):
         kept = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
+        for batch in _together(batches):
+            sizes = batch["beyond"].value_lengths().to_numpy()
+            term = batch["term"].dictionary_encode()
+            doc = np.repeat(batch["first"].to_numpy(), sizes) + batch["beyond"].flatten().to_numpy()
+            lists = [batch[c].flatten().to_numpy() for c in ("counts", "lengths")]
+            table = _postings(term.dictionary, np.repeat(term.indices.to_numpy(), sizes), doc, *lists)
             if kept is not None:
-                table = pa.concat_tables([kept, table]).combine_chunks()
+                table = _joined([kept, table])
             # The last term may go on in the next batch; its whole blocks need not wait.
-            starts = _starts(table)
+            starts = _starts(table, BLOCK)
+            if not len(starts):
+                continue
             rest = int(starts[-1]) if table.num_rows - starts[-1] < BLOCK else table.num_rows
-            kept = table.slice(rest) if rest < table.num_rows else None
+            kept = None
+            if rest < table.num_rows:
+                left = table.slice(rest).combine_chunks()
+                kept = left.set_column(0, "term", left["term"].chunk(0).dictionary_decode().dictionary_encode())
             if rest:
-                yield _packed(table.slice(0, rest), mean)
+                yield _packed(table.slice(0, rest).combine_chunks(), mean)
         if kept is not None:
             yield _packed(kept, mean)
 
     return blocks
 
 
-def _starts(table: pa.Table) -> np.ndarray:
-    """Where a block begins: at a new term, and ``BLOCK`` rows after."""
-    terms = table["term"].combine_chunks().dictionary_encode()
-    codes = (terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms).indices.to_numpy()
+def _starts(table: pa.Table, most: int) -> np.ndarray:
+    """Where a block begins: at a new term, and ``most`` rows after."""
+    if not table.num_rows:
+        return np.empty(0, np.int64)
+    codes = _codes(table)
     new = np.append(True, codes[1:] != codes[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(len(codes)), 0))
-    return np.flatnonzero((np.arange(len(codes)) - first) % BLOCK == 0)
+    return np.flatnonzero((np.arange(len(codes)) - first) % most == 0)
 
 
-def _packed(table: pa.Table, mean: float) -> pa.RecordBatch:
-    starts = _starts(table)
+def _terms_at(table: pa.Table, starts: np.ndarray) -> pa.Array:
+    return table["term"].chunk(0).take(pa.array(starts)).dictionary_decode()
+
+
+def _lists(table: pa.Table, starts: np.ndarray) -> list[pa.Array]:
+    """What the rows from each start on are beyond the first, and their counts and lengths."""
     sizes = np.diff(np.append(starts, table.num_rows))
-    doc = table["doc"].to_numpy()
-    count, length = table["count"].to_numpy(), table["length"].to_numpy()
-    share = count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
+    doc, count, length = (table[c].to_numpy() for c in ("doc", "count", "length"))
     offsets = pa.array(np.append(starts, table.num_rows).astype(np.int32))
-    lists = [
+    return [
         pa.ListArray.from_arrays(offsets, pa.array(values))
         for values in (doc - np.repeat(doc[starts], sizes), count.astype(np.int32), length.astype(np.int32))
     ]
+
+
+def _packed(table: pa.Table, mean: float) -> pa.RecordBatch:
+    starts = _starts(table, BLOCK)
+    sizes = np.diff(np.append(starts, table.num_rows))
+    doc, count, length = (table[c].to_numpy() for c in ("doc", "count", "length"))
+    share = count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
     best = np.maximum.reduceat(share, starts)
-    columns = [table["term"].combine_chunks().take(pa.array(starts)), pa.array(doc[starts]),
-               pa.array(doc[starts + sizes - 1]), pa.array(sizes.astype(np.int32)), pa.array(best), *lists]
+    columns = [_terms_at(table, starts), pa.array(doc[starts]), pa.array(doc[starts + sizes - 1]),
+               pa.array(sizes.astype(np.int32)), pa.array(best), *_lists(table, starts)]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCKS.split(", ")])
 
 
@@ -88,32 +223,33 @@ def _schema(text: str):
     return StructType.fromJson(json.loads(text))
 
 
-def _build(docs: DataFrame, terms: Column, length: Column, folder: str | None, name: str) -> Index:
-    """``terms`` are a row's, with repetitions; ``length`` is its number of words."""
+def _build(docs: DataFrame, terms: Column, gather: Callable, length: Column, folder: str | None, name: str) -> Index:
+    """``gather`` makes pieces of ``terms``, words or a text; ``length`` is a row's number of words."""
     spark = docs.sparkSession
     folder = folder or Stage(spark, name).path("index")
     numbered = docs.withColumn("doc", F.monotonically_increasing_id())
-    numbered.write.parquet(f"{folder}/rows")
-    rows = spark.read.schema(numbered.schema).parquet(f"{folder}/rows")
-    figures = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(length), F.lit(0.0)).alias("mean"))
+    # Lengths are counted once and lie beside the rows; who reads an index does not see them.
+    measured = numbered.withColumn("_length", length)
+    measured.write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(measured.schema).parquet(f"{folder}/rows")
+    figures = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("_length"), F.lit(0.0)).alias("mean"))
     figures = figures.withColumn("schema", F.lit(numbered.schema.json()))
     figures.write.parquet(f"{folder}/figures")
     mean = spark.read.schema(figures.schema).parquet(f"{folder}/figures").first()["mean"] or 1.0
-    # All terms of a row are in one task, so counting them is done before anything moves.
-    # Lengths are taken before terms are exploded, once for each row.
-    read = rows.select("doc", length.cast("long").alias("length"), terms.alias("terms"))
-    found = read.select("doc", "length", F.explode("terms").alias("term"))
-    counts = found.groupBy("term", "doc", "length").agg(F.count("*").alias("count"))
-    dealt = counts.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc")
-    blocks = dealt.select("term", "doc", "count", "length").mapInArrow(_cut(mean), _BLOCKS)
-    blocks.write.parquet(f"{folder}/postings")
+    read = rows.select("doc", F.coalesce(F.col("_length").cast("long"), F.lit(0)).alias("length"), terms.alias("terms"))
+    # Written, as the bounds of the ranges are found from all pieces before these move.
+    stage = Stage(spark, f"{name}-pieces")
+    found = stage.save(read.mapInArrow(gather, _PIECES), "pieces")
+    dealt = found.repartitionByRange("term", "first").sortWithinPartitions("term", "first")
+    dealt.mapInArrow(_cut(mean), _BLOCKS).write.parquet(f"{folder}/postings")
+    stage.clear()
     return Index(spark, folder)
 
 
 def build_word_index(docs: DataFrame, folder: str | None = None) -> Index:
     """An index over the words of ``docs`` (``id, title, url, text``; ``id`` unique)."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))
-    return _build(docs, words, n_words(F.col("text")), folder, "word-index")
+    return _build(docs, words, _gather(_words_in, True), n_words(F.col("text")), folder, "word-index")
 
 
 def _kept_blocks(index: Index, terms: list[str], idf: dict[str, float], limit: int) -> DataFrame:
@@ -175,17 +311,9 @@ def search_bm25_indexed(index: Index, query: str, limit: int = 20, description:
     return hit_columns(shown.join(F.broadcast(scores), "doc"), "score", description)
 
 
-def _trigrams(text: Column) -> Column:
-    """Every three characters in a row; the last two places are filled up, so that each character begins one."""
-    filled = F.concat(text, F.lit("\x00\x00"))
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(filled, i, F.lit(3))))
-
-
 def build_substring_index(raw: DataFrame, folder: str | None = None) -> Index:
     """An index over the character trigrams of ``raw``'s ``content``, letter case aside."""
-    text = F.lower("content")
-    return _build(raw, F.when(F.length(text) > 0, _trigrams(text)), F.lit(1), folder, "substring-index")
+    return _build(raw, F.lower("content"), _gather(_trigrams_in, False), F.lit(1), folder, "substring-index")
 
 
 def candidates(index: Index, query: str) -> DataFrame | None:

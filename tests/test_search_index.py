@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,56 @@ def test_candidates_are_pruned_to_rows_that_have_all_trigrams(spark, tmp_path):
     assert I.candidates(index, "").__class__ is type(None)
 
 
+def postings_of(batches, first="first"):
+    """``(term, row, count, length)`` in the order of the lists."""
+    return [
+        (r["term"], r[first] + b, c, n)
+        for batch in batches for r in batch.to_pylist() for b, c, n in zip(r["beyond"], r["counts"], r["lengths"])
+    ]
+
+
+@pytest.mark.parametrize("words", [True, False])
+@pytest.mark.parametrize("gathered, size", [(1, 1), (300, 40), (1 << 20, 1 << 21)])
+def test_pieces_of_terms_move_and_not_postings(monkeypatch, words, gathered, size):
+    monkeypatch.setattr(I, "GATHERED", gathered)
+    monkeypatch.setattr(I, "SLICE", size)
+    monkeypatch.setattr(I, "PIECE", 16)
+    rng = random.Random(8)
+    text = [None if rng.random() < 0.1 else " ".join(rng.choices(["the", "été", "é😀x", "ab", "a"], k=rng.randint(0, 9))) for _ in range(400)]
+    doc = [*range(100, 250), *range(1 << 33, (1 << 33) + 200), *range(50)]  # a file read after a later one
+    terms = [t and t.split() for t in text] if words else text
+    kind = pa.list_(pa.string()) if words else pa.string()
+    whole = pa.record_batch({"doc": doc, "length": pa.array([i % 5 for i in range(400)]), "terms": pa.array(terms, kind)})
+    batches = [whole.slice(i, 64) for i in range(0, 400, 64)]
+    pieces = list(I._gather(I._words_in if words else I._trigrams_in, words)(iter(batches)))
+    want = []
+    for i, (d, t) in enumerate(zip(doc, terms)):
+        found = t or [] if words else [((t or "") + "\0\0")[k : k + 3] for k in range(len(t or ""))]
+        want += [(x, d, found.count(x) if words else 1, i % 5) for x in set(found)]
+    assert sorted(postings_of(pieces)) == sorted(want)
+    rows = [r for batch in pieces for r in batch.to_pylist()]
+    assert max(len(r["beyond"]) for r in rows) <= 16 and (gathered == 1 or len(rows) < len(want) / 4)
+    # Pieces in the order of their first rows give all rows in order, and blocks that are full but for the last one.
+    rows.sort(key=lambda r: (r["term"].encode(), r["first"]))
+    dealt = [pa.RecordBatch.from_pylist(rows[i : i + 7], pieces[0].schema) for i in range(0, len(rows), 7)]
+    blocks = list(I._cut(2.0)(iter(dealt)))
+    assert postings_of(blocks) == sorted(want, key=lambda p: (p[0].encode(), p[1]))
+    sizes = {}
+    for r in (r for batch in blocks for r in batch.to_pylist()):
+        assert r["n"] == len(r["beyond"]) and r["last"] == r["first"] + r["beyond"][-1]
+        sizes.setdefault(r["term"], []).append(r["n"])
+    assert all(n[:-1] == [I.BLOCK] * (len(n) - 1) and n[-1] <= I.BLOCK for n in sizes.values())
+
+
+def test_a_long_post_takes_time_in_proportion(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    long = "".join(rng.choice(list("abcdefgh é"), 1_500_000))
+    raw = raw_posts(spark, [long, "short the"])
+    index = I.build_substring_index(raw, str(tmp_path / "i"))
+    got = I.post_search_indexed(index, long[1_400_000:1_400_012]).select("id").collect()
+    assert [r["id"] for r in got] == [0]
+
+
 def test_empty_tables(spark, docs, tmp_path):
     empty = I.build_word_index(docs.limit(0), str(tmp_path / "w"))
     assert I.search_bm25_indexed(empty, "the").collect() == []
