@@ -26,20 +26,22 @@ BLOCK = 128
 PIECE = 1024  # postings of one term that move as one row, at most
 GATHERED = 1 << 21  # postings that a task holds before it passes pieces on, about
 CUT = 1 << 18  # postings that are cut into blocks at a time, about
-SLICE = 1 << 21  # words or characters that a task looks at at a time, unless one row has more
+SLICE = 1 << 20  # words or characters that a task looks at at a time, unless one row has more
 _WORD = r"[\p{L}\p{N}]+"
 _BLOCKS = (
     "term string, first long, last long, n int, best double, beyond array<long>, counts array<int>, lengths array<int>"
 )
 
 
-_PIECES = "term string, first long, beyond array<long>, counts array<int>, lengths array<int>"
+# What a row is beyond the first, its count and its length, three numbers for each posting: most pieces are short, and one
+# list is half the size of three.
+_PIECES = "term string, first long, entries array<long>"
 
 
 def _postings(terms: pa.Array, code, doc, count, length) -> pa.Table:
     """One row for each posting; ``terms`` are different ones, ``code`` are places among them."""
     term = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), terms)
-    return pa.table({"term": term, "doc": doc, "count": count, "length": length})
+    return pa.table({"term": term, "doc": doc, "count": count.astype(np.int32), "length": length.astype(np.int32)})
 
 
 def _joined(tables: list[pa.Table]) -> pa.Table:
@@ -99,8 +101,8 @@ def _gather(terms_in: Callable[[pa.Array], tuple[np.ndarray, pa.DictionaryArray]
             for new, rows in _slices(batch, follows):
                 # A piece holds rows that follow each other, so that pieces of one term never overlap.
                 if held and (new or n >= GATHERED):
-                    yield _in_pieces(_joined(held))
-                    held, n = [], 0
+                    yield _in_pieces(held)
+                    n = 0
                 doc, length = rows["doc"].to_numpy(), rows["length"].to_numpy()
                 follows = int(doc[-1]) + 1
                 row, term = terms_in(rows["terms"])
@@ -112,19 +114,22 @@ def _gather(terms_in: Callable[[pa.Array], tuple[np.ndarray, pa.DictionaryArray]
                 held.append(_postings(term.dictionary, code, doc[row], count, length[row]))
                 n += len(pair)
         if held:
-            yield _in_pieces(_joined(held))
+            yield _in_pieces(held)
 
     return pieces
 
 
-def _in_pieces(table: pa.Table) -> pa.RecordBatch:
+def _in_pieces(held: list[pa.Table]) -> pa.RecordBatch:
+    """Empties ``held``, as every copy of so many postings counts."""
+    table = _joined(held)
+    held.clear()
     # Slices come in the order of their rows.
     table = table.take(pa.array(np.argsort(_codes(table), kind="stable"))).combine_chunks()
     starts = _starts(table, PIECE)
-    return pa.RecordBatch.from_arrays(
-        [_terms_at(table, starts), pa.array(table["doc"].to_numpy()[starts]), *_lists(table, starts)],
-        [c.split()[0] for c in _PIECES.split(", ")],
-    )
+    doc, beyond, count, length = _columns(table, starts)
+    offsets = pa.array(3 * np.append(starts, table.num_rows).astype(np.int32))
+    entries = pa.ListArray.from_arrays(offsets, pa.array(np.stack([beyond, count, length], 1).ravel()))
+    return pa.RecordBatch.from_arrays([_terms_at(table, starts), pa.array(doc[starts]), entries], ["term", "first", "entries"])
 
 
 def _together(batches):
@@ -132,7 +137,7 @@ def _together(batches):
     held, n = [], 0
     for batch in batches:
         held.append(batch)
-        n += len(batch["beyond"].flatten())
+        n += len(batch["entries"].flatten()) // 3
         if n >= CUT:
             yield pa.concat_batches(held)
             held, n = [], 0
@@ -146,11 +151,11 @@ def _cut(mean: float):
     def blocks(batches):
         kept = None
         for batch in _together(batches):
-            sizes = batch["beyond"].value_lengths().to_numpy()
+            sizes = batch["entries"].value_lengths().to_numpy() // 3
             term = batch["term"].dictionary_encode()
-            doc = np.repeat(batch["first"].to_numpy(), sizes) + batch["beyond"].flatten().to_numpy()
-            lists = [batch[c].flatten().to_numpy() for c in ("counts", "lengths")]
-            table = _postings(term.dictionary, np.repeat(term.indices.to_numpy(), sizes), doc, *lists)
+            beyond, count, length = batch["entries"].flatten().to_numpy().reshape(-1, 3).T
+            doc = np.repeat(batch["first"].to_numpy(), sizes) + beyond
+            table = _postings(term.dictionary, np.repeat(term.indices.to_numpy(), sizes), doc, count, length)
             if kept is not None:
                 table = _joined([kept, table])
             # The last term may go on in the next batch; its whole blocks need not wait.
@@ -184,25 +189,25 @@ def _terms_at(table: pa.Table, starts: np.ndarray) -> pa.Array:
     return table["term"].chunk(0).take(pa.array(starts)).dictionary_decode()
 
 
-def _lists(table: pa.Table, starts: np.ndarray) -> list[pa.Array]:
-    """What the rows from each start on are beyond the first, and their counts and lengths."""
-    sizes = np.diff(np.append(starts, table.num_rows))
+def _columns(table: pa.Table, starts: np.ndarray) -> list[np.ndarray]:
+    """Rows, what they are beyond the row of their start, counts and lengths."""
     doc, count, length = (table[c].to_numpy() for c in ("doc", "count", "length"))
-    offsets = pa.array(np.append(starts, table.num_rows).astype(np.int32))
-    return [
-        pa.ListArray.from_arrays(offsets, pa.array(values))
-        for values in (doc - np.repeat(doc[starts], sizes), count.astype(np.int32), length.astype(np.int32))
-    ]
+    return [doc, doc - np.repeat(doc[starts], np.diff(np.append(starts, table.num_rows))), count, length]
 
 
 def _packed(table: pa.Table, mean: float) -> pa.RecordBatch:
     starts = _starts(table, BLOCK)
     sizes = np.diff(np.append(starts, table.num_rows))
-    doc, count, length = (table[c].to_numpy() for c in ("doc", "count", "length"))
+    doc, beyond, count, length = _columns(table, starts)
     share = count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
     best = np.maximum.reduceat(share, starts)
+    offsets = pa.array(np.append(starts, table.num_rows).astype(np.int32))
+    lists = [
+        pa.ListArray.from_arrays(offsets, pa.array(values))
+        for values in (beyond, count, length)
+    ]
     columns = [_terms_at(table, starts), pa.array(doc[starts]), pa.array(doc[starts + sizes - 1]),
-               pa.array(sizes.astype(np.int32)), pa.array(best), *_lists(table, starts)]
+               pa.array(sizes.astype(np.int32)), pa.array(best), *lists]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _BLOCKS.split(", ")])
 
 
@@ -239,9 +244,10 @@ def _build(docs: DataFrame, terms: Column, gather: Callable, length: Column, fol
     read = rows.select("doc", F.coalesce(F.col("_length").cast("long"), F.lit(0)).alias("length"), terms.alias("terms"))
     # Written, as the bounds of the ranges are found from all pieces before these move.
     stage = Stage(spark, f"{name}-pieces")
-    found = stage.save(read.mapInArrow(gather, _PIECES), "pieces")
+    read.mapInArrow(gather, _PIECES).write.option("compression", "zstd").parquet(stage.path("pieces"))
+    found = spark.read.schema(_PIECES).parquet(stage.path("pieces"))
     dealt = found.repartitionByRange("term", "first").sortWithinPartitions("term", "first")
-    dealt.mapInArrow(_cut(mean), _BLOCKS).write.parquet(f"{folder}/postings")
+    dealt.mapInArrow(_cut(mean), _BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/postings")
     stage.clear()
     return Index(spark, folder)
 

@@ -103,12 +103,10 @@ def test_candidates_are_pruned_to_rows_that_have_all_trigrams(spark, tmp_path):
     assert I.candidates(index, "").__class__ is type(None)
 
 
-def postings_of(batches, first="first"):
+def postings_of(rows):
     """``(term, row, count, length)`` in the order of the lists."""
-    return [
-        (r["term"], r[first] + b, c, n)
-        for batch in batches for r in batch.to_pylist() for b, c, n in zip(r["beyond"], r["counts"], r["lengths"])
-    ]
+    lists = lambda r: zip(*[iter(r["entries"])] * 3) if "entries" in r else zip(r["beyond"], r["counts"], r["lengths"])
+    return [(r["term"], r["first"] + b, c, n) for r in rows for b, c, n in lists(r)]
 
 
 @pytest.mark.parametrize("words", [True, False])
@@ -117,6 +115,7 @@ def test_pieces_of_terms_move_and_not_postings(monkeypatch, words, gathered, siz
     monkeypatch.setattr(I, "GATHERED", gathered)
     monkeypatch.setattr(I, "SLICE", size)
     monkeypatch.setattr(I, "PIECE", 16)
+    monkeypatch.setattr(I, "CUT", 100)
     rng = random.Random(8)
     text = [None if rng.random() < 0.1 else " ".join(rng.choices(["the", "été", "é😀x", "ab", "a"], k=rng.randint(0, 9))) for _ in range(400)]
     doc = [*range(100, 250), *range(1 << 33, (1 << 33) + 200), *range(50)]  # a file read after a later one
@@ -129,16 +128,16 @@ def test_pieces_of_terms_move_and_not_postings(monkeypatch, words, gathered, siz
     for i, (d, t) in enumerate(zip(doc, terms)):
         found = t or [] if words else [((t or "") + "\0\0")[k : k + 3] for k in range(len(t or ""))]
         want += [(x, d, found.count(x) if words else 1, i % 5) for x in set(found)]
-    assert sorted(postings_of(pieces)) == sorted(want)
     rows = [r for batch in pieces for r in batch.to_pylist()]
-    assert max(len(r["beyond"]) for r in rows) <= 16 and (gathered == 1 or len(rows) < len(want) / 4)
+    assert sorted(postings_of(rows)) == sorted(want)
+    assert max(len(r["entries"]) for r in rows) <= 3 * 16 and (gathered == 1 or len(rows) < len(want) / 4)
     # Pieces in the order of their first rows give all rows in order, and blocks that are full but for the last one.
     rows.sort(key=lambda r: (r["term"].encode(), r["first"]))
     dealt = [pa.RecordBatch.from_pylist(rows[i : i + 7], pieces[0].schema) for i in range(0, len(rows), 7)]
-    blocks = list(I._cut(2.0)(iter(dealt)))
+    blocks = [r for batch in I._cut(2.0)(iter(dealt)) for r in batch.to_pylist()]
     assert postings_of(blocks) == sorted(want, key=lambda p: (p[0].encode(), p[1]))
     sizes = {}
-    for r in (r for batch in blocks for r in batch.to_pylist()):
+    for r in blocks:
         assert r["n"] == len(r["beyond"]) and r["last"] == r["first"] + r["beyond"][-1]
         sizes.setdefault(r["term"], []).append(r["n"])
     assert all(n[:-1] == [I.BLOCK] * (len(n) - 1) and n[-1] <= I.BLOCK for n in sizes.values())
