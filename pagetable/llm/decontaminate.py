@@ -12,17 +12,18 @@ texts that share nothing but a frame of placeholders are not.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagetable.llm.common import MEMORY_BYTES, Memory, mix, sole, whole_text, windows
+from pagetable.llm.common import mix, sole, whole_text, windows
 from pagetable.session import Stage
 
 WINDOW = 8  # words of a window; a shorter item is one window
@@ -45,40 +46,83 @@ UNITS = frozenset(
     "litres second seconds minute minutes hour hours day days week weeks month months year years "
     "degree degrees".split()
 )
-_TOKEN = regex.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+# A token is a number (digits, and . or , between two of them), a run of letters, or one of the stops .!?\n
+_DIGITS, _LETTERS, _STOP = 1, 2, 3
+_CLASSES = ((_LETTERS, regex.compile(r"[^\W\d_]+")), (_DIGITS, regex.compile(r"\d+")), (_STOP, regex.compile(r"[.!?\n]+")))
+_LOW, _CLASS = (1 << 21) - 1, 21  # of what is known of a character: its lower case, and where its class begins
+_UPPER, _CASED, _LOWER, _FIGURE, _ODD_CASE = (1 << i for i in range(23, 28))
 _WINDOW_TYPE = (
     "id long, node binary, n_words int, pos int, width int, hash long, template string, words array<string>"
 )
 
 
-def _kind(token: str) -> tuple[int, int]:
-    """What a token is on its own (a unit only counts behind a number), and its hash."""
-    if token in ".!?\n":
-        return STOP, 0
-    if token[0].isdigit():
-        kind = NUMBER
-    elif token.lower() in UNITS:
-        kind = UNIT
-    elif len(token) > 1 and token[0].isupper() and token[1:].islower():
-        kind = NAME
-    else:
-        kind = LITERAL
-    return kind, xxhash.xxh3_64_intdigest(token.lower().encode()) >> 1
 
 
-class _Tokens(Memory):
-    """Kind and hash of tokens met so far, as one number: hash * 8 + kind."""
+@lru_cache(maxsize=1)
+def _characters() -> np.ndarray:
+    """What is known of every character: its lower case, its class, and bits for what cases it has.
+
+    ``_CASED`` are capitals and title case, ``_FIGURE`` what begins a number, and ``_ODD_CASE`` those
+    whose lower case is not one character, or not always the same.
+    """
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    known = np.arange(len(every), dtype=np.uint32)
+    for kind, pattern in _CLASSES:
+        for run in pattern.finditer(every):
+            known[run.start() : run.end()] |= np.uint32(kind << _CLASS)
+    for i in np.flatnonzero(known >> _CLASS & 3).tolist():
+        c = every[i]
+        low = c.lower()
+        odd = len(low) != 1 or c == "\u03a3"  # a last sigma is written otherwise
+        bits = c.isupper() * _UPPER | c.istitle() * _CASED | c.islower() * _LOWER | c.isdigit() * _FIGURE | odd * _ODD_CASE
+        if bits or low != c:
+            known[i] = known[i] >> _CLASS << _CLASS | bits | (i if odd else ord(low))
+    return known
 
-    def __missing__(self, token: str) -> int:
-        kind, value = _kind(token)
-        code = (value >> 3 << 3) | kind
-        self.keep(token, code, 2 * len(token) + 32)
-        return code
+
+BLOCK = 1 << 16  # characters that are hashed at once
+_BASE = 0x9E3779B97F4A7C15
 
 
 @lru_cache(maxsize=1)
-def _tokens() -> _Tokens:
-    return _Tokens(MEMORY_BYTES // 2)
+def _weights() -> tuple[np.ndarray, np.ndarray]:
+    return _powers_of(BLOCK)
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number, from 0, and of its inverse."""
+    return tuple(
+        np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]))
+        for x in (_BASE, pow(_BASE, -1, 1 << 64))
+    )
+
+
+def _word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the characters of each word, which is the same wherever the word stands."""
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
+        begin, end = int(starts[at]), int(ends[to - 1])
+        powers, inverses = _weights() if end - begin <= BLOCK else _powers_of(end - begin)
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum(low[begin:end] * powers[: end - begin], out=sums[1:])
+        first = starts[at:to] - begin
+        out[at:to] = (sums[ends[at:to] - begin] - sums[first]) * inverses[first]
+        at = to
+    return mix(out)
+
+
+def _hash_of(word: str) -> int:
+    low = np.array([*map(ord, word)], np.uint64)
+    return int(_word_hashes(low, np.zeros(1, np.int64), np.array([len(low)]))[0])
+
+
+@lru_cache(maxsize=1)
+def _unit_spots() -> np.ndarray:
+    """Where the last 16 bits of a unit's hash are."""
+    spots = np.zeros(1 << 16, bool)
+    spots[[_hash_of(u) & 0xFFFF for u in UNITS]] = True
+    return spots
 
 
 _PAIR = ("doc_id", "node", "item_id", "item_node", "n_words")
@@ -86,30 +130,58 @@ _ODD = np.uint64(11 * 2 + 0x9E3779B97F4A7C15)
 _PLACEHOLDER_HASH = mix(np.arange(8, dtype=np.uint64) + np.uint64(0x5EED))
 
 
-def canonical(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of all texts end to end, which of them are words, and of the words: kinds, hashes as
-    literals and whether they open a sentence or the text; then each text's offset among the words.
+def canonical(texts: list[str]) -> tuple[Callable, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts end to end: a function that spells out some in lower case, their kinds, their
+    hashes as literals and whether they open a sentence or the text; then each text's offset among them.
 
     Every capitalised word has the kind of a name; capitals throughout are no name. A unit is one only
-    right behind a number.
+    right behind a number. All is found for all characters at once.
     """
-    known = _tokens()
-    sole("decontamination", known)
-    found, lengths = [], []
-    for text in texts:
-        tokens = _TOKEN.findall(text)
-        found += tokens
-        lengths.append(len(tokens))
-    codes = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-    kinds = codes & 7
-    before = np.concatenate([[STOP], kinds[:-1]])
-    bounds = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    before[bounds[:-1][np.array(lengths) > 0]] = STOP
-    kinds = np.where((kinds == UNIT) & (before != NUMBER), LITERAL, kinds)
+    sole("decontamination")
+    joined = "\0".join(["", *texts, ""])  # which is in no token
+    known = _characters()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+    classes = (known >> np.uint32(_CLASS) & np.uint32(3)).astype(np.uint8)
+    low = known & np.uint32(_LOW)
+    marks = np.flatnonzero((low == ord(".")) | (low == ord(",")))
+    classes[marks[(classes[marks - 1] == _DIGITS) & (classes[marks + 1] == _DIGITS)]] = _DIGITS
+    step = classes[1:] != classes[:-1]
+    step |= classes[1:] == _STOP
+    starts = np.flatnonzero(step & (classes[1:] != 0)) + 1
+    step = classes[1:] != classes[:-1]
+    step |= classes[:-1] == _STOP
+    ends = np.flatnonzero(step & (classes[:-1] != 0)) + 1
+    hashes = _word_hashes(low, starts, ends)
+    odd = np.flatnonzero(known & np.uint32(_ODD_CASE))
+    for i in np.unique(np.searchsorted(starts, odd, "right") - 1).tolist():
+        hashes[i] = _hash_of(joined[starts[i] : ends[i]].lower())
+
+    first = known[starts]
+    kinds = np.full(len(starts), LITERAL, np.int64)
+    name = np.flatnonzero((first & np.uint32(_UPPER) != 0) & (ends - starts > 1))
+    if len(name):
+        rest = np.bitwise_or.reduceat(known, np.stack([starts[name] + 1, ends[name]], axis=1).reshape(-1))[::2]
+        kinds[name[rest & np.uint32(_CASED | _LOWER) == _LOWER]] = NAME
+    kinds[first & np.uint32(_FIGURE) != 0] = NUMBER
+    kinds[classes[starts] == _STOP] = STOP
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths + 1)]) + 1)
+    before = np.concatenate([[STOP], kinds[:-1]])[: len(kinds)]
+    before[bounds[:-1][np.diff(bounds) > 0]] = STOP
+    maybe = _unit_spots()[hashes & np.uint64(0xFFFF)] & ((kinds == NAME) | (kinds == LITERAL) & (before == NUMBER))
+    for i in np.flatnonzero(maybe).tolist():
+        if joined[starts[i] : ends[i]].lower() in UNITS:
+            kinds[i] = UNIT if before[i] == NUMBER else LITERAL
+
     is_word = kinds != STOP
     words_before = np.concatenate([[0], np.cumsum(is_word)])
     at = np.flatnonzero(is_word)
-    return found, at, kinds[at], codes[at].astype(np.uint64) | np.uint64(7), before[at] == STOP, words_before[bounds]
+    starts, ends = starts[at], ends[at]
+
+    def spelled(start: int, width: int) -> list[str]:
+        edges = zip(starts[start : start + width].tolist(), ends[start : start + width].tolist())
+        return [joined[a:b].lower() for a, b in edges]
+
+    return spelled, kinds[at], hashes[at], before[at] == STOP, words_before[bounds]
 
 
 def _powers(values: np.ndarray) -> list[np.ndarray]:
@@ -184,7 +256,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            tokens, at, kinds, literal, _, offsets = canonical(batch["text"].to_pylist())
+            spelled, kinds, literal, _, offsets = canonical(batch["text"].to_pylist())
             sizes = np.diff(offsets)
             for width in range(1, WINDOW + 1):
                 starts, row = windows(literal, offsets, width)
@@ -196,7 +268,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 shown = np.array([f[2] for f in found])
                 read = np.where(shown == LITERAL, literal[starts[:, None] + np.arange(width)], _PLACEHOLDER_HASH[shown])
                 values = _hashes(_powers(read.reshape(-1)), np.arange(len(starts)) * width, width)
-                words = [[tokens[i].lower() for i in at[s : s + width]] for s in starts]
+                words = [spelled(s, width) for s in starts]
                 yield _batch(batch, sizes, offsets, starts, row, width, values, words, shown.tolist())
 
     return _rows(benchmark, "item_id").mapInArrow(cut, _WINDOW_TYPE)
@@ -212,7 +284,7 @@ def document_windows(docs: DataFrame, widths: list[int], seen) -> DataFrame:
 
     def cut(batches):
         for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, b.num_rows, TOGETHER)):
-            tokens, at, kinds, literal, opens, offsets = canonical(batch["text"].to_pylist())
+            spelled, kinds, literal, opens, offsets = canonical(batch["text"].to_pylist())
             sizes = np.diff(offsets)
             plain = np.where(kinds == NAME, LITERAL, kinds)
             read = [np.zeros_like(kinds), plain, np.where(opens, plain, kinds), kinds]
@@ -234,7 +306,7 @@ def document_windows(docs: DataFrame, widths: list[int], seen) -> DataFrame:
                         here, values = here[once], values[once]
                     if not len(here):
                         continue
-                    words = [[tokens[j].lower() for j in at[s : s + width]] for s in starts[here]]
+                    words = [spelled(s, width) for s in starts[here]]
                     shown = [read[i][s : s + width].tolist() for s in starts[here]]
                     yield _batch(batch, sizes, offsets, starts[here], row[here], width, values, words, shown)
 

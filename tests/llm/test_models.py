@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import sys
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pagetable.llm import decontaminate, hnsw, langid, licenses, pii, toxicity
@@ -289,6 +292,44 @@ def test_texts_without_an_id_or_under_one_are_judged_alone(spark, documents):
     assert sorted(kept, key=repr) == sorted([(None, texts[1]), (None, None), (4, texts[-1])], key=repr)
 
 
+def test_words_of_a_text_cost_no_call_each():
+    def plain(text):
+        """Words, kinds, and whether they open a sentence, one token after the other."""
+        out, before = [], decontaminate.STOP
+        for t in regex.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]", text):
+            if t in ".!?\n":
+                kind = decontaminate.STOP
+            elif t[0].isdigit():
+                kind = decontaminate.NUMBER
+            elif t.lower() in decontaminate.UNITS:
+                kind = decontaminate.UNIT if before == decontaminate.NUMBER else decontaminate.LITERAL
+            else:
+                kind = decontaminate.NAME if len(t) > 1 and t[0].isupper() and t[1:].islower() else decontaminate.LITERAL
+            if kind != decontaminate.STOP:
+                out.append((t.lower(), kind, before == decontaminate.STOP))
+            before = kind
+        return out
+
+    texts = [
+        "", "It took 3.5 km, 1,000.5 Hours or 2. days. Hours! km", "1..2 .5 5. 1.,2 a1.5b ٣,٤ x²y ①", "\0A\0", "ǅabc İstanbul ΟΔΟΣ ΟΔΟς σΣ 5 K 5 \u212a",
+        "d'Été_Tom's ELLE Mc McAdam ßA 日本\u0301語\nª", "A" * 70000 + " " + "é" * 70000, " 12 kg", "kg.Tom",
+    ]
+    spelled, kinds, hashes, opens, offsets = decontaminate.canonical(texts)
+    want = [plain(t) for t in texts]
+    assert np.diff(offsets).tolist() == [len(w) for w in want]
+    words = spelled(0, len(kinds))
+    assert list(zip(words, kinds.tolist(), opens.tolist())) == [w for ws in want for w in ws]
+    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+
+    calls, text = Counter(), " ".join("w" + chr(97 + i % 26) * (i // 26 + 1) for i in range(2000))
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        decontaminate.canonical([text])
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] < 200
+
+
 # --- Neighbours ---------------------------------------------------------------------------
 
 
