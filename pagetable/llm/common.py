@@ -74,7 +74,8 @@ class Memory(dict):
     :func:`sole` empties those of the operator before.
     """
 
-    __hash__ = object.__hash__
+    # One is itself alone, so that a set of them compares no entries.
+    __hash__, __eq__, __ne__ = object.__hash__, object.__eq__, object.__ne__
     _PER_ENTRY = 170  # of the table, the two objects' heads and what the allocator adds
 
     def __init__(self, most: int = MEMORY_BYTES, longest: int = 64) -> None:

@@ -15,20 +15,20 @@ import uuid
 import zlib
 from array import array
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pagetable.llm.bpe import PIECES
 from pagetable.llm.common import MEMORY_BYTES, Memory, sole
 from pagetable.session import Stage
 
 SEQUENCE = 2048
 BATCH_ROWS = 256
 END_ID = 0
+TOGETHER = 1 << 18  # parts whose ids are put in place at once
 RANGE_LETTERS = 64  # of a text, by which rows of one doc_id are dealt; their order is by whole texts
 INDEX_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -44,13 +44,61 @@ def id_type_for(vocabulary_size: int) -> pa.DataType:
     return pa.uint16() if vocabulary_size <= 1 << 16 else pa.uint32()
 
 
+# What is known of a byte of UTF-8. White space beyond ASCII is behind 0xC2 or a byte of 0xE1 to 0xE3.
+_WHITE, _SPACE, _WORD, _MARK, _ABOVE, _MAYBE_1, _MAYBE_2, _ACCENT = (1 << i for i in range(8))
+
+
+def _bytes_known() -> np.ndarray:
+    known = np.zeros(256, np.uint8)
+    known[[*b"\t\n\v\f\r "]] |= _WHITE
+    known[ord(" ")] |= _SPACE
+    for c in range(0x21, 0x7F):
+        known[c] |= _WORD if chr(c).isalnum() else _MARK
+    known[0x21:] |= _ABOVE
+    known[0xC2] |= _MAYBE_1
+    known[0xE1:0xE4] |= _MAYBE_2
+    known[0xC3] |= _ACCENT  # with what follows a letter, but for two signs
+    return known
+
+
+_BYTES = _bytes_known()
+_SIGNS = (0x97, 0xB7)  # behind 0xC3
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where in texts in UTF-8, end to end, a byte-level split surely starts a piece; what stands on either side
+    is split as it would be alone.
+
+    These are white space behind other characters, marks behind a letter or digit, and what follows
+    a single line end or tab. Where the bytes do not tell that for sure, there is no cut.
+    """
+    known = _BYTES[data]
+    starts = np.zeros(len(data), bool)
+    solid = (known & _ABOVE) != 0  # ends a character that is surely no white space
+    solid[1:] &= (known[:-1] & _MAYBE_1) == 0
+    solid[2:] &= (known[:-2] & _MAYBE_2) == 0
+    starts[1:] = ((known[1:] & _WHITE) != 0) & solid[:-1]
+    lines = starts[1:-1] & ((known[1:-1] & _SPACE) == 0)
+    begins = (known[2:] & (_ABOVE | _MAYBE_1 | _MAYBE_2)) == _ABOVE
+    word = (known & _WORD) != 0
+    accent = np.flatnonzero(known[:-1] & _ACCENT) + 1
+    word[accent[~np.isin(data[accent], _SIGNS)]] = True
+    starts[1:] |= word[:-1] & ((known[1:] & _MARK) != 0)
+    starts[2:] |= lines & begins
+    return starts
+
+
+def _one(word: str) -> bool:
+    """Whether it has no white space, and is not empty."""
+    return word.isalnum() or word.split() == [word]
+
+
 class _Encoder:
-    """The tokenizers library with its answers for words remembered.
+    """The tokenizers library with its answers for pieces remembered.
 
-    A byte-level split always starts a new piece at a single space between two characters that are
-    no white space, so a text is cut there into units, each with its space, most of them known. New units are
-    split into pieces as the library does, all at once; pieces that are new too go to the library many in one
-    text, where the token of the space or line end before a piece begins it.
+    All texts of a batch are cut where a piece surely starts, and equal parts put together by Arrow, so that
+    each is looked up once. Parts not known go to the library, many in one text, where the token of the space
+    or line end before a part begins it.
     """
 
     def __init__(self, path: str) -> None:
@@ -63,7 +111,7 @@ class _Encoder:
         size = self._tool.get_vocab_size()
         self.dtype = np.dtype(id_type_for(size).to_pandas_dtype())
         self._added = [t.content for t in self._tool.get_added_tokens_decoder().values()]
-        self._units, self._pieces = Memory(2 * MEMORY_BYTES), Memory(2 * MEMORY_BYTES)
+        self._parts = Memory(2 * MEMORY_BYTES)
         self._begins = {gap: np.zeros(size, bool) for gap in " \n"}
         for token, i in self._tool.get_vocab().items():
             if i < size:
@@ -73,7 +121,7 @@ class _Encoder:
 
     def awake(self) -> _Encoder:
         """To be called by a task: what other operators remembered in this worker goes."""
-        sole("token files", self._units, self._pieces)
+        sole("token files", self._parts)
         return self
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -96,65 +144,61 @@ class _Encoder:
             out += [packed[a + skip : b] for a, b in zip(edges, [*edges[1:], len(packed)])]
         return out
 
-    def _new_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        spaced = [p for p in pieces if p[0] == " "]
-        plain = [p for p in pieces if p.isalpha()]
+    def _new_parts(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of parts that are not known, and remembers them."""
+        spaced = [p for p in parts if p[0] == " " and _one(p[1:])]
+        plain = [p for p in parts if p[0] != " " and _one(p)]
         found = dict(zip(spaced, self._behind(" ", [p[1:] for p in spaced])))
         found.update(zip(plain, self._behind("\n", plain)))
-        rest = [p for p in pieces if p not in found]
+        rest = [p for p in parts if p not in found]
         found.update(zip(rest, self._encode(rest)))
-        for piece, packed in found.items():
-            self._pieces.keep(piece, packed, 2 * len(piece) + len(packed))
-        return found
-
-    def _new_units(self, units: list[str]) -> list[bytes]:
-        pieces = PIECES.findall(" " + " ".join(units))
-        begins = [i for i, p in enumerate(pieces) if p[0] == " "]
-        if len(begins) != len(units):
-            return self._encode([" " + u for u in units])
-        ids = list(map(self._pieces.get, pieces))
-        missing = [i for i, known in enumerate(ids) if known is None]
-        new = self._new_pieces(list(dict.fromkeys([pieces[i] for i in missing])))
-        for i in missing:
-            ids[i] = new[pieces[i]]
-        ends = list(accumulate(map(len, ids), initial=0))
-        whole, edges = b"".join(ids), [ends[i] for i in begins]
-        out = [whole[a:b] for a, b in zip(edges, [*edges[1:], len(whole)])]
-        for unit, packed in zip(units, out):
-            self._units.keep(unit, packed, 2 * len(unit) + len(packed))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts."""
-        get, split, new = self._units.get, [], {}
-        for text in texts:
-            if any(a in text for a in self._added):
-                split.append(None)
-                continue
-            first, *units = text.split(" ")
-            ids = list(map(get, units))
-            missing = [i for i, known in enumerate(ids) if known is None]
-            # White space at the edge of a unit, or none between two spaces: not surely a cut.
-            if any(not (u := units[i]) or u[0].isspace() or u[-1].isspace() for i in missing) or (
-                units and (not first or first[-1].isspace())
-            ):
-                split.append(None)
-                continue
-            split.append((first, units, ids, missing))
-            for i in missing:
-                new[units[i]] = b""
-        if new:
-            new = dict(zip(new, self._new_units(list(new))))
-        firsts = self._encode([t if s is None else s[0] for t, s in zip(texts, split)])
-        out = []
-        for first, s in zip(firsts, split):
-            if s is not None:
-                _, units, ids, missing = s
-                for i in missing:
-                    ids[i] = new[units[i]]
-                first += b"".join(ids)
-            out.append(first)
-        return out
+        keep = self._parts.keep
+        for part, packed in found.items():
+            keep(part, packed, 2 * len(part) + len(packed))
+        return [found[p] for p in parts]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts end to end, and how many each has."""
+        texts = texts.cast(pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        for token in self._added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._encode_parts(texts)
+        ids, sizes = self._encode_parts(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts))
+        each = np.split(ids, np.cumsum(sizes)[:-1])
+        at = np.flatnonzero(whole)
+        for i, packed in zip(at.tolist(), self._encode(texts.take(pa.array(at)).to_pylist())):
+            each[i] = np.frombuffer(packed, self.dtype)
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _encode_parts(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        _, edges, data = texts.buffers()
+        edges = np.frombuffer(edges, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        n = int(edges[-1] - edges[0])
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        data, edges = data.slice(int(edges[0]), n), edges - edges[0]
+        starts = cuts(np.frombuffer(data, np.uint8))
+        starts[edges[:-1][edges[:-1] < n]] = True
+        starts = np.append(np.flatnonzero(starts), n)
+        parts = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), data).dictionary_encode()
+        words, parts = parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy()
+        known = list(map(self._parts.get, words))
+        missing = [i for i, packed in enumerate(known) if packed is None]
+        for i, packed in zip(missing, self._new_parts([words[i] for i in missing])):
+            known[i] = packed
+        flat = np.frombuffer(b"".join(known), self.dtype)
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        first = np.cumsum(lengths) - lengths
+        ends = np.concatenate([[0], np.cumsum(lengths[parts])])
+        ids = np.empty(ends[-1], self.dtype)
+        for at in range(0, len(parts), TOGETHER):
+            some, to = parts[at : at + TOGETHER], ends[at : at + TOGETHER + 1]
+            take = np.repeat(first[some] - to[:-1], lengths[some])
+            take += np.arange(to[0], to[-1])
+            ids[to[0] : to[-1]] = flat[take]
+        return ids, np.diff(ends[np.searchsorted(starts, edges)])
 
 
 @lru_cache(maxsize=2)
@@ -184,14 +228,17 @@ class _Writer:
         self._waiting = 0
         self.tokens = 0
 
-    def add(self, doc_ids: list, packed: list[bytes], end_id: int) -> None:
-        ids = [np.append(np.frombuffer(p, self._dtype), self._dtype.type(end_id)) for p in packed]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        starts = self.tokens + np.cumsum(sizes) - sizes
-        self._docs.write_batch(pa.record_batch([pa.array(doc_ids, pa.int64()), starts, sizes], schema=INDEX_SCHEMA))
-        self.tokens += int(sizes.sum())
-        self._rest += ids
-        self._waiting += int(sizes.sum())
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray, end_id: int) -> None:
+        """Documents with their ids end to end; ``sizes`` counts those of each."""
+        sizes = sizes + 1
+        ends = np.cumsum(sizes)
+        stream, own = np.full(ends[-1], end_id, self._dtype), np.ones(ends[-1], bool)
+        own[ends - 1] = False
+        stream[own] = ids
+        self._docs.write_batch(pa.record_batch([doc_ids, self.tokens + ends - sizes, sizes], schema=INDEX_SCHEMA))
+        self.tokens += len(stream)
+        self._rest.append(stream)
+        self._waiting += len(stream)
         full = self._length * BATCH_ROWS
         if self._waiting >= full:
             flat = np.concatenate(self._rest)
@@ -244,7 +291,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, sequenc
             encoder = _encoder(path).awake()
             if writer is None:
                 writer, part = _Writer(folder, encoder.dtype, sequence), batch["part"][0].as_py()
-            writer.add(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), end_id)
+            writer.add(batch["doc_id"], *encoder.encode(batch["text"]), end_id)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [writer.name], "n_tokens": [writer.tokens]})

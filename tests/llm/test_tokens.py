@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagetable.llm import bpe, token_files
+from pagetable.llm.common import Memory
 
 TEXTS = [
     None, "", " ", "  two  spaces ", "the cat's don't'll 12,345.6 ½Ⅷ", "a\n\nb \t c\x85d\xa0e\x1c f",
@@ -92,3 +95,35 @@ def test_files_give_sequences_without_a_copy(documents, library, vocabulary, tmp
     assert stream == want and sum(shown) == len(want)
     assert pa.types.is_fixed_size_list(token_files.file_schema(pa.uint16()).field("ids").type)
     assert docs.filter(F.lit(False)).count() == 0
+
+
+def test_texts_are_cut_as_the_library_splits_them(library, vocabulary):
+    rng = random.Random(4)
+    parts = [*"\t\n\v\f\r \x85\xa0\u1680\u180e\u2003\u2028\u3000\x1c\x00\ufeff", *" \n" * 20, *"abTsR019.,;!'-", "é", "×", "’", "日", "\u0301", "'ll", "ab"]
+    texts = ["", " ", "\n", "a", *["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(3000)], "so <|endoftext|> it"]
+    encoder = token_files._Encoder(vocabulary)
+    for some in (pa.array(texts), pa.array(["　", *texts]).slice(1), pa.array(texts, pa.large_string()), pa.array([""]), pa.array([], pa.string())):
+        ids, sizes = encoder.encode(some)
+        want = [library[0](t) for t in some.to_pylist()]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_known_words_cost_no_call_each(library, vocabulary):
+    words = ["w" + chr(97 + i % 26) * (i // 26 + 1) for i in range(2000)]
+    encoder, text = token_files._Encoder(vocabulary), ", ".join(words) + "."
+    encoder.encode(pa.array([" ".join(words), "x, y."]))
+    calls, texts = Counter(), pa.array([text, text])
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        ids, _ = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == 2 * library[0](text)
+    assert calls["call"] < 200
+
+
+def test_memories_are_not_compared_by_what_they_hold():
+    some, other = Memory(), Memory()
+    some.keep("a", 1, 1)
+    other.keep("a", 1, 1)
+    assert some == some and some != other and len({some, other}) == 2
